@@ -24,8 +24,10 @@ def _join_seg(*parts):
     return F.concat_ws("/", *[F.when(p != "", p) for p in parts])
 
 
-def _contract(alive: DataFrame, rnd: int) -> DataFrame:
-    """One round: every node of ``alive`` once, with ``state`` alive, raked or spliced."""
+def _contract(alive: DataFrame) -> DataFrame:
+    """One round: every node of ``alive`` once, with ``state`` alive, raked or spliced.
+
+    The round's number is a column, not a literal, so that all rounds share one compiled plan."""
     kids = alive.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("nk"))
     a = alive.join(kids, "id", "left").withColumn("leaf", F.col("nk").isNull() & F.col("parent").isNotNull()).drop("nk")
 
@@ -40,7 +42,7 @@ def _contract(alive: DataFrame, rnd: int) -> DataFrame:
             F.max(F.when(inner, F.col("ew"))).alias("kid_ew"),
         )
     )
-    coin = lambda c: F.xxhash64(c, F.lit(rnd))
+    coin = lambda c: F.xxhash64(c, F.col("rnd"))
     b = (
         a.join(stats, "id", "left")
         .withColumn("w", F.col("w") + F.coalesce("raked_w", F.lit(0)))
@@ -75,6 +77,7 @@ def _contract(alive: DataFrame, rnd: int) -> DataFrame:
         F.when(hit, F.col("ed") + F.col("v_ed") + 1).otherwise(F.col("ed")).alias("ed"),
         F.when(hit, _join_seg(F.col("v_seg"), F.col("v"), F.col("seg"))).otherwise(F.col("seg")).alias("seg"),
         "w",
+        (F.col("rnd") + 1).alias("rnd"),
         F.when(F.col("leaf"), F.lit("raked")).when(F.col("cut"), F.lit("spliced")).otherwise(F.lit("alive")).alias("state"),
         F.when(F.col("cut"), F.col("kid")).alias("kid"),
         F.when(F.col("cut"), F.col("kid_ew")).alias("kid_ew"),
@@ -118,7 +121,7 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     first = known.groupBy("id").agg(F.min("parent").alias("parent"))
     zero = F.lit(0).cast("bigint")
     alive = scratch.keep(
-        ids.join(first, "id", "left").select("id", "parent", zero.alias("ew"), zero.alias("ed"), F.lit("").alias("seg"), F.lit(1).cast("bigint").alias("w")),
+        ids.join(first, "id", "left").select("id", "parent", zero.alias("ew"), zero.alias("ed"), F.lit("").alias("seg"), F.lit(1).cast("bigint").alias("w"), F.lit(0).alias("rnd")),
         "alive",
     )
     scratch.drop(raw)
@@ -128,11 +131,11 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
         open_nodes = current.filter("parent is not null and parent <> id").limit(1).count()
         if not open_nodes:
             break
-        done = scratch.keep(_contract(current, len(rounds)), "round")
+        done = scratch.keep(_contract(current), "round")
         if not rounds:
             scratch.drop(source)
         rounds.append(done)
-        current = done.filter("state = 'alive'").select("id", "parent", "ew", "ed", "seg", "w")
+        current = done.filter("state = 'alive'").select("id", "parent", "ew", "ed", "seg", "w", "rnd")
 
     looped = F.col("parent").isNotNull()
     core = current.select(
@@ -158,11 +161,11 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
         )
         spliced = scratch.keep(cut, "placed")
         both = resolved.unionByName(spliced)
-        leaves = scratch.keep(
-            _placed(done.filter("state = 'raked'"), both, [F.col("w").alias("size"), F.lit(False).alias("on_loop")]), "placed"
-        )
-        resolved = both.unionByName(leaves)
-        scratch.drop(done)
+        leaves = _placed(done.filter("state = 'raked'"), both, [F.col("w").alias("size"), F.lit(False).alias("on_loop")])
+        # Rewritten as a whole: sizes grow from round to round, so all rewriting costs little more than the last.
+        previous, resolved = resolved, scratch.keep(both.unionByName(leaves), "placed")
+        for t in (done, spliced, previous):
+            scratch.drop(t)
 
     # The name of a loop is its smallest member; rows outside loops do not take part in this join.
     names = resolved.filter("on_loop").groupBy("loop").agg(F.min("id").alias("name"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelark.session import Scratch
 
 #: Hops of the cascade planned into one job; the frontier is written once for all of them.
-HOPS = 6
+HOPS = 4
 
 
 def target_status(targets: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -92,7 +92,10 @@ def orphan_cascade(spark: SparkSession, refs: DataFrame, targets: DataFrame, del
         found = scratch.keep(new.distinct().join(seen, ["t", "i"], "left_anti"), "found")
         if not found.limit(1).count():
             break
-        seen = seen.unionByName(found)
+        previous, seen = seen, scratch.keep(seen.unionByName(found), "seen")
+        scratch.drop(previous)
+        if frontier is not previous:
+            scratch.drop(frontier)
         frontier = found
 
     mark = seen.select(F.col("t").alias("target_table"), F.col("i").alias("ref_value"))
