@@ -9,6 +9,7 @@ from tracelark.functions.unicode import same_id
 from tracelark.operators.hierarchy import descendants, hierarchy
 from tracelark.operators.instants import normalise_instants
 from tracelark.operators.orphans import orphan_cascade
+from tracelark.plans import sqltext as S
 from tracelark.sources.tables import table
 
 
@@ -130,3 +131,34 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_loops, p3_found, p3_report, p7_found)}
+
+_TREE = f"""WITH RECURSIVE c AS (SELECT {S.same_id("record_id")} AS id, parent_ids FROM l3_prior_candidates), n AS (SELECT DISTINCT id FROM c WHERE id IS NOT NULL),
+e AS (SELECT id, {S.same_id("r")} AS p FROM (SELECT id, unnest(parent_ids) AS r FROM c)),
+par AS (SELECT e.id, min(e.p) AS p FROM e JOIN n ON e.p = n.id WHERE starts_with(upper(e.p), 'L3-') GROUP BY 1),
+up AS (SELECT id, p AS a FROM par UNION SELECT up.id, par.p FROM up JOIN par ON up.a = par.id),
+loops AS (SELECT id FROM up WHERE id = a),
+tree AS (SELECT id, id AS root, 0 AS depth, id AS path FROM n WHERE id NOT IN (SELECT id FROM par)
+  UNION ALL SELECT par.id, root, depth + 1, path || '/' || par.id FROM tree JOIN par ON par.p = tree.id),
+kids AS (SELECT a AS id, count(DISTINCT id) AS k FROM up WHERE id <> a GROUP BY 1),
+names AS (SELECT u.id, min(u.a) AS root FROM up u WHERE u.a IN (SELECT id FROM loops) GROUP BY 1)
+SELECT n.id AS record_id, coalesce(tree.root, names.root) AS root_id, coalesce(tree.depth, -1)::INT AS depth,
+  coalesce(kids.k, 0)::INT AS n_descendants, coalesce(tree.path, '') AS path
+FROM n LEFT JOIN tree USING (id) LEFT JOIN names USING (id) LEFT JOIN kids USING (id)"""
+
+_ORPHANS = f"""WITH t AS (SELECT tb, id, min(ts) AS ts FROM (
+  SELECT 'articles' AS tb, {S.same_id("record_id")} AS id, ingested_at AS ts FROM articles UNION ALL
+  SELECT 'l2_article_maps', {S.same_id("record_id")}, ingested_at FROM l2_article_maps UNION ALL
+  SELECT 'l3_prior_candidates', {S.same_id("record_id")}, ingested_at FROM l3_prior_candidates UNION ALL
+  SELECT 'l3_prior_authorizations', {S.same_id("authorization_id")}, ingested_at FROM l3_prior_authorizations) GROUP BY 1, 2),
+d AS (SELECT table_name AS tb, {S.same_id("record_id")} AS id, min(deleted_at) AS del FROM deletions GROUP BY 1, 2),
+r AS (SELECT DISTINCT src_table, field_name, line_no, ref_value, ts, CASE WHEN field_name = 'source_record_id' THEN 'articles' WHEN field_name = 'rights_ref' THEN 'l3_prior_authorizations'
+   WHEN starts_with(upper(ref_value), 'L3-') THEN 'l3_prior_candidates' ELSE 'l2_article_maps' END AS tb FROM (
+  SELECT 'cleaned' AS src_table, 'source_record_id' AS field_name, line_no, {S.same_id("source_record_id")} AS ref_value, ingested_at AS ts FROM cleaned UNION ALL
+  SELECT 'l3_prior_candidates', 'rights_ref', line_no, {S.same_id("rights_ref")}, ingested_at FROM l3_prior_candidates UNION ALL
+  SELECT 'l3_prior_candidates', 'parent_ids', line_no, {S.same_id("x")}, ingested_at FROM (SELECT line_no, ingested_at, unnest(parent_ids) AS x FROM l3_prior_candidates))
+  WHERE ref_value IS NOT NULL),
+j AS (SELECT r.*, CASE WHEN d.del <= r.ts THEN 'deleted' WHEN t.id IS NULL THEN 'missing' WHEN t.ts > r.ts THEN 'late' END AS reason
+  FROM r LEFT JOIN t ON r.tb = t.tb AND r.ref_value = t.id LEFT JOIN d ON r.tb = d.tb AND r.ref_value = d.id)
+SELECT src_table, field_name, line_no, ref_value, reason, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS period FROM j WHERE reason IS NOT NULL"""
+
+ORACLES = {"p2_found": _TREE, "p3_found": _ORPHANS}

@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from tracelark.plans import dealt
+from tracelark.plans import analysis, corpus, dealt
 
-QUERIES = {**dealt.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**dealt.QUERIES, **corpus.QUERIES, **analysis.QUERIES}
+ORACLES: dict[str, str] = {**dealt.ORACLES, **corpus.ORACLES, **analysis.ORACLES}
