@@ -37,11 +37,11 @@ EXTREME = 3.5
 
 _IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
 _LINK = re.compile(r"<a\s[^<>\n]*>[^<\n]*</a>|\[[^\]\n]*\]\([^)\s]*\)|<[^<>\n]{0,300}>|(?:https?://|www\.)[^\s<>)\]\"]+|[@#]\w[\w.'-]*")
-_MAY_LINK = re.compile(r"[<@#]|://|www\.|\]\(")
 _WORD = re.compile(r"[^\W\d_]+")
 _PAIRED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
-_SEGMENT = re.compile(r"\n+|(?<=[.!?…])\s+|(?<=[。！？；;])")
+_END = re.compile(r"[。！？；;]|[.!?…](?=\s)")
+_HOLE = "\x01"
 _MARK = re.compile(r"[,，、|/·•>;；]")
 # Frequent words that tell the Latin-script languages apart when the declared language is null or wrong.
 _TELLING = {
@@ -51,6 +51,10 @@ _TELLING = {
 }
 
 
+# Every ASCII character that is no lower-case letter as a blank, but for line feeds.
+_LETTERS = {c: " " for c in range(128) if not chr(c).islower() and c != 10}
+
+
 def _plain(text: str) -> str:
     if text.isascii():
         return text.lower()
@@ -58,41 +62,74 @@ def _plain(text: str) -> str:
 
 
 def _words(s: str) -> list[str]:
-    if s.isascii() or not _PAIRED.search(s):
+    if s.isascii():
+        return s.translate(_LETTERS).split()
+    runs = _PAIRED.findall(s)
+    if not runs:
         return _WORD.findall(s)
+    return _pairs(runs) + _WORD.findall(_PAIRED.sub(" ", s))
+
+
+def _pairs(runs: list[str]) -> list[str]:
+    """Adjacent pairs of characters of each run; a single character stands for itself."""
     out: list[str] = []
-    for run in _PAIRED.findall(s):
-        out += [run[i : i + 2] for i in range(len(run) - 1)] if len(run) > 1 else [run]
-    return out + _WORD.findall(_PAIRED.sub(" ", s))
+    for run in runs:
+        if len(run) > 1:
+            out += map(str.__add__, run, run[1:])
+        else:
+            out.append(run)
+    return out
 
 
 def _segments(s: str) -> list[tuple[int, int, list[str], bool]]:
     """(characters, of them outside links, words, is a list) of each line or sentence."""
     out = []
-    links = _MAY_LINK.search(s) is not None
-    for seg in _SEGMENT.split(s):
-        n = len(seg.strip())
+    links = "://" in s or "#" in s or "@" in s or "www." in s or "<" in s or "](" in s
+    if links:
+        # Links count by their characters; in their place stays a mark, so that no sentence ends inside of one.
+        sizes = [len(x) for x in _LINK.findall(s)]
+        links = bool(sizes)
+        s = _LINK.sub(_HOLE, s) if links else s
+    s = _END.sub(r"\g<0>\n", s)
+    at, rows = 0, s.split("\n")
+    ascii_only = s.isascii()
+    paired_page = not ascii_only and _PAIRED.search(s) is not None
+    pairs_only = paired_page and _WORD.search(_PAIRED.sub(" ", s)) is None
+    plain_words = s.translate(_LETTERS).split("\n") if ascii_only else rows
+    for seg, letters in zip(rows, plain_words):
+        rest = seg.strip()
+        n = m = len(rest)
         if not n:
             continue
-        rest = _LINK.sub(" ", seg) if links else seg
-        m = len(rest.strip()) if len(rest) != len(seg) else n
-        words = _words(rest)
-        marks = LIST_MARKS if rest.isascii() or not _PAIRED.search(rest) else LIST_MARKS_PAIRS
-        out.append((n, m, words, bool(words) and len(_MARK.findall(rest)) >= marks * len(words)))
+        if links and (k := rest.count(_HOLE)):
+            n += sum(sizes[at : at + k]) - k
+            at += k
+            rest = rest.replace(_HOLE, " ")
+            m = len(rest.strip())
+        if ascii_only:
+            words, marks = letters.split(), LIST_MARKS
+            n_marks = rest.count(",") + rest.count("|") + rest.count("/") + rest.count(">") + rest.count(";")
+        else:
+            runs = _PAIRED.findall(rest) if paired_page else None
+            words = _pairs(runs) if runs else []
+            if not pairs_only:
+                words += _WORD.findall(_PAIRED.sub(" ", rest) if runs else rest)
+            marks = LIST_MARKS_PAIRS if runs else LIST_MARKS
+            n_marks = len(_MARK.findall(rest))
+        out.append((n, m, words, bool(words) and n_marks >= marks * len(words)))
     return out
 
 
-def _language(s: str, declared: str | None, words: list[str]) -> str:
+def _language(s: str, declared: str | None, words: set[str]) -> str:
     n = max(1, len(s))
     if not s.isascii():
-        if sum(map(len, _PAIRED.findall(s))) > 0.15 * n:
+        if _PAIRED.search(s) and sum(map(len, _PAIRED.findall(s))) > 0.15 * n:
             return "zh"
-        if len(_CYRILLIC.findall(s)) > 0.2 * n:
+        if _CYRILLIC.search(s) and len(_CYRILLIC.findall(s)) > 0.2 * n:
             return "ru"
-    told = {k: sum(w in v for w in words) for k, v in _TELLING.items()}
-    best = max(told, key=told.get)
-    if told[best] >= 3:
-        return best
+    told = sorted([(sum([w in words for w in v]), k) for k, v in _TELLING.items()], reverse=True)
+    if told[0][0] >= 2 and told[0][0] > told[1][0]:
+        return told[0][1]
     d = (declared or "").strip().lower()
     return d if d in _TELLING else "en"
 
@@ -101,22 +138,30 @@ def _variety(words: list[str]) -> float:
     return len(set(words)) / len(words) ** 0.9
 
 
-def _measured(segs, common: frozenset) -> list[tuple]:
-    stream = [w for _, _, words, _ in segs for w in words]
-    total, pos, out = len(stream), 0, []
+_FULL = 1 / WINDOW**0.9
+
+
+def _measured(segs, stream: list[str], common: frozenset) -> list[tuple]:
+    """Segments with the share of common words and the variety of the window of WINDOW words around each.
+
+    A segment longer than a window has the mean variety of its own windows side by side."""
+    total, pos, out, known = len(stream), 0, [], common.__contains__
+    only = _variety(stream) if 0 < total <= WINDOW else None
     for n, m, words, is_list in segs:
         k = len(words)
         if not k:
             out.append((n, m, 0, 0.0, 0.0, is_list))
             continue
-        if k <= WINDOW:
-            a = max(0, min(pos + k // 2 - WINDOW // 2, total - WINDOW))
-            variety = _variety(stream[a : a + WINDOW])
+        if only is not None:
+            variety = only
+        elif k <= WINDOW:
+            a = min(max(0, pos + k // 2 - WINDOW // 2), total - WINDOW)
+            variety = len(set(stream[a : a + WINDOW])) * _FULL
         else:
             parts = [words[i : i + WINDOW] for i in range(0, k, WINDOW)]
             full = [p for p in parts if len(p) >= WINDOW // 2]
             variety = sum(map(_variety, full)) / len(full)
-        out.append((n, m, k, sum(w in common for w in words) / k, variety, is_list))
+        out.append((n, m, k, sum(map(known, words)) / k, variety, is_list))
         pos += k
     return out
 
@@ -127,25 +172,23 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        df: Counter = Counter()
+        df: dict[str, Counter] = {}
 
         def flush():
-            keys = list(df)
-            b = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([df[k] for k in keys], pa.int64())],
-                names=["lang", "word", "df"],
-            )
+            rows = [(lang, w, n) for lang, c in df.items() for w, n in c.items()]
             df.clear()
-            return b
+            return pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "df"]
+            )
 
         for b in batches:
             for text, declared in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = _plain(text)
-                words = _words(_LINK.sub(" ", s) if _MAY_LINK.search(s) else s)
-                lang = _language(s, declared, words)
-                df.update((lang, w) for w in set(words))
-                df[lang, ""] += 1
-            if len(df) > 200_000:  # what one task holds at once; the sums are made by the aggregation that follows
+                # Neither links nor disguised letters matter here: what they add to a count is far below COMMON_DF.
+                s = text.lower()
+                words = set(_words(s))
+                words.add("")
+                df.setdefault(_language(s, declared, words), Counter()).update(words)
+            if sum(map(len, df.values())) > 200_000:  # what one task holds at once; the aggregation that follows sums up
                 yield flush()
         if df:
             yield flush()
@@ -181,23 +224,31 @@ def measured_pages(docs: DataFrame, common: dict[str, frozenset]) -> DataFrame:
         import pyarrow as pa
 
         i4, f8 = pa.int32(), pa.float64()
-        seg_kinds = [("n", i4), ("m", i4), ("k", i4), ("common", f8), ("variety", f8), ("listed", pa.bool_())]
-        seg_t, curve_t = pa.list_(pa.struct(seg_kinds)), pa.list_(pa.struct([("f", i4), ("m", i4)]))
-        seg_names = [n for n, _ in seg_kinds]
+        kinds = [("n", i4), ("m", i4), ("k", i4), ("common", f8), ("variety", f8), ("listed", pa.bool_())]
+
+        def nested(rows: list[list], fields: list) -> pa.Array:
+            ends = [0]
+            for r in rows:
+                ends.append(ends[-1] + len(r))
+            flat = list(zip(*(x for r in rows for x in r))) or [[] for _ in fields]
+            inner = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(flat, fields)], names=[n for n, _ in fields])
+            return pa.ListArray.from_arrays(pa.array(ends, i4), inner)
+
         for b in batches:
             ids, langs, sizes, seg_rows, curves = [], [], [], [], []
             for doc_id, text, declared in zip(*(b.column(i).to_pylist() for i in range(3))):
                 s = _plain(text)
                 segs = _segments(s)
-                words = [w for _, _, ws, _ in segs for w in ws]
-                lang = _language(s, declared, words)
+                stream = [w for x in segs for w in x[2]]
+                counts = Counter(stream)
+                lang = _language(s, declared, counts.keys())
                 ids.append(doc_id)
                 langs.append(lang)
-                sizes.append(len(words))
-                seg_rows.append([dict(zip(seg_names, x)) for x in _measured(segs, common.get(lang, frozenset()))])
-                curves.append([{"f": f, "m": m} for f, m in Counter(Counter(words).values()).items()])
+                sizes.append(len(stream))
+                seg_rows.append(_measured(segs, stream, common.get(lang, frozenset())))
+                curves.append(list(Counter(counts.values()).items()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs), pa.array(sizes, pa.int32()), pa.array(seg_rows, seg_t), pa.array(curves, curve_t)],
+                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, i4), nested(seg_rows, kinds), nested(curves, [("f", i4), ("m", i4)])],
                 names=["doc_id", "lang", "n_words", "segs", "curve"],
             )
 
