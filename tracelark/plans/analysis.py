@@ -278,10 +278,10 @@ def substantive_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "l3_prior_candidates").select("line_no", T.substantive(F.col("title"), 12).alias("substantive"))
 
 
-@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(replace(text, '％', '%'), '(^|[^0-9A-Za-z_.,%+\-])25\.0($|[^0-9A-Za-z_.,%+\-])')""")
+@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(replace(text, '％', '%'), '(^|[^0-9A-Za-z_.,%+\-])12\.5($|[^0-9A-Za-z_.,%+\-])')""")
 def numeric_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which 25.0 stands as a number of its own."""
-    return table(spark, sf_dir, "documents").filter(T.has_number(F.col("text"), "25.0")).select("doc_id")
+    """Documents in which 12.5 stands as a number of its own."""
+    return table(spark, sf_dir, "documents").filter(T.has_number(F.col("text"), "12.5")).select("doc_id")
 
 
 @query("""SELECT line_no FROM articles WHERE contains(body, '未提及')""")
