@@ -16,7 +16,7 @@ def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.jso
 
     A file is one row before it is split, since line numbers count within it."""
     t = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
         .select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
     )
     lines = t.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "raw"))
@@ -62,7 +62,7 @@ def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_object(spark: SparkSession, path: str, label: str) -> DataFrame:
     """A JSON object file as one row: value VARIANT and problem <label>_READ_ERROR, <label>_NOT_OBJECT or null."""
-    t = spark.read.option("wholetext", "true").text(path).select(F.regexp_replace("value", "^﻿", "").alias("raw"))
+    t = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("raw"))
     d = parsed(t).withColumn(
         "problem",
         F.when(F.col("problem") == "RECORD_NOT_OBJECT", f"{label}_NOT_OBJECT").when(F.col("problem").isNotNull(), f"{label}_READ_ERROR"),
