@@ -197,12 +197,12 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return pairs.groupBy("lang", "word").agg(F.sum("df").alias("df"))
 
 
-def common_words(docs: DataFrame) -> dict[str, frozenset]:
+def common_words(docs: DataFrame, scratch: Scratch) -> dict[str, frozenset]:
     """Words in at least COMMON_DF of the documents of each language.
 
     At most (mean distinct words of a document) / COMMON_DF of them exist in a language, whatever the number
     of documents, so they are brought to the driver and sent with the tasks."""
-    df = document_frequencies(docs)
+    df = scratch.keep(document_frequencies(docs), "df")
     n = df.filter("word = ''").select("lang", F.col("df").alias("n_docs"))
     hit = df.filter("word <> ''").join(n, "lang").filter(F.col("df") >= COMMON_DF * F.col("n_docs"))
     out: dict[str, set] = {}
@@ -292,7 +292,7 @@ def spam_pages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "spam")
     docs = docs.select("doc_id", "text", "lang")
-    pages = scratch.keep(measured_pages(docs, common_words(docs)), "pages")
+    pages = scratch.keep(measured_pages(docs, common_words(docs, scratch)), "pages")
     seg = pages.select("lang", F.explode("segs").alias("s")).filter("s.k >= 5")
     usual = seg.groupBy("lang").agg(
         F.percentile_approx("s.common", 0.5, 1000).alias("u_common"), F.percentile_approx("s.variety", 0.5, 1000).alias("u_variety")
