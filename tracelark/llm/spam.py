@@ -275,12 +275,15 @@ def rank_frequency(pages: DataFrame) -> DataFrame:
     return ok.select("doc_id", (cov / vx).alias("slope"), F.sqrt(F.greatest(vy - cov**2 / vx, F.lit(0.0)) / F.col("w")).alias("residual"))
 
 
-def _deviation(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """``df`` with ``col``_z: distance from the median of its group in median absolute deviations."""
-    mid = df.groupBy(*by).agg(F.percentile_approx(col, 0.5, 1000).alias("_mid"))
-    d = df.join(mid, by).withColumn("_off", F.abs(F.col(col) - F.col("_mid")))
-    mad = d.groupBy(*by).agg(F.percentile_approx("_off", 0.5, 1000).alias("_mad"))
-    return d.join(mad, by).withColumn(f"{col}_z", (F.col(col) - F.col("_mid")) / (F.col("_mad") * 1.4826 + 1e-6)).drop("_mid", "_mad", "_off")
+def _deviations(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """``df`` with <col>_z for each column: distance from the median of its group in median absolute deviations."""
+    mid = df.groupBy(*by).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"_mid_{c}") for c in cols])
+    d = df.join(mid, by)
+    off = lambda c: F.abs(F.col(c) - F.col(f"_mid_{c}"))
+    mad = d.groupBy(*by).agg(*[F.percentile_approx(off(c), 0.5, 1000).alias(f"_mad_{c}") for c in cols])
+    usual = mid.join(mad, by)  # as many rows as languages and sizes
+    z = [((F.col(c) - F.col(f"_mid_{c}")) / (F.col(f"_mad_{c}") * 1.4826 + 1e-6)).alias(f"{c}_z") for c in cols]
+    return df.join(usual, by).select(*df.columns, *z)
 
 
 def spam_pages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -320,7 +323,7 @@ def spam_pages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     p = p.withColumn("divergence", F.when(F.col("n_chars") > 0, F.col("off_chars") / F.col("n_chars")).otherwise(0.0))
     curve = p.select("doc_id", "lang", "size").join(rank_frequency(pages), "doc_id")
     curve = scratch.keep(curve, "curves")
-    z = _deviation(_deviation(curve, "slope", ["lang", "size"]), "residual", ["lang", "size"])
+    z = _deviations(curve, ["slope", "residual"], ["lang", "size"])
     p = p.join(z.select("doc_id", "slope", "residual", "slope_z", "residual_z"), "doc_id", "left")
     extreme = (F.abs("slope_z") > EXTREME) | (F.abs("residual_z") > EXTREME) | (F.col("divergence") > 0.5)
     return p.select(
