@@ -33,6 +33,8 @@ def test_keys(spark):
     seq = spark.createDataFrame([("p", 1, 5), ("p", 2, 4), ("p", 6, 9), ("q", 1, 1)], "p string, n int, v int")
     assert rows(keys.out_of_order(seq, "n", "v", ["p"]).select("p", "n")) == {("p", 2)}
     assert rows(keys.gaps(seq, "n", ["p"])) == {("p", 2, 6, 3)}
+    spans = keys.with_before(seq, "n", "v", ["p"], span=2)
+    assert rows(spans.select("p", "n", "before")) == {("p", 1, None), ("p", 2, 5), ("p", 6, 4), ("q", 1, None)}
     d = spark.createDataFrame([("a", 2), ("b", None), ("c", 1)], "k string, n int")
     a = spark.createDataFrame([("a", 2), ("c", 3)], "k string, n int")
     assert rows(keys.agreement(d, a, "k")) == {("c", 1, 3)}
@@ -91,7 +93,7 @@ def test_paragraph_offsets(spark):
 
 def test_version_chain(spark):
     df = spark.createDataFrame([("a", "v1", 1), ("a", "v2", 2), ("a", "v1", 3), ("b", "v9", 1)], "art string, source_version_id string, n int")
-    c = corpus_build.version_chain(df, "art", [F.col("n")])
+    c = corpus_build.version_chain(df, "art", ["n"])
     assert rows(c.select("art", "source_version_id", "supersedes")) == {("a", "v1", None), ("a", "v2", "v1"), ("b", "v9", None)}
     assert {(r.art, r.is_line) for r in corpus_build.chain_check(c, "art").collect()} == {("a", True), ("b", True)}
     broken = spark.createDataFrame([("a", "v1", None), ("a", "v2", "v1"), ("a", "v3", "v1"), ("b", "w1", "gone")], "art string, source_version_id string, supersedes string")

@@ -71,13 +71,12 @@ def carried_section(paragraphs: DataFrame, marker: Column, part: str = "source_v
     return paragraphs.withColumn("section", F.last(F.when(marker, F.col("text")), ignorenulls=True).over(w))
 
 
-def version_chain(versions: DataFrame, entity: str, order: list[Column]) -> DataFrame:
-    """Distinct versions of each entity in order, each superseding the one before.
-
-    A repeated version counts once, where it comes first."""
-    first = W.partitionBy(entity, "source_version_id").orderBy(*order)
-    once = versions.filter(F.col(entity).isNotNull()).withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    return once.withColumn("supersedes", F.lag("source_version_id").over(W.partitionBy(entity).orderBy(*order)))
+def version_chain(versions: DataFrame, entity: str, order: list[str]) -> DataFrame:
+    """(entity, source_version_id, *order, supersedes): the distinct versions of each entity in order, each superseding
+    the one before. A repeated version counts once, where it comes first; repeats are reduced before any window."""
+    once = versions.filter(F.col(entity).isNotNull()).groupBy(entity, "source_version_id").agg(F.min(F.struct(*order)).alias("_o"))
+    chain = once.withColumn("supersedes", F.lag("source_version_id").over(W.partitionBy(entity).orderBy("_o")))
+    return chain.select(entity, "source_version_id", "_o.*", "supersedes")
 
 
 def chain_check(chain: DataFrame, entity: str) -> DataFrame:

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracelark.session import Scratch
+
 
 def duplicate_members(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """Rows of every group of two or more equal keys, with group_size and first (the group's smallest ``order``).
 
-    Group sizes are counted with partial sums and joined back, so no group has to fit in a task. Rows with a
-    null key belong to no group."""
+    Group sizes are counted with partial sums, so no group has to fit in a task, and written: the join back then
+    has a plain exchange on either side, whose hot partitions the adaptive planner splits. Rows with a null key
+    belong to no group."""
     df = df.dropna(subset=key)
     g = df.groupBy(*key).agg(F.count("*").alias("group_size"), F.min(order).alias("first")).filter("group_size > 1")
-    return df.join(g, key)
+    return df.join(Scratch(df.sparkSession, "groups").keep(g), key)
 
 
 def later_copies(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -58,16 +61,37 @@ def merge_versions(existing: DataFrame, batch: DataFrame, key: str, labels: str)
     return merged.select(*existing.columns)
 
 
+#: Positions of one window of ``with_before``; a part of any size is cut into such spans.
+SPAN = 1_000_000
+
+
+def with_before(df: DataFrame, position: str, value: str, part: list[str], span: int = SPAN) -> DataFrame:
+    """``df`` with before: the value of the row before, by integer position within a part; null for the first.
+
+    Rows are windowed by part and span of positions, so a part with a third of all rows is no single task. What
+    the first row of a span follows is the last row of the nearest span before it, from a table of one row a span."""
+    d = df.withColumn("_span", F.floor(F.col(position) / span))
+    ends = d.groupBy(*part, "_span").agg(F.max_by(value, position).alias("_end"))
+    ends = ends.withColumn("_carry", F.lag("_end").over(W.partitionBy(*part).orderBy("_span"))).drop("_end")
+    w = W.partitionBy(*part, "_span").orderBy(position)
+    d = d.withColumn("_lag", F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    same = [d[c].eqNullSafe(ends[c]) for c in part] + [d["_span"] == ends["_span"]]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    j = d.join(ends, on, "left").select(*[d[c] for c in df.columns], F.when(d["_first"], ends["_carry"]).otherwise(d["_lag"]).alias("before"))
+    return j
+
+
 def out_of_order(df: DataFrame, position: str, value: str, part: list[str]) -> DataFrame:
     """Rows whose value is smaller than that of the row before, by position within a part."""
-    return df.withColumn("before", F.lag(value).over(W.partitionBy(*part).orderBy(position))).filter(F.col(value) < F.col("before"))
+    return with_before(df, position, value, part).filter(F.col(value) < F.col("before"))
 
 
 def gaps(df: DataFrame, position: str, part: list[str]) -> DataFrame:
     """Places where consecutive numbers of a part leave some out: part, last number before, next number, how many."""
-    w = W.partitionBy(*part).orderBy(position)
     return (
-        df.select(*part, position, F.lag(position).over(w).alias("before"))
+        with_before(df.select(*part, position), position, position, part)
         .filter(F.col(position) - F.col("before") > 1)
         .select(*part, "before", position, (F.col(position) - F.col("before") - 1).alias("n_missing"))
     )

@@ -271,7 +271,7 @@ c AS (SELECT line_no, article_id, source_version_id, lag(source_version_id) OVER
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_build.version_chain(_versions(spark, sf_dir), "article_id", [F.col("ingested_at"), F.col("line_no")])
+    return corpus_build.version_chain(_versions(spark, sf_dir), "article_id", ["ingested_at", "line_no"])
 
 
 @query(f"WITH {_CHAIN} SELECT line_no, article_id, source_version_id, supersedes FROM c")
