@@ -23,14 +23,9 @@ def newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 
 
-def strip_long(c: Column) -> Column:
-    """Without outer white space, in time linear in the text also where it holds long blank runs."""
-    return F.regexp_replace(F.regexp_replace(c, f"^[{WHITE}]++", ""), f"(?<![{WHITE}])[{WHITE}]++$", "")
-
-
 def body_form(c: Column) -> Column:
     """Body as it is hashed: line feeds only, no outer white space."""
-    return strip_long(newlines(c))
+    return strip_white(newlines(c))
 
 
 def scalar_form(c: Column) -> Column:
@@ -46,13 +41,13 @@ def document_form(c: Column) -> Column:
     """Canonical composition (NFC), line feeds, no outer white space, one final line feed."""
     n = newlines(c)
     n = F.when(is_wide(n), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), n, F.lit(False))).otherwise(n)
-    return F.concat(strip_long(n), F.lit("\n"))
+    return F.concat(strip_white(n), F.lit("\n"))
 
 
 def review_form(c: Column) -> Column:
     """Runs of blanks, tabs and no-break spaces as one blank, none around line ends, at most one empty line."""
     s = F.regexp_replace(F.regexp_replace(newlines(c), "[ \t\xa0]+", " "), " *\n *", "\n")
-    return strip_long(F.regexp_replace(s, "\n{3,}", "\n\n"))
+    return strip_white(F.regexp_replace(s, "\n{3,}", "\n\n"))
 
 
 def tokens(c: Column) -> Column:

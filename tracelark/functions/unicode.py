@@ -8,12 +8,15 @@ Plain ASCII strings take none of these calls: they are already in every form.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space of Unicode (property White_Space) and the four ASCII separators
 # that str.strip() also removes.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+WHITE_CHARS = "".join(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
 # Code points of the Unicode property Default_Ignorable_Code_Point.
 IGNORABLE = (
     r"\xad͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ"
@@ -60,8 +63,8 @@ def nfkc(c: Column) -> Column:
 
 
 def strip_white(c: Column) -> Column:
-    """Without outer white space of any kind. For short values: ids, dates, titles."""
-    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    """Without outer white space of any kind, in time linear in the text."""
+    return F.btrim(c, F.lit(WHITE_CHARS))
 
 
 def casefold(c: Column) -> Column:

@@ -45,23 +45,17 @@ def source_versions(captures: DataFrame) -> DataFrame:
     return d.withColumn("source_version_id", F.concat(F.lit("SRCV-"), F.left("raw_sha256", F.lit(24)))).withColumn("n_bytes", F.octet_length("document"))
 
 
-def paragraph_index(versions: DataFrame, lines: Column, *carry: str) -> DataFrame:
+def paragraph_index(versions: DataFrame, lines: Column, *carry: str, part: str = "source_version_id") -> DataFrame:
     """Paragraphs of each version with their offsets in the cleaned text and a content-addressed chunk_id.
 
-    ``lines`` is the array of its lines. A version without lines has one empty paragraph. Offsets are running sums
-    inside the row's array, so nothing is shuffled."""
-    v = versions.withColumn("_l", F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(""))))
-    ends = F.aggregate(
-        "_l",
-        F.array().cast("array<int>"),
-        lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + 1 + F.length(x))),
-    )
-    v = v.withColumn("_p", F.zip_with("_l", ends, lambda x, e: F.struct(x.alias("text"), e.alias("char_end"))))
-    p = v.select("source_version_id", *carry, F.posexplode("_p").alias("paragraph_index", "_p"))
-    p = p.select(
-        "source_version_id", *carry, "paragraph_index", F.col("_p")["text"].alias("text"), F.col("_p")["char_end"].alias("char_end")
-    )
-    p = p.withColumn("char_start", F.col("char_end") - F.length("text"))
+    ``lines`` is the array of its lines; a version without lines has one empty paragraph. ``part`` is the column that
+    tells versions apart: offsets are running sums in a window over one version's paragraphs."""
+    keys = list(dict.fromkeys(["source_version_id", part, *carry]))
+    p = versions.withColumn("_l", lines)
+    p = p.select(*keys, F.posexplode(F.when(F.size("_l") > 0, F.col("_l")).otherwise(F.array(F.lit("")))).alias("paragraph_index", "text"))
+    before = W.partitionBy(part).orderBy("paragraph_index").rowsBetween(W.unboundedPreceding, -1)
+    p = p.withColumn("char_start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int"))
+    p = p.withColumn("char_end", F.col("char_start") + F.length("text"))
     return p.withColumn("chunk_id", content_id("CHK-", F.col("source_version_id"), F.col("paragraph_index").cast("string"), F.col("text")))
 
 

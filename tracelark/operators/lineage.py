@@ -8,47 +8,54 @@ from pyspark.sql import functions as F
 from tracelark.session import Scratch
 
 MAX_DEPTH = 64
+#: Levels peeled in one job.
+HOPS = 4
 
 
 def transitive_inputs(spark: SparkSession, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """All (id, input, distance) pairs of ``edges`` (id, input), with the least distance, up to ``max_depth``.
 
-    Semi-naive: only pairs found in the last round are extended. Stops when a round finds nothing new, so loops
-    end by themselves; a node on a loop is its own input."""
+    Distances double from round to round: a pair further apart than 2^k goes through one at exactly 2^k on a
+    shortest way, so only those pairs are extended. Loops end by themselves; a node on a loop is its own input."""
     scratch = Scratch(spark, "inputs")
-    edges = scratch.keep(edges.select("id", "input").dropna().distinct(), "edges")
-    seen = scratch.keep(edges.withColumn("distance", F.lit(1)), "seen")
-    fresh = seen
-    for d in range(2, max_depth + 1):
-        step = fresh.select("id", F.col("input").alias("via")).join(edges.select(F.col("id").alias("via"), "input"), "via").select("id", "input").distinct()
-        found = scratch.keep(step.join(seen.select("id", "input"), ["id", "input"], "left_anti").withColumn("distance", F.lit(d)), "found")
-        if not found.limit(1).count():
+    pairs = scratch.keep(edges.select("id", "input").dropna().distinct().withColumn("distance", F.lit(1)), "pairs")
+    reach = 1
+    while reach < max_depth:
+        head = pairs.filter(F.col("distance") == reach).select("id", F.col("input").alias("via"))
+        tail = pairs.select(F.col("id").alias("via"), "input", (F.col("distance") + reach).alias("distance"))
+        longer = head.join(tail.filter(F.col("distance") <= max_depth), "via").select("id", "input", "distance")
+        both = pairs.unionByName(longer).groupBy("id", "input").agg(F.min("distance").alias("distance"))
+        previous, pairs = pairs, scratch.keep(both, "pairs")
+        scratch.drop(previous)
+        reach *= 2
+        if not pairs.filter(F.col("distance") == reach).limit(1).count():
             break
-        seen, fresh = seen.unionByName(found), found
-    return seen
+    return pairs
 
 
 def sound_records(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``nodes`` (id, base BOOLEAN) with sound: the node's own check holds and all its inputs are sound.
 
-    ``edges``: id, input. An input without a node is unsound. Unsoundness spreads up the edges from round to
-    round; what is not reached is sound, except nodes on or above a loop or deeper than ``max_depth``, which
-    are found as what a topological peeling from the leaves does not reach."""
+    ``edges``: id, input. An input without a node is unsound. Levels are peeled from the nodes without inputs: each
+    sound node lowers the count of open inputs of those above it, and a node without open ones is the next to peel.
+    What is never peeled is unsound: nodes above a failed check, on or above a loop, or deeper than ``max_depth``.
+    """
     scratch = Scratch(spark, "sound")
-    nodes = scratch.keep(nodes.groupBy("id").agg(F.min(F.coalesce("base", F.lit(False))).alias("base")), "nodes")
+    nodes = nodes.filter("id is not null").groupBy("id").agg(F.min(F.coalesce("base", F.lit(False))).alias("base"))
     edges = scratch.keep(edges.select("id", "input").dropna().distinct(), "edges")
-    n_inputs = edges.groupBy("id").agg(F.count("*").alias("n"))
-    todo = nodes.join(n_inputs, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    done = scratch.keep(todo.filter("n = 0 and base").select("id"), "sound")
-    fresh = done
-    for _ in range(max_depth):
-        touched = edges.join(fresh.select(F.col("id").alias("input")), "input", "left_semi").select("id").distinct()
-        ready = edges.join(touched, "id", "left_semi").join(done.select(F.col("id").alias("input"), F.lit(1).alias("ok")), "input", "left")
-        ready = ready.groupBy("id").agg(F.count("*").alias("n"), F.count("ok").alias("n_ok")).filter("n = n_ok").select("id")
-        found = scratch.keep(
-            ready.join(nodes.filter("base").select("id"), "id", "left_semi").join(done, "id", "left_anti"), "sound"
-        )
-        if not found.limit(1).count():
-            break
-        done, fresh = done.unionByName(found), found
-    return nodes.join(done.withColumn("_s", F.lit(True)), "id", "left").select("id", F.coalesce("_s", F.lit(False)).alias("sound"))
+    n_inputs = edges.groupBy("id").agg(F.count("*").alias("open"))
+    state = nodes.join(n_inputs, "id", "left").select("id", "base", F.coalesce("open", F.lit(0)).cast("bigint").alias("open"))
+    state = scratch.keep(state.withColumn("level", F.when(F.col("base") & (F.col("open") == 0), 0)), "state")
+    level = 0
+    while level < max_depth and state.filter(F.col("level") == level).limit(1).count():
+        step = state
+        for _ in range(min(HOPS, max_depth - level)):
+            last = F.col("level") == level
+            hits = edges.join(step.filter(last).select(F.col("id").alias("input")), "input").groupBy("id").agg(F.count("*").alias("_k"))
+            level += 1
+            step = step.join(hits, "id", "left").select("id", "base", (F.col("open") - F.coalesce("_k", F.lit(0))).alias("open"), "level", "_k")
+            peeled = F.col("level").isNull() & F.col("_k").isNotNull() & (F.col("open") == 0) & F.col("base")
+            step = step.withColumn("level", F.when(peeled, level).otherwise(F.col("level"))).drop("_k")
+        previous, state = state, scratch.keep(step, "state")
+        scratch.drop(previous)
+    return state.select("id", F.col("level").isNotNull().alias("sound"))

@@ -231,7 +231,7 @@ def source_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir)
     lines = F.filter(F.transform(F.split("document", "\n"), strip_white), lambda x: x != "")
-    return corpus_build.paragraph_index(v, lines, "line_no")
+    return corpus_build.paragraph_index(v, lines, part="line_no")
 
 
 _PARAGRAPHS = f"""{_VERSIONS},
