@@ -155,3 +155,16 @@ def test_report(spark):
     assert rows(report.section_issues(parts, "id", ["Two", "One"])) == {(1, "SECTION_ORDER_INVALID"), (1, "REQUIRED_SECTION_BODY_EMPTY")}
     leaks = spark.createDataFrame([("see R2",), (REPORT,), ("<b>x</b>",)], "t string").select(report.reader_leaks(F.col("t")).alias("l")).collect()
     assert [r.l for r in leaks] == [["INTERNAL_CODE_IN_READER_LAYER"], [], ["RAW_HTML_IN_READER_CONTENT"]]
+
+
+def test_budgeted_manifest(spark):
+    from tracelark.operators import budget
+
+    df = spark.createDataFrame([("r", "f", 1, "aa"), ("r", "f", 2, "b"), ("r", "f", 3, "c"), ("r", "g", 4, "ddd"), ("s", "f", 5, "e" * 50)], "run string, fam string, n int, item string")
+    r = budget.ranked(df, "run", "fam", [F.col("n")], 2, 3)
+    assert rows(r.select("run", "n", "rank")) == {("r", 1, 1), ("r", 2, 2), ("r", 4, 3), ("s", 5, 1)}
+    # [aa,b] has 6 characters, [aa,b,ddd] has 10; a run whose first item does not fit has no manifest.
+    assert rows(budget.within(r, "run", "item", 9).select("n")) == {(1,), (2,)}
+    assert rows(budget.within(r, "run", "item", 10).select("n")) == {(1,), (2,), (4,)}
+    m = budget.manifests(budget.within(r, "run", "item", 10), "run", "fam", "item").first()
+    assert (m.n_items, m.n_families, m.n_chars) == (3, 2, 10) and m.manifest_id.startswith("PM-")

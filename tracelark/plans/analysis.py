@@ -10,7 +10,7 @@ from tracelark.functions.hashing import canonical_json, canonical_json_exact, sh
 from tracelark.functions.numbers import calculated
 from tracelark.functions.unicode import strip_white
 from tracelark.functions.urls import host, search_result, web_url
-from tracelark.operators import keys, scoring, search
+from tracelark.operators import budget, keys, scoring, search
 from tracelark.operators.report import reader_leaks, report_sections
 from tracelark.plans import sqltext as S
 from tracelark.sources.filetree import grouped
@@ -126,6 +126,33 @@ def capped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.capped_top(c, "family", [F.desc("score"), F.col("family"), F.col("line_no")], 2, 12).select("line_no", "record_id", "family", "score")
 
 
+_ITEM = "to_json({'family': family, 'question_id': 'PQ-' || record_id, 'title': title})::VARCHAR"
+
+
+@query(f"""WITH c AS (SELECT corpus_id, line_no, record_id, title, {_FAMILY} AS family FROM l3_prior_candidates WHERE corpus_id IS NOT NULL AND title IS NOT NULL AND record_id IS NOT NULL),
+a AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, family ORDER BY length(title) DESC, line_no) AS f FROM c),
+b AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY length(title) DESC, line_no) AS rank FROM a WHERE f <= 2),
+d AS (SELECT *, {_ITEM} AS item FROM b WHERE rank <= 12), u AS (SELECT *, sum(length(item) + 1) OVER (PARTITION BY corpus_id ORDER BY rank) + 1 AS used FROM d),
+m AS (SELECT corpus_id, '[' || string_agg(item, ',' ORDER BY rank) || ']' AS t, count(*)::INT AS n_items, count(DISTINCT family) AS n_families FROM u WHERE used <= 1024 GROUP BY 1)
+SELECT corpus_id, 'PM-' || upper(left(sha256(corpus_id || chr(31) || t), 20)) AS manifest_id, n_items, n_families, length(t)::INT AS n_chars FROM m""")
+def prior_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of each corpus: capped by family and in all, cut from its tail to 1,024 characters."""
+    c = table(spark, sf_dir, "l3_prior_candidates").filter("corpus_id is not null and title is not null and record_id is not null")
+    c = c.select("corpus_id", "line_no", "record_id", "title", search.family(F.col("tags")).alias("family"))
+    r = budget.ranked(c, "corpus_id", "family", [F.desc(F.length("title")), F.col("line_no")], 2, 12)
+    r = r.withColumn("item", F.to_json(F.struct("family", F.concat(F.lit("PQ-"), "record_id").alias("question_id"), "title")))
+    return budget.manifests(budget.within(r, "corpus_id", "item", 1024), "corpus_id", "family", "item")
+
+
+@query("""SELECT line_no, CASE WHEN len(limitations) > 4 THEN 'ARRAY_ITEM_LIMIT' WHEN length(to_json(coalesce(limitations, []::VARCHAR[]))::VARCHAR) > 120 THEN 'ARRAY_CHAR_LIMIT'
+WHEN length(to_json({'line_no': line_no, 'text': paraphrased_content})::VARCHAR) > 160 THEN 'ITEM_CHAR_LIMIT' END AS code FROM l3_prior_candidates WHERE paraphrased_content IS NOT NULL""")
+def item_budget_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first limit that each candidate breaks as an item of a bundle."""
+    c = table(spark, sf_dir, "l3_prior_candidates").filter("paraphrased_content is not null")
+    whole = F.to_json(F.struct("line_no", F.col("paraphrased_content").alias("text")))
+    return c.select("line_no", budget.over_limit([F.col("limitations")], whole, 4, 120, 160).alias("code"))
+
+
 @query(f"""SELECT line_no, 'PQ-' || record_id AS question_id, {_FAMILY} AS family, CASE WHEN card_type = 'control' THEN 'deterministic_text,document_set' ELSE 'document_set,context_or_human' END AS channels,
 coalesce(len(scope.applies_when), 0)::INT AS n_applies FROM l3_prior_candidates""")
 def prior_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
