@@ -61,6 +61,14 @@ def merge_versions(existing: DataFrame, batch: DataFrame, key: str, labels: str)
     return merged.select(*existing.columns)
 
 
+def doubly_weighted(members: DataFrame, cluster: str, digest: str, score: str) -> DataFrame:
+    """Clusters in which the same content counts more than once with a positive score, and how many contents do.
+
+    Members without score or content do not count."""
+    d = members.filter((F.col(score) > 0) & F.col(digest).isNotNull()).groupBy(cluster, digest).agg(F.count("*").alias("_n"))
+    return d.filter("_n > 1").groupBy(cluster).agg(F.count("*").alias("n_contents"))
+
+
 #: Positions of one window of ``with_before``; a part of any size is cut into such spans.
 SPAN = 1_000_000
 

@@ -71,6 +71,14 @@ def first_seen_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_HASHED}, m AS (SELECT a.source_account.account_id AS account_id, h.body_hash FROM h JOIN articles a USING (line_no)),
+d AS (SELECT account_id, body_hash FROM m GROUP BY 1, 2 HAVING count(*) > 1) SELECT account_id, count(*) AS n_contents FROM d GROUP BY 1""")
+def doubly_weighted_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts in which the same body would weigh more than once, every article weighing one."""
+    a = table(spark, sf_dir, "articles").select(F.col("source_account.account_id").alias("account_id"), body_form(F.col("body")).alias("b"), F.lit(1.0).alias("score"))
+    return keys.doubly_weighted(a.filter("b <> ''").withColumn("digest", sha256(F.col("b"))), "account_id", "digest", "score")
+
+
 @query()
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article ids computed from platform, account and native id, and whether the declared one agrees."""

@@ -34,15 +34,19 @@ def build_session(app: str = "tracelark", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+#: Folders made where a session names none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Only where the setting is absent (tests, a laptop) is one made."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tracelark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(_remove, spark, at)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tracelark-")
+            atexit.register(_remove, spark, _own[app])
+        at = _own[app]
     return at.rstrip("/")
 
 

@@ -61,7 +61,7 @@ def _docx(z: zipfile.ZipFile) -> dict:
                 touched.add(_attr(e, "id"))
             elif t == "commentRangeEnd":
                 open_now.discard(_attr(e, "id"))
-            elif t == "t":
+            elif t in ("t", "delText"):
                 whole.append(e.text or "")
                 for c in open_now:
                     spans.setdefault(c, [[], []])[0].append(e.text or "")
@@ -89,7 +89,7 @@ def _docx(z: zipfile.ZipFile) -> dict:
     ]
     count = lambda t: sum(_tag(e) == t for e in body.iter())
     full = [p for p in paragraphs if p.strip()]
-    return dict(text="\n".join(full), paragraphs=len(full), tables=count("tbl"), images=count("drawing"), links=count("hyperlink"), comments=comments)
+    return dict(text="\n".join(full), paragraphs=len(full), tables=count("tbl"), images=sum(n.startswith("word/media/") and n[-1] != "/" for n in z.namelist()), links=count("hyperlink"), comments=comments)
 
 
 def _pptx(z: zipfile.ZipFile) -> dict:
