@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelark.functions.hashing import sha256, stable_article_id
-from tracelark.functions.text import body_form, document_form, scalar_form, title_form
+from tracelark.functions.text import body_form, scalar_form, title_form
 from tracelark.functions.timestamps import instant_micros, prepared
 from tracelark.functions.unicode import nfkc, strip_white
 from tracelark.functions.urls import portable_id

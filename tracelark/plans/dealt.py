@@ -9,6 +9,7 @@ from tracelark.functions.unicode import same_id
 from tracelark.operators.hierarchy import descendants, hierarchy
 from tracelark.operators.instants import normalise_instants
 from tracelark.operators.orphans import orphan_cascade
+from tracelark.plans import dealt_sql
 from tracelark.plans import sqltext as S
 from tracelark.sources.tables import table
 
@@ -161,4 +162,4 @@ j AS (SELECT r.*, CASE WHEN d.del <= r.ts THEN 'deleted' WHEN t.id IS NULL THEN
   FROM r LEFT JOIN t ON r.tb = t.tb AND r.ref_value = t.id LEFT JOIN d ON r.tb = d.tb AND r.ref_value = d.id)
 SELECT src_table, field_name, line_no, ref_value, reason, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS period FROM j WHERE reason IS NOT NULL"""
 
-ORACLES = {"p2_found": _TREE, "p3_found": _ORPHANS}
+ORACLES = {"p2_found": _TREE, "p3_found": _ORPHANS, **dealt_sql.ORACLES}
