@@ -183,7 +183,7 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, declared in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                # Neither links nor disguised letters matter here: what they add to a count is far below COMMON_DF.
+                # Links and disguised letters stay in: words of links count nowhere else, disguised ones are rare.
                 s = text.lower()
                 words = set(_words(s))
                 words.add("")
