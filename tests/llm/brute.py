@@ -25,6 +25,21 @@ def same_text(s):
     return "".join(c for c in s if not c.isspace() and u.category(c)[0] != "P")
 
 
+# One class of letters a string, written out: letters that look alike in either case, in both cases.
+CLASSES = (
+    "aAаАαΑ bBвВβΒ cCсСϲϹ dDԁԀ eEеЕεΕ hHнНһҺηΗ iIіІιΙ jJјЈϳͿ kKкКκΚ lLӏӀ mMмМμΜ nNΝ oOоОοΟ pPрРρΡ qQԛԚ "
+    "sSѕЅ tTтТτΤ uUυ vVѵѴν wWԝԜ xXхХχΧ yYуУΥ zZζΖ"
+).split()
+CLASS_OF = {c: k[0] for k in CLASSES for c in k}
+
+
+def case_text(s):
+    """The same text, stated by classes of letters and not by tables of one case."""
+    s = "".join(CLASS_OF.get(c, c) for c in u.normalize("NFKD", s) if c not in INVISIBLE)
+    s = u.normalize("NFC", "".join(CLASS_OF.get(c, c) for c in s.casefold()))
+    return "".join(c for c in s if not c.isspace() and u.category(c)[0] != "P")
+
+
 def line_key(line):
     k = "".join(c for c in same_text(line) if u.category(c) != "Nd")
     return k if any(u.category(c)[0] == "L" for c in k) else None

@@ -84,6 +84,26 @@ def test_copies_random(spark):
     assert members(spark, []) == set()
 
 
+RUSSIAN = ["Материал номер три, вот так", "Читайте также: новости", "Ёлка и йод, КВН", "Vine and nine", "νews Νews υp Υp", "Straße МОСТ"]
+
+
+def cased(rnd, s):
+    return rnd.choice([s, s.upper(), s.lower(), s.swapcase(), s.title()]) if not set(s) & set("νΝυΥ") else s
+
+
+def test_copies_in_other_case(spark):
+    rnd = random.Random(8)
+    rows = [("f", "", i, disguised(rnd, cased(rnd, rnd.choice(RUSSIAN)))) for i in range(300)]
+    assert members(spark, rows) == brute.groups([(i, None, v) for _, _, i, v in rows], brute.case_text, False)
+    assert members(spark, [("f", "", i, v) for i, v in enumerate(["МАТЕРИАЛ", "материал", "мАТЕРИАЛ", "Mатериал"])]) == {(0, i) for i in range(4)}
+    assert members(spark, [("f", "", 1, "vine"), ("f", "", 2, "nine"), ("f", "", 3, "Νine"), ("f", "", 4, "νine")]) == {(1, 1), (1, 4), (2, 2), (2, 3)}
+
+
+def test_repeated_lines_in_other_case(spark):
+    docs = [(1, "a", "Материал 1"), (2, "a", "МАТЕРИАЛ 2!"), (3, "a", "мАТЕРИАЛ"), (4, "b", "материал")]
+    assert found_lines(spark, docs) == {(1, 0), (2, 0), (3, 0)}
+
+
 def test_map_copies(spark):
     from pyspark.sql import functions as F
 

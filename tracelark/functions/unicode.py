@@ -33,6 +33,10 @@ LOOK_ALIKES = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
 }
 
+# The same letters once case is folded: в is no look-alike of b, but В is one of B. Greek Ν (N) and ν (v), Υ (Y) and υ (u)
+# have different Latin letters by case; they are mapped by their look before folding and never reach this table.
+FOLDED_ALIKES = {k.casefold(): v.casefold() for k, v in LOOK_ALIKES.items() if k not in "νΝυΥ"}
+
 _NORMALIZER = "com.ibm.icu.text.Normalizer"
 
 
@@ -100,11 +104,14 @@ def look_form(c: Column) -> Column:
 
 def text_form(c: Column, digits: bool = True) -> Column:
     """One form for all strings that are the same text: the look form, case-folded, without
-    white space and punctuation, and with ``digits=False`` without decimal digits."""
+    white space and punctuation, and with ``digits=False`` without decimal digits.
+
+    Look-alikes are mapped again after folding, so М, м, M and m are one letter whatever case the text is in.
+    Greek ν and Ν, υ and Υ are v and n, u and y by their look, and so not the same by case."""
     drop = rf"[\p{{P}}{WHITE}]+" if digits else rf"[\p{{P}}\p{{Nd}}{WHITE}]+"
-    folded = F.when(
-        is_wide(c), _composed(_call("com.ibm.icu.lang.UCharacter", "foldCase", _unmasked(c)))
-    ).otherwise(F.lower(c))
+    lower = _call("com.ibm.icu.lang.UCharacter", "foldCase", _unmasked(c))
+    lower = F.translate(lower, "".join(FOLDED_ALIKES), "".join(FOLDED_ALIKES.values()))
+    folded = F.when(is_wide(c), _composed(lower)).otherwise(F.lower(c))
     return F.regexp_replace(folded, drop, "")
 
 
