@@ -176,3 +176,19 @@ def test_rank_frequency_is_least_squares(spark):
 
 def test_spam_empty(spark):
     assert spam.spam_pages(spark, spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
+
+
+def test_spam_by_the_curve_of_the_whole_page(spark):
+    rnd = random.Random(10)
+    good, bad = pages()
+    # Prose whose topic words differ from page to page, so that long pages stay as fresh as prose is.
+    fill = ["".join(rnd.choice("bdklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(4000)]
+    honest = [" ".join(f"The {rnd.choice(fill)} of the {rnd.choice(fill)} shows what the {rnd.choice(fill)} in the {rnd.choice(fill)} limits for a {rnd.choice(fill)}." for _ in range(rnd.randrange(30, 60))) for _ in range(120)]
+    # A block of 60 words, half of them common ones, again and again: no window of 40 words repeats much, none is a list.
+    common = "the of shows what in limits for a".split()
+    block = [w for x in fill[:52] for w in ([x, rnd.choice(common)] if rnd.random() < 0.3 else [x])]
+    stuffed = [" ".join((" ".join(rnd.sample(block, len(block))) + ".") for _ in range(9)) for _ in range(3)]
+    docs = [(i, t, "en") for i, t in enumerate(honest)] + [(1000 + i, t, "en") for i, t in enumerate(stuffed)] + [(2000 + i, t, "en") for i, t in enumerate(good)]
+    got = {r.doc_id: r for r in spam.spam_pages(spark, spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[1000 + i].divergence < 0.5 and got[1000 + i].is_spam for i in range(3))
+    assert not any(r.is_spam for i, r in got.items() if i < 1000)

@@ -6,7 +6,8 @@ Three views of a page against prose of its language at comparable length:
 * divergence: the share of its characters in segments (lines, sentences) that depart from prose. A segment
   departs if it is a link, if it is a mere list, if hardly any of its words are common in the language's
   documents, or if the words around it repeat far more than words of prose do. Repetition is measured in
-  windows of equal length, so that long and short pages compare.
+  windows of equal length, so that long and short pages compare. On a page with an extreme curve a segment also
+  departs if its words come back too often on the page as a whole, at whatever distance.
 
 Everything "usual" is a median over all pages of the language; no vocabulary is built in.
 """
@@ -29,6 +30,9 @@ COMMON_DF = 0.1
 LEAST_COMMON, LEAST_COMMON_PAIRS = 0.3, 0.2
 #: Least variety of words in a window, as a part of the language's median.
 LEAST_VARIETY = 0.68
+#: Least freshness (mean of 1 / count on the page, over words) in prose of a page with an extreme curve, as a part of
+#: the median of pages of the language and size.
+LEAST_FRESH = 0.5
 #: Separators per word that make a list; lower for pairs of characters.
 LIST_MARKS, LIST_MARKS_PAIRS = 0.3, 0.2
 WINDOW = 40
@@ -141,16 +145,18 @@ def _variety(words: list[str]) -> float:
 _FULL = 1 / WINDOW**0.9
 
 
-def _measured(segs, stream: list[str], common: frozenset) -> list[tuple]:
-    """Segments with the share of common words and the variety of the window of WINDOW words around each.
+def _measured(segs, stream: list[str], common: frozenset, counts: Counter) -> list[tuple]:
+    """Segments with the share of common words, the variety of the window of WINDOW words around each, and freshness.
 
-    A segment longer than a window has the mean variety of its own windows side by side."""
+    A segment longer than a window has the mean variety of its own windows side by side. Freshness is the mean of
+    1 / count over the words of a segment; over those of the page it is distinct words by words."""
     total, pos, out, known = len(stream), 0, [], common.__contains__
+    fresh = {w: 1 / c for w, c in counts.items()}.__getitem__
     only = _variety(stream) if 0 < total <= WINDOW else None
     for n, m, words, is_list in segs:
         k = len(words)
         if not k:
-            out.append((n, m, 0, 0.0, 0.0, is_list))
+            out.append((n, m, 0, 0.0, 0.0, 0.0, is_list))
             continue
         if only is not None:
             variety = only
@@ -161,7 +167,7 @@ def _measured(segs, stream: list[str], common: frozenset) -> list[tuple]:
             parts = [words[i : i + WINDOW] for i in range(0, k, WINDOW)]
             full = [p for p in parts if len(p) >= WINDOW // 2]
             variety = sum(map(_variety, full)) / len(full)
-        out.append((n, m, k, sum(map(known, words)) / k, variety, is_list))
+        out.append((n, m, k, sum(map(known, words)) / k, variety, sum(map(fresh, words)) / k, is_list))
         pos += k
     return out
 
@@ -213,7 +219,7 @@ def common_words(docs: DataFrame, scratch: Scratch) -> dict[str, frozenset]:
 
 _MEASURES = (
     "doc_id bigint, lang string, n_words int, "
-    "segs array<struct<n:int,m:int,k:int,common:double,variety:double,listed:boolean>>, curve array<struct<f:int,m:int>>"
+    "segs array<struct<n:int,m:int,k:int,common:double,variety:double,fresh:double,listed:boolean>>, curve array<struct<f:int,m:int>>"
 )
 
 
@@ -224,7 +230,7 @@ def measured_pages(docs: DataFrame, common: dict[str, frozenset]) -> DataFrame:
         import pyarrow as pa
 
         i4, f8 = pa.int32(), pa.float64()
-        kinds = [("n", i4), ("m", i4), ("k", i4), ("common", f8), ("variety", f8), ("listed", pa.bool_())]
+        kinds = [("n", i4), ("m", i4), ("k", i4), ("common", f8), ("variety", f8), ("fresh", f8), ("listed", pa.bool_())]
 
         def nested(rows: list[list], fields: list) -> pa.Array:
             ends = [0]
@@ -245,7 +251,7 @@ def measured_pages(docs: DataFrame, common: dict[str, frozenset]) -> DataFrame:
                 ids.append(doc_id)
                 langs.append(lang)
                 sizes.append(len(stream))
-                seg_rows.append(_measured(segs, stream, common.get(lang, frozenset())))
+                seg_rows.append(_measured(segs, stream, common.get(lang, frozenset()), counts))
                 curves.append(list(Counter(counts.values()).items()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, i4), nested(seg_rows, kinds), nested(curves, [("f", i4), ("m", i4)])],
@@ -289,9 +295,10 @@ def _deviations(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
 def spam_pages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document with a text: doc_id, lang, n_chars, divergence, slope, residual, slope_z, residual_z, is_spam.
 
-    ``docs``: doc_id BIGINT, text, lang; other columns are ignored. A page is spam if its curve or its divergence
-    is extreme and, checked exactly, more than half of its characters diverge from prose. Empty pages are not
-    spam; a curve of a single frequency has no slope (null). The whole of every text is measured.
+    ``docs``: doc_id BIGINT, text, lang; other columns are ignored. A page is spam if, checked exactly, more than
+    half of its characters diverge from prose. On a page with an extreme curve, words that come back too often on the
+    page as a whole diverge too; ``divergence`` is without these. Empty pages are not spam; a curve of a single
+    frequency has no slope (null) and is extreme if its words recur. The whole of every text is measured.
     """
     scratch = Scratch(spark, "spam")
     docs = docs.select("doc_id", "text", "lang")
@@ -300,33 +307,43 @@ def spam_pages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     usual = seg.groupBy("lang").agg(
         F.percentile_approx("s.common", 0.5, 1000).alias("u_common"), F.percentile_approx("s.variety", 0.5, 1000).alias("u_variety")
     )
-    p = pages.join(usual, "lang", "left")
+    size = F.floor(F.log2(F.col("n_words") + 1))
+    distinct = F.aggregate("curve", F.lit(0).cast("bigint"), lambda a, c: a + c["m"])
+    sizes = pages.select("lang", size.alias("size"), F.when(F.col("n_words") > 0, distinct / F.col("n_words")).alias("fresh"))
+    sizes = sizes.groupBy("lang", "size").agg(F.percentile_approx("fresh", 0.5, 1000).alias("u_fresh"))
+    usual = sizes.join(usual, "lang", "left")  # as many rows as languages and sizes
+    p = pages.withColumn("size", size).join(usual, ["lang", "size"], "left")
     least = F.when(F.col("lang") == "zh", LEAST_COMMON_PAIRS).otherwise(LEAST_COMMON)
 
-    def diverging(s):
+    def diverging(s, page_wide=False):
         prose = (
             (s["k"] >= 3)
             & ~s["listed"]
             & (s["common"] >= least * F.coalesce("u_common", F.lit(0.0)))
             & (s["variety"] >= LEAST_VARIETY * F.coalesce("u_variety", F.lit(0.0)))
         )
+        if page_wide:
+            prose = prose & (s["fresh"] >= LEAST_FRESH * F.coalesce("u_fresh", F.lit(0.0)))
         return s["n"] - F.when(prose, s["m"]).otherwise(0)
 
     zero = F.lit(0).cast("bigint")
     p = p.select(
         "doc_id",
         "lang",
-        F.floor(F.log2(F.col("n_words") + 1)).alias("size"),
+        "size",
+        ((F.size("curve") == 1) & (F.element_at("curve", 1)["f"] > 1)).alias("flat"),
         F.aggregate("segs", zero, lambda a, s: a + s["n"]).alias("n_chars"),
         F.aggregate("segs", zero, lambda a, s: a + diverging(s)).alias("off_chars"),
+        F.aggregate("segs", zero, lambda a, s: a + diverging(s, True)).alias("wide_chars"),
     )
     p = p.withColumn("divergence", F.when(F.col("n_chars") > 0, F.col("off_chars") / F.col("n_chars")).otherwise(0.0))
     curve = p.select("doc_id", "lang", "size").join(rank_frequency(pages), "doc_id")
     curve = scratch.keep(curve, "curves")
     z = _deviations(curve, ["slope", "residual"], ["lang", "size"])
     p = p.join(z.select("doc_id", "slope", "residual", "slope_z", "residual_z"), "doc_id", "left")
-    extreme = (F.abs("slope_z") > EXTREME) | (F.abs("residual_z") > EXTREME) | (F.col("divergence") > 0.5)
+    extreme = F.coalesce((F.abs("slope_z") > EXTREME) | (F.abs("residual_z") > EXTREME), F.col("flat"), F.lit(False))
+    off = F.when(extreme, F.col("wide_chars")).otherwise(F.col("off_chars"))
     return p.select(
         "doc_id", "lang", "n_chars", "divergence", "slope", "residual", "slope_z", "residual_z",
-        (F.coalesce(extreme, F.lit(False)) & (F.col("off_chars") * 2 > F.col("n_chars"))).alias("is_spam"),
+        (off * 2 > F.col("n_chars")).alias("is_spam"),
     )
