@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 from tests import brute
-from tracelark.operators.hierarchy import descendants, hierarchy
+from tracelark.operators.hierarchy import descendants, hierarchy, loop_descendants
 from tracelark.operators.instants import InstantDictionary, keyed_values, normalise_instants
 from tracelark.operators.orphans import orphan_cascade
 
@@ -50,6 +50,41 @@ def test_descendant_pairs(spark):
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+def walked(rows):
+    """{(ancestor, id, distance)} of pairs on and below loops, by walking up from every node."""
+    ids = {i for i, _ in rows}
+    parent = {}
+    for i, p in rows:
+        if p in ids:
+            parent[i] = min(p, parent.get(i, p))
+    out = set()
+    for i in ids:
+        way, at = [i], i
+        while at in parent and parent[at] not in way:
+            at = parent[at]
+            way.append(at)
+        if at in parent:
+            out |= {(a, i, k) for k, a in enumerate(way) if k}
+    return out
+
+
+def test_descendant_pairs_of_loops(spark):
+    rnd = random.Random(15)
+    rows = [(f"n{i:03}", rnd.choice([None, f"n{rnd.randrange(150):03}", f"n{rnd.randrange(150):03}", "gone"])) for i in range(150)]
+    rows += [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("z", "y"), ("y", "x"), ("x", "z"), ("w", "y"), ("self", "self"), ("below", "self")]
+    df = spark.createDataFrame(rows, "id string, parent string")
+    t = hierarchy(spark, df).persist()
+    got = [tuple(r) for r in loop_descendants(spark, t, df).collect()]
+    assert set(got) == walked(rows) and len(got) == len(set(got))
+    counts = {r.id: r.n_descendants for r in t.collect()}
+    n = dict.fromkeys(counts, 0)
+    for a, *_ in [*got, *map(tuple, descendants(t).collect())]:
+        n[a] += 1
+    assert n == counts
+    none = spark.createDataFrame([("a", None), ("b", "a")], "id string, parent string")
+    assert loop_descendants(spark, hierarchy(spark, none), none).count() == 0
+
+
 def ts(day):
     return dt.datetime(2024, 1, day, tzinfo=UTC)
 

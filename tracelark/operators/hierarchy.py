@@ -182,6 +182,48 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """All (ancestor_id, id, distance) pairs below each node of a tree, from the paths. Loops have no paths."""
+    """All (ancestor_id, id, distance) pairs below each node of a tree, from the paths. Loops have no paths: see loop_descendants."""
     steps = tree.filter("depth > 0").select("id", "depth", F.posexplode(F.split("path", "/")).alias("pos", "ancestor_id"))
     return steps.filter("pos < depth").select("ancestor_id", "id", (F.col("depth") - F.col("pos")).alias("distance"))
+
+
+def loop_descendants(spark: SparkSession, tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All (ancestor_id, id, distance) pairs on and below loops: with ``descendants`` as many as n_descendants counts.
+
+    ``tree`` is the hierarchy of ``nodes`` (id, parent). A loop is cut at its smallest member: the rest is a tree, whose
+    paths give the pairs along it. Every member also reaches all others and what hangs from them, around the loop; the
+    distance is that of the only way. Nodes in no loop's component take no part.
+    """
+    scratch = Scratch(spark, "loops")
+    looped = scratch.keep(tree.filter("depth = -1").select("id", "root_id", "in_loop"), "looped")
+    raw = nodes.select(F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent")).filter("id is not null")
+    known = looped.select(F.col("id").alias("parent"))
+    # The parent of a looped node is looped; of several the smallest with a row counts, which may be no looped one's.
+    rows = raw.filter("parent is not null").join(tree.select(F.col("id").alias("parent")), "parent", "left_semi").groupBy("id").agg(F.min("parent").alias("parent"))
+    up = rows.join(known, "parent", "left_semi").join(looped, "id")
+    opened = up.select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent"))
+    t = scratch.keep(hierarchy(spark, opened).select("id", "root_id", "depth", "path").join(looped.select("id", "in_loop"), "id"), "opened")
+
+    # Members lie on the way from the smallest one to the last, at depths 0, 1, ...; a node hangs from its last member.
+    members = t.filter("in_loop").select(F.col("root_id"), F.col("id").alias("ancestor_id"), F.col("depth").alias("a_depth"))
+    length = members.groupBy("root_id").agg(F.count("*").alias("n"))
+    steps = t.select("id", "root_id", "depth", "in_loop", F.posexplode(F.split("path", "/")).alias("pos", "step"))
+    entry = (
+        steps.join(members.select("root_id", F.col("ancestor_id").alias("step"), "a_depth"), ["root_id", "step"])
+        .groupBy("id", "root_id", "depth")
+        .agg(F.max("a_depth").alias("e_depth"))
+        .join(length, "root_id")
+    )
+    around = (
+        entry.join(members, "root_id")
+        .filter("id <> ancestor_id")
+        .select(
+            "ancestor_id",
+            "id",
+            # From the ancestor around to the entry member, then down.
+            (F.pmod(F.col("e_depth") - F.col("a_depth"), F.col("n")) + F.col("depth") - F.col("e_depth")).cast("int").alias("distance"),
+        )
+    )
+    lower = steps.filter("pos < depth").join(members.select("root_id", F.col("ancestor_id").alias("step")), ["root_id", "step"], "left_anti")
+    lower = lower.select(F.col("step").alias("ancestor_id"), "id", (F.col("depth") - F.col("pos")).cast("int").alias("distance"))
+    return around.unionByName(lower)

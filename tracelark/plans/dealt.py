@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelark.functions.unicode import same_id
-from tracelark.operators.hierarchy import descendants, hierarchy
+from tracelark.operators.hierarchy import descendants, hierarchy, loop_descendants
 from tracelark.operators.instants import normalise_instants
 from tracelark.operators.orphans import orphan_cascade
 from tracelark.plans import dealt_sql
@@ -41,6 +41,12 @@ def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(p2_tree(spark, sf_dir))
 
 
+def p2_loop_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs on and below loops, which p2_descendants and its SQL leave out."""
+    nodes = _candidate_nodes(spark, sf_dir)
+    return loop_descendants(spark, hierarchy(spark, nodes), nodes)
+
+
 def p2_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each loop with its number of members and the size of the component that hangs from it."""
     t = p2_tree(spark, sf_dir).filter("depth = -1")
@@ -131,7 +137,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_instants(spark, a.unionByName(c))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_loops, p3_found, p3_report, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_loop_descendants, p2_loops, p3_found, p3_report, p7_found)}
 
 _TREE = f"""WITH RECURSIVE c AS (SELECT {S.same_id("record_id")} AS id, parent_ids FROM l3_prior_candidates), n AS (SELECT DISTINCT id FROM c WHERE id IS NOT NULL),
 e AS (SELECT id, {S.same_id("r")} AS p FROM (SELECT id, unnest(parent_ids) AS r FROM c)),
