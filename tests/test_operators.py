@@ -100,6 +100,15 @@ def test_version_chain(spark):
     assert {(r.art, r.is_line) for r in corpus_build.chain_check(broken, "art").collect()} == {("a", False), ("b", False)}
 
 
+def test_number_gaps_over_thousands(spark, tmp_path):
+    from tracelark.plans import corpus
+
+    ids = [f"L2-{i}" for i in (998, 1003, 1004, 1006, 4001, 4002, 1_999_999, 2_000_001)] + ["L2-998"]
+    spark.createDataFrame([(i,) for i in ids], "record_id string").write.parquet(str(tmp_path / "l2_article_maps.parquet"))
+    got = rows(corpus.number_gaps(spark, str(tmp_path)))
+    assert got == {(1, 998, 1003, 4), (1, 1004, 1006, 1), (4, 1006, 4001, 2994), (1999, 4002, 1_999_999, 1_995_996), (2000, 1_999_999, 2_000_001, 1)}
+
+
 def test_lineage(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "x"), (None, "q")], "id string, input string")
     got = rows(lineage.transitive_inputs(spark, e))

@@ -438,10 +438,10 @@ def ingest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT grp, before, num, num - before - 1 AS n_missing FROM (SELECT num // 1000 AS grp, num, lag(num) OVER (PARTITION BY num // 1000 ORDER BY num) AS before
 FROM (SELECT DISTINCT regexp_extract(record_id, '([0-9]+)$', 1)::BIGINT AS num FROM l2_article_maps)) WHERE num - before > 1""")
 def number_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unused numbers of the article maps, within each thousand."""
+    """Unused numbers of the article maps, with the thousand of the number after them; a gap may span thousands."""
     n = table(spark, sf_dir, "l2_article_maps").select(F.regexp_extract("record_id", "([0-9]+)$", 1).cast("bigint").alias("num")).distinct()
-    n = n.withColumn("grp", (F.col("num") - F.pmod("num", F.lit(1000))) / 1000).withColumn("grp", F.col("grp").cast("bigint"))
-    return keys.gaps(n, "num", ["grp"]).select("grp", "before", "num", "n_missing")
+    g = keys.gaps(n.withColumn("all", F.lit(0)), "num", ["all"])
+    return g.select(F.expr("num div 1000").alias("grp"), "before", "num", "n_missing")
 
 
 @query("""SELECT line_no, CASE WHEN try_cast(derivation.created_at AS TIMESTAMPTZ) IS NULL THEN 'UNREADABLE' WHEN try_cast(derivation.created_at AS TIMESTAMPTZ) > ingested_at THEN 'CREATED_AFTER_INGEST' ELSE 'IN_ORDER' END AS state FROM cleaned""")
