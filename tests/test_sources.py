@@ -74,6 +74,19 @@ def test_texts_cells_denylist(spark, tmp_path):
         filetree.read_denylist(spark, str(d / "deny"), str(d))
 
 
+def test_cells_of_wide_and_odd_rows(spark, tmp_path):
+    d = tmp_path / "cells"
+    d.mkdir()
+    (d / "wide.csv").write_text(",".join(f"c{i}" for i in range(1, 30_001)) + "\n" + "," * 70 + "=1+1\n")
+    (d / "odd.csv").write_bytes("\ufeffé;\"\";\"say \"\"x\"\"\"\r\n\r\n;b\n".encode() + b"\xff;" + b"z" * 200_000)
+    (d / "empty.csv").write_bytes(b"")
+    got = {(r.row_no, r.column_no, r.cell) for r in filetree.read_cells(spark, str(d / "wide.csv")).collect()}
+    assert got == {(1, i, f"c{i}") for i in range(1, 30_001)} | {(2, 71, "=1+1")}
+    got = {(r.row_no, r.column_no, r.cell) for r in filetree.read_cells(spark, str(d / "odd.csv"), ";").collect()}
+    assert got == {(1, 1, "é"), (1, 2, ""), (1, 3, 'say "x"'), (3, 2, "b"), (4, 1, "\ufffd"), (4, 2, "z" * 200_000)}
+    assert {r.file.rsplit("/", 1)[1] for r in filetree.read_cells(spark, str(d)).select("file").distinct().collect()} == {"wide.csv", "odd.csv"}
+
+
 W = 'xmlns:w="w" xmlns:w15="w15"'
 
 

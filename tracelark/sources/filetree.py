@@ -9,7 +9,6 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tracelark.functions.batches import batched
 
@@ -91,17 +90,44 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*", max_bytes: in
     return files.select("path", F.col("length").alias("n_bytes"), decode(small).alias("d")).select("path", "n_bytes", "d.text", "d.problem")
 
 
-def read_cells(spark: SparkSession, path: str, separator: str = ",", columns: int = 64) -> DataFrame:
+#: Cells of one Arrow batch.
+CELLS = 50_000
+
+
+def read_cells(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """(file, row_no, column_no, cell) of delimited files without a header, quoted cells with line ends included.
 
-    Rows count within a file; ``columns`` is the most a row may have."""
-    schema = ", ".join(f"c{i} string" for i in range(1, columns + 1))
-    t = spark.read.schema(schema).option("sep", separator).option("multiLine", "true").option("header", "false").csv(path)
-    t = t.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.array(*t.columns).alias("cells"))
-    # A multi-line file is one task, so a file's rows are already together.
-    t = t.withColumn("row_no", F.row_number().over(W.partitionBy("file").orderBy("at")))
-    c = t.select("file", "row_no", F.posexplode("cells").alias("p", "cell"))
-    return c.filter("cell is not null").select("file", "row_no", (F.col("p") + 1).alias("column_no"), "cell")
+    Rows count within a file, blank ones too, and may have any number of cells; empty cells without quotes are left out.
+    Text is UTF-8, with or without mark; other bytes become replacement characters. A file is one task."""
+
+    def run(batches):
+        import csv
+        import io
+
+        import pyarrow as pa
+
+        csv.field_size_limit(2**31 - 1)
+        kinds = {"file": pa.string(), "row_no": pa.int32(), "column_no": pa.int32(), "cell": pa.string()}
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1)):
+                text = io.StringIO(content.as_py().decode("utf-8-sig", errors="replace"), newline="")
+                rows = []
+                for row_no, row in enumerate(csv.reader(text, delimiter=separator, quoting=csv.QUOTE_NOTNULL), 1):
+                    for column_no, cell in enumerate(row, 1):
+                        if cell is not None:
+                            rows.append((file, row_no, column_no, cell))
+                            if len(rows) >= CELLS:
+                                yield batch(rows)
+                                rows = []
+                if rows:
+                    yield batch(rows)
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("content"))
+    return files.mapInArrow(run, "file string, row_no int, column_no int, cell string")
 
 
 def read_denylist(spark: SparkSession, path: str, scanned_root: str) -> list[tuple[int, str, bool]]:
