@@ -109,6 +109,14 @@ def test_number_gaps_over_thousands(spark, tmp_path):
     assert got == {(1, 998, 1003, 4), (1, 1004, 1006, 1), (4, 1006, 4001, 2994), (1999, 4002, 1_999_999, 1_995_996), (2000, 1_999_999, 2_000_001, 1)}
 
 
+def test_deep_lineage(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(150)] + [("x", "y"), ("y", "x")], "id string, input string")
+    got = rows(lineage.transitive_inputs(spark, e))
+    chain = {(f"n{i}", f"n{k}", k - i) for i in range(150) for k in range(i + 1, 151)}
+    assert got == chain | {("x", "y", 1), ("x", "x", 2), ("y", "x", 1), ("y", "y", 2)}
+    assert max(d for *_, d in rows(lineage.transitive_inputs(spark, e, 10))) == 10
+
+
 def test_lineage(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "x"), (None, "q")], "id string, input string")
     got = rows(lineage.transitive_inputs(spark, e))

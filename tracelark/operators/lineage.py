@@ -12,18 +12,18 @@ MAX_DEPTH = 64
 HOPS = 4
 
 
-def transitive_inputs(spark: SparkSession, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All (id, input, distance) pairs of ``edges`` (id, input), with the least distance, up to ``max_depth``.
+def transitive_inputs(spark: SparkSession, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """All (id, input, distance) pairs of ``edges`` (id, input), with the least distance, up to ``max_depth`` if given.
 
     Distances double from round to round: a pair further apart than 2^k goes through one at exactly 2^k on a
-    shortest way, so only those pairs are extended. Loops end by themselves; a node on a loop is its own input."""
+    shortest way, so only those pairs are extended, until no pair is so far apart. Loops end by themselves; a node on a loop is its own input."""
     scratch = Scratch(spark, "inputs")
     pairs = scratch.keep(edges.select("id", "input").dropna().distinct().withColumn("distance", F.lit(1)), "pairs")
     reach = 1
-    while reach < max_depth:
+    while max_depth is None or reach < max_depth:
         head = pairs.filter(F.col("distance") == reach).select("id", F.col("input").alias("via"))
         tail = pairs.select(F.col("id").alias("via"), "input", (F.col("distance") + reach).alias("distance"))
-        longer = head.join(tail.filter(F.col("distance") <= max_depth), "via").select("id", "input", "distance")
+        longer = head.join(tail if max_depth is None else tail.filter(F.col("distance") <= max_depth), "via").select("id", "input", "distance")
         both = pairs.unionByName(longer).groupBy("id", "input").agg(F.min("distance").alias("distance"))
         previous, pairs = pairs, scratch.keep(both, "pairs")
         scratch.drop(previous)
