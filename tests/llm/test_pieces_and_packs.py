@@ -192,3 +192,11 @@ def test_spam_by_the_curve_of_the_whole_page(spark):
     got = {r.doc_id: r for r in spam.spam_pages(spark, spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
     assert all(got[1000 + i].divergence < 0.5 and got[1000 + i].is_spam for i in range(3))
     assert not any(r.is_spam for i, r in got.items() if i < 1000)
+
+
+def test_tags_of_any_length_are_links():
+    tag = '<img alt="' + "plain words of a caption " * 40 + '">'
+    text = "The tenant moved. " + tag + " < " + "it is less than that, " * 20 + " >"
+    got = [w for x in spam._segments(spam._plain(text)) for w in x[2]]
+    assert "caption" not in got and "less" in got
+    assert sum(x[0] - x[1] for x in spam._segments(spam._plain(text))) >= len(tag)

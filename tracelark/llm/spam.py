@@ -40,7 +40,8 @@ WINDOW = 40
 EXTREME = 3.5
 
 _IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
-_LINK = re.compile(r"<a\s[^<>\n]*>[^<\n]*</a>|\[[^\]\n]*\]\([^)\s]*\)|<[^<>\n]{0,300}>|(?:https?://|www\.)[^\s<>)\]\"]+|[@#]\w[\w.'-]*")
+# A tag of any length; what else stands between < and > only if it is short, since that may be text.
+_LINK = re.compile(r"<a\s[^<>\n]*>[^<\n]*</a>|\[[^\]\n]*\]\([^)\s]*\)|<[^<>\n]{0,300}>|<[/!?]?[a-z][^<>\n]*>|(?:https?://|www\.)[^\s<>)\]\"]+|[@#]\w[\w.'-]*")
 _WORD = re.compile(r"[^\W\d_]+")
 _PAIRED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
