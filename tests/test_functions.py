@@ -97,12 +97,25 @@ def test_decimal_evaluator():
     for bad in ("__import__('os')", "a.b", "1.5 + a", "a / 0", "c + 1", "a ** a", "x" * 501, "a if b else 1", "True + 1"):
         with pytest.raises(ValueError):
             numbers.evaluate(bad, ops)
+    assert numbers.evaluate(" b % 2 ", ops) == 1 and numbers.evaluate("-b % 2", ops) == -1 and numbers.evaluate("round(a * 25)", ops) == 2
+    assert numbers.evaluate("b ** 100 ** 1 * 10 ** 100 ** 1", ops) > D(10) ** 147
+    big = numbers.evaluate("x ** 100", {"x": D("1e9999")})
+    assert big.adjusted() == 999_900  # results may leave the range of operands
+    for bad in ("round(a, 29)", "b ** 101", "b % 0", " ", "1" * 257):
+        with pytest.raises(ValueError):
+            numbers.evaluate(bad, ops)
     assert numbers.influences("a * b", ops, "a", D("0.3"))
     assert not numbers.influences("a * 0 + b", ops, "a", D(3))
-    assert numbers.parse(" 12.5 % ") == (D("12.5"), True) and numbers.parse("1,000") is None
+    assert numbers.influences("abs(a)", {"a": D(1)}, "a", D(1))
+    # Moving b only ever leads to no value or to the same one: that is no influence.
+    assert not numbers.influences("1 ** b", {"b": D(3)}, "b", D(1))
+    assert not numbers.influences("0 % b", {"b": D(1)}, "b", D(0))
+    assert numbers.parse(" 12.5% ") == (D("12.5"), True) and numbers.parse("1,000") is None and numbers.parse("12.5 %") is None
+    assert numbers.parse(".5") == (D("0.5"), False) and numbers.parse("5.") == (D(5), False) and numbers.parse("1e10001") is None and numbers.parse("9" * 257) is None
 
 
 def test_calculated_column(spark):
-    df = spark.createDataFrame([("a * 2", {"a": "1e30"}), ("a +", {"a": "1"}), ("a * 0", {"a": "5"}), (None, None)], "e string, o map<string,string>")
+    df = spark.createDataFrame([("a * 2", {"a": "1e30"}), ("a +", {"a": "1"}), ("a * 0", {"a": "5"}), (None, None), ("a / 3", {"a": "1"}), ("a ** 100", {"a": "1e50"})], "e string, o map<string,string>")
     got = [tuple(r.c) if r.c is not None else None for r in df.select(numbers.calculated(F.col("e"), F.col("o")).alias("c")).collect()]
     assert got[0] == ("2" + "0" * 30, []) and got[1] == (None, None) and got[2] == ("0", ["a"]) and got[3] == (None, None)
+    assert got[4] == ("0." + "3" * 50, []) and got[5] == ("1E+5000", [])

@@ -100,9 +100,9 @@ def package(**parts):
 
 def test_office_documents(spark, tmp_path):
     docx = package(
-        word__document_X_xml=f'<w:document {W}><w:body><w:p><w:commentRangeStart w:id="1"/><w:r><w:t>Sel</w:t></w:r><w:commentRangeEnd w:id="1"/><w:r><w:t> rest</w:t></w:r></w:p><w:p/><w:tbl/></w:body></w:document>',
-        word__comments_X_xml=f'<w:comments {W}><w:comment w:id="1" w:author="Jo"><w:p w:paraId="P1"><w:r><w:t>Why?</w:t></w:r></w:p></w:comment></w:comments>',
-        word__commentsExtended_X_xml=f'<w15:commentsEx {W}><w15:commentEx w15:paraId="P1" w15:done="1"/></w15:commentsEx>',
+        word__document_X_xml=f'<w:document {W}><w:body><w:p><w:commentRangeStart w:id="1"/><w:r><w:t>Sel</w:t></w:r><w:commentRangeEnd w:id="1"/><w:r><w:t> rest</w:t></w:r></w:p><w:p/><w:p><w:commentRangeStart w:id="10"/><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p><w:p><w:commentRangeEnd w:id="10"/><w:commentRangeStart w:id="7"/><w:commentRangeEnd w:id="7"/><w:r><w:t>tail</w:t></w:r></w:p><w:tbl/></w:body></w:document>',
+        word__comments_X_xml=f'<w:comments {W}><w:comment w:id="1" w:author="Jo" w:date="2024-01-02"><w:p w:paraId="P1"><w:r><w:t>Why?</w:t></w:r></w:p><w:p w:paraId="P2"><w:r><w:t> More</w:t></w:r></w:p></w:comment><w:comment w:id="10"><w:p w:paraId="P3"/></w:comment><w:comment w:id="2"><w:p w:paraId="P4"/></w:comment></w:comments>',
+        word__commentsExtended_X_xml=f'<w15:commentsEx {W}><w15:commentEx w15:paraId="P1" w15:done="true"/><w15:commentEx w15:paraId="P2" w15:done="0"/><w15:commentEx w15:paraId="P3"/><w15:commentEx w15:paraId="P4" w15:done="0"/></w15:commentsEx>',
         docProps__core_X_xml="<c xmlns:d='d'><d:creator>Jo</d:creator></c>",
     )
     pptx = package(ppt__slides__slide10_X_xml="<s xmlns:a='a'><a:p><a:t>Ten</a:t></a:p></s>", ppt__slides__slide2_X_xml="<s xmlns:a='a'><a:p><a:t>Two</a:t></a:p></s>")
@@ -116,8 +116,14 @@ def test_office_documents(spark, tmp_path):
         (d / name).write_bytes(content)
     got = {r.path.rsplit("/", 1)[1]: r.document for r in office.read_documents(spark, str(d)).collect()}
     a = got["a.docx"]
-    assert (a.text, a.paragraphs, a.tables) == ("Sel rest", 1, 1)
-    assert [tuple(c) for c in a.comments] == [("1", "Jo", "Why?", "Sel", "Sel rest", True)]
+    assert (a.text, a.paragraphs, a.tables) == ("Sel rest\na b\ntail", 3, 1)
+    # The state is that of a comment's first paragraph; an absent one is unknown. Anchors without a comment come out too.
+    assert [tuple(c) for c in a.comments] == [
+        ("CMT-001", "1", "Jo", "2024-01-02", "Why? More", "Sel", "Sel rest", True, True),
+        ("CMT-002", "2", None, None, "", "", "", False, False),
+        ("CMT-003", "7", None, None, None, "", "tail", True, None),
+        ("CMT-004", "10", None, None, "", "a b", "a b\ntail", True, None),
+    ]
     assert got["b.pptx"].text == "Two\n\nTen"
     assert (got["c.xlsx"].text, got["c.xlsx"].formulas) == ("Name\t2", 1)
     assert got["d.docx"].problem == "READ_ERROR:BadZipFile" and got["f.xyz"].problem == "UNSUPPORTED_TYPE" and got["g.pdf"].problem

@@ -12,30 +12,39 @@ from tracelark.functions.unicode import strip_white
 
 #: Lines of a capture that are no text, fixed values.
 NOISE_LINES = ("￼", "END")
-STAMP = r"^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \d{1,2}, 20\d{2}, \d{1,2}:\d{2} [AP]M$"
+STAMP = r"^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) \p{Nd}{1,2}, 20\p{Nd}{2}, \p{Nd}{1,2}:\p{Nd}{2} [AP]M$"
 
 
-def article_lines(document: Column, title: Column) -> Column:
-    """Text lines of a captured page as an array of stripped, non-empty strings.
+#: Whatever ends a line for Python's splitlines, once carriage returns are line feeds.
+LINE_ENDS = "[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
+def article_lines(captures: DataFrame, document: str, title: str) -> DataFrame:
+    """``captures`` with lines: the text lines of a captured page as an array of stripped, non-empty strings.
 
     The page starts after its title line (or its first line); a time stamp among the next lines ends the header,
-    together with the blank, listening or object lines after it; a "Read more" or reads counter ends the page."""
-    lines = F.transform(F.split(document, "\n"), strip_white)
+    together with the blank, listening or object lines after it; a "Read more" or reads counter ends the page.
+    A null title is no line. Every step reads the array of the step before, in a projection of its own and without
+    looking at it from within a lambda, so that the work is linear in the lines."""
+    first = lambda test: F.array_position(F.transform("_l", test), True)
+    is_stop = lambda x: F.coalesce((x == "Read more") | x.rlike(r"^Reads\p{Nd}+$"), F.lit(False))
+    is_text = lambda x: (x != "") & ~F.contains(F.lower(x), F.lit("listened")) & (x != "￼")
+    after = lambda n: F.slice("_l", n + 1, F.greatest(F.size("_l") - n, F.lit(0)))
+
+    keep = captures.columns
+    d = captures.withColumn("_l", F.transform(F.split(document, LINE_ENDS), strip_white))
     # The document ends with a line feed; the empty string after it is no line.
-    lines = F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))
-    at = F.array_position(lines, strip_white(title))
-    start = F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(F.lit(1))
-    page = F.slice(lines, start, F.greatest(F.size(lines) - start + 1, F.lit(0)))
-    stamps = F.transform(F.slice(page, F.lit(1), F.lit(12)), lambda x: x.rlike(STAMP))
-    stamp = F.coalesce(F.array_position(stamps, True), F.lit(0))
-    marked = F.transform(page, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
-    header = lambda x: (x == "") | F.contains(F.lower(x), F.lit("listened")) | (x == "￼")
-    after = F.filter(marked, lambda m: (m["i"] > stamp) & ~header(m["x"]))
-    first = F.when(stamp > 0, F.coalesce(F.get(after, 0)["i"], F.size(page) + 1)).otherwise(F.lit(2))
-    stops = F.filter(marked, lambda m: (m["i"] >= first) & ((m["x"] == "Read more") | m["x"].rlike(r"^Reads\d+$")))
-    last = F.coalesce(F.get(stops, 0)["i"], F.size(page) + 1)
-    kept = F.filter(marked, lambda m: (m["i"] >= first) & (m["i"] < last) & (m["x"] != "") & ~m["x"].isin(*NOISE_LINES))
-    return F.transform(kept, lambda m: m["x"])
+    d = d.withColumn("_l", F.slice("_l", F.lit(1), F.greatest(F.size("_l") - 1, F.lit(0))))
+    d = d.withColumn("_n", F.greatest(F.coalesce(F.array_position("_l", strip_white(F.col(title))), F.lit(0)) - 1, F.lit(0)))
+    d = d.withColumn("_l", after(F.col("_n").cast("int")))
+    d = d.withColumn("_stamp", F.array_position(F.transform(F.slice("_l", F.lit(1), F.lit(12)), lambda x: x.rlike(STAMP)), True).cast("int"))
+    d = d.withColumn("_l", after(F.greatest("_stamp", F.lit(1))))
+    d = d.withColumn("_n", first(is_text).cast("int"))
+    header = F.when(F.col("_stamp") == 0, 0).when(F.col("_n") == 0, F.size("_l")).otherwise(F.col("_n") - 1)
+    d = d.withColumn("_n", header).withColumn("_l", after(F.col("_n")))
+    d = d.withColumn("_n", first(is_stop).cast("int"))
+    d = d.withColumn("_l", F.when(F.col("_n") > 0, F.slice("_l", F.lit(1), F.col("_n") - 1)).otherwise(F.col("_l")))
+    return d.select(*keep, F.filter("_l", lambda x: (x != "") & ~x.isin(*NOISE_LINES)).alias("lines"))
 
 
 def source_versions(captures: DataFrame) -> DataFrame:

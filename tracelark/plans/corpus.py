@@ -267,10 +267,21 @@ def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("line_no", "paragraph_index", "section")
 
 
-@query()
+_PAGE_LINES = f"""{_VERSIONS}, x AS (SELECT v.line_no, v.document, a.title, string_split_regex(v.document, '[\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS parts FROM v JOIN articles a USING (line_no)),
+l AS (SELECT line_no, {S.strip("title")} AS title, {S.strip("raw")} AS t, i FROM (SELECT line_no, title, unnest(parts[:-2]) AS raw, generate_subscripts(parts[:-2], 1) AS i FROM x)),
+b AS (SELECT line_no, coalesce(min(i) FILTER (t = title), 1) AS start, max(i) AS n FROM l GROUP BY 1),
+c AS (SELECT line_no, min(l.i) AS stamp FROM l JOIN b USING (line_no) WHERE l.i BETWEEN start AND start + 11
+  AND regexp_full_match(t, '(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [0-9]{{1,2}}, 20[0-9]{{2}}, [0-9]{{1,2}}:[0-9]{{2}} [AP]M') GROUP BY 1),
+d AS (SELECT b.line_no, n, CASE WHEN any_value(stamp) IS NULL THEN any_value(start) + 1
+  ELSE coalesce(min(l.i) FILTER (l.i > stamp AND t <> '' AND NOT contains(lower(t), 'listened') AND t <> '￼'), n + 1) END AS first FROM b JOIN l USING (line_no) LEFT JOIN c USING (line_no) GROUP BY 1, 2),
+e AS (SELECT d.line_no, any_value(first) AS first, coalesce(min(l.i) FILTER (l.i >= first AND (t = 'Read more' OR regexp_full_match(t, 'Reads[0-9]+'))), n + 1) AS stop FROM d JOIN l USING (line_no) GROUP BY 1, n),
+k AS (SELECT line_no, count(*)::INT AS n_lines, string_agg(t, chr(10) ORDER BY i) AS body FROM l JOIN e USING (line_no) WHERE i >= first AND i < stop AND t NOT IN ('', '￼', 'END') GROUP BY 1)"""
+
+
+@query(f"""WITH {_PAGE_LINES} SELECT line_no, coalesce(n_lines, 0) AS n_lines, sha256(coalesce(body, '') || chr(10)) AS clean_sha256 FROM v LEFT JOIN k USING (line_no)""")
 def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies without capture chrome: lines before the title and header, after the reads counter, and marker lines."""
-    v = _versions(spark, sf_dir).withColumn("lines", corpus_build.article_lines(F.col("document"), F.col("title")))
+    v = corpus_build.article_lines(_versions(spark, sf_dir), "document", "title")
     return v.select("line_no", F.size("lines").alias("n_lines"), sha256(F.concat(F.array_join("lines", "\n"), F.lit("\n"))).alias("clean_sha256"))
 
 
@@ -435,7 +446,7 @@ def ingest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.out_of_order(c, "line_no", "ingested_at", ["corpus_id"]).select("line_no", "corpus_id")
 
 
-@query("""SELECT grp, before, num, num - before - 1 AS n_missing FROM (SELECT num // 1000 AS grp, num, lag(num) OVER (PARTITION BY num // 1000 ORDER BY num) AS before
+@query("""SELECT grp, before, num, num - before - 1 AS n_missing FROM (SELECT num // 1000 AS grp, num, lag(num) OVER (ORDER BY num) AS before
 FROM (SELECT DISTINCT regexp_extract(record_id, '([0-9]+)$', 1)::BIGINT AS num FROM l2_article_maps)) WHERE num - before > 1""")
 def number_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unused numbers of the article maps, with the thousand of the number after them; a gap may span thousands."""

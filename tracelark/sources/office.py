@@ -22,7 +22,7 @@ MAX_CHARS = 3_000_000
 
 SCHEMA = (
     "kind string, text string, paragraphs int, tables int, images int, links int, formulas int, "
-    "comments array<struct<id:string,author:string,text:string,selected:string,context:string,resolved:boolean>>, "
+    "comments array<struct<comment_id:string,id:string,author:string,date:string,text:string,selected:string,context:string,anchored:boolean,resolved:boolean>>, "
     "properties map<string,string>, problem string"
 )
 _COLUMNS = ["kind", "text", "paragraphs", "tables", "images", "links", "formulas", "comments", "properties", "problem"]
@@ -48,48 +48,62 @@ def _natural(name: str) -> list:
     return [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", name)]
 
 
+# What a "done" attribute says when a comment is resolved, and the elements that stand for white space.
+DONE = ("1", "true", "True")
+WHITE_ELEMENTS = {"tab": "\t", "br": "\n", "cr": "\n"}
+
+
+def _tidy(s: str) -> str:
+    """Runs of blanks, tabs and no-break spaces as one blank, none around line ends, at most one empty line."""
+    s = re.sub("[ \t\xa0]+", " ", s.replace("\r\n", "\n").replace("\r", "\n"))
+    return re.sub("\n{3,}", "\n\n", re.sub(" *\n *", "\n", s)).strip()
+
+
 def _docx(z: zipfile.ZipFile) -> dict:
     body = _xml(z, "word/document.xml")
-    paragraphs, spans, open_now = [], {}, set()
+    if body is None:
+        raise ValueError("no main part")
+    paragraphs, selected, contexts, anchored, open_now = [], {}, {}, set(), set()
     for p in (e for e in body.iter() if _tag(e) == "p"):
-        whole = []
-        touched = set(open_now)
+        whole, touched = [], set(open_now)
         for e in p.iter():
             t = _tag(e)
-            if t == "commentRangeStart":
-                open_now.add(_attr(e, "id"))
-                touched.add(_attr(e, "id"))
-            elif t == "commentRangeEnd":
-                open_now.discard(_attr(e, "id"))
-            elif t in ("t", "delText"):
-                whole.append(e.text or "")
-                for c in open_now:
-                    spans.setdefault(c, [[], []])[0].append(e.text or "")
-        text = "".join(whole)
-        paragraphs.append(text)
-        for c in touched:
-            spans.setdefault(c, [[], []])[1].append(text)
-    state = {}
-    if (ext := _xml(z, "word/commentsExtended.xml")) is not None:
-        state = {_attr(e, "paraId"): _attr(e, "done") == "1" for e in ext.iter() if _tag(e) == "commentEx"}
+            if t in ("commentRangeStart", "commentRangeEnd") and (i := _attr(e, "id")):
+                touched.add(i)
+                if t == "commentRangeStart":
+                    open_now.add(i)
+                    anchored.add(i)
+                else:
+                    open_now.discard(i)
+            elif (piece := WHITE_ELEMENTS.get(t, (e.text or "") if t in ("t", "delText") else None)) is not None:
+                whole.append(piece)
+                for i in open_now:
+                    selected.setdefault(i, []).append(piece)
+        if text := _tidy("".join(whole)):
+            paragraphs.append(text)
+            for i in touched:
+                contexts.setdefault(i, {})[text] = None  # a dict keeps the order and drops repeats
+    notes = {}
+    if (part := _xml(z, "word/comments.xml")) is not None:
+        for c in (e for e in part.iter() if _tag(e) == "comment" and _attr(e, "id")):
+            first = next((p for p in c.iter() if _tag(p) == "p"), None)
+            notes[_attr(c, "id")] = dict(
+                author=_attr(c, "author"), date=_attr(c, "date"), text=_tidy(_text(c)), para=None if first is None else _attr(first, "paraId")
+            )
+    done = {}
+    if (part := _xml(z, "word/commentsExtended.xml")) is not None:
+        done = {_attr(e, "paraId"): _attr(e, "done") in DONE for e in part.iter() if _tag(e) == "commentEx" and _attr(e, "done") is not None}
+    by_number = lambda i: (0, int(i), "") if i.isdigit() else (1, 0, i)
     comments = []
-    if (notes := _xml(z, "word/comments.xml")) is not None:
-        for c in (e for e in notes.iter() if _tag(e) == "comment"):
-            cid = _attr(c, "id")
-            last = [_attr(p, "paraId") for p in c.iter() if _tag(p) == "p"]
-            sel, ctx = spans.get(cid, [[], []])
-            comments.append(
-                {"id": cid, "author": _attr(c, "author"), "text": "\n".join(_text(p) for p in c.iter() if _tag(p) == "p"),
-                 "selected": "".join(sel), "context": "\n".join(ctx), "resolved": state.get(last[-1]) if last else None}
-            )
-    known = {c["id"] for c in comments}
-    comments += [
-        {"id": i, "author": None, "text": None, "selected": "".join(s), "context": "\n".join(c), "resolved": None}
-        for i, (s, c) in spans.items() if i not in known
-    ]
+    for n, i in enumerate(sorted(notes.keys() | anchored, key=by_number), 1):
+        note = notes.get(i, {})
+        comments.append(
+            {"comment_id": f"CMT-{n:03d}", "id": i, "author": note.get("author"), "date": note.get("date"), "text": note.get("text"),
+             "selected": _tidy("".join(selected.get(i, []))), "context": _tidy("\n".join(contexts.get(i, {}))),
+             "anchored": i in anchored, "resolved": done.get(note.get("para"))}
+        )
     count = lambda t: sum(_tag(e) == t for e in body.iter())
-    full = [p for p in paragraphs if p.strip()]
-    return dict(text="\n".join(full), paragraphs=len(full), tables=count("tbl"), images=sum(n.startswith("word/media/") and n[-1] != "/" for n in z.namelist()), links=count("hyperlink"), comments=comments)
+    return dict(text=_tidy("\n".join(paragraphs)), paragraphs=len(paragraphs), tables=count("tbl"), images=sum(n.startswith("word/media/") and n[-1] != "/" for n in z.namelist()), links=count("hyperlink"), comments=comments)
 
 
 def _pptx(z: zipfile.ZipFile) -> dict:
