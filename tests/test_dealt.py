@@ -50,6 +50,13 @@ def test_descendant_pairs(spark):
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+def test_ids_with_slashes(spark):
+    df = spark.createDataFrame([("a/b", None), ("c", "a/b"), ("d/e/f", "c")], "id string, parent string")
+    t = hierarchy(spark, df).persist()
+    assert {tuple(r) for r in descendants(t).collect()} == {("a/b", "c", 1), ("a/b", "d/e/f", 2), ("c", "d/e/f", 1)}
+    assert {r.id: r.path for r in t.collect()}["d/e/f"] == "a/b/c/d/e/f"
+
+
 def walked(rows):
     """{(ancestor, id, distance)} of pairs on and below loops, by walking up from every node."""
     ids = {i for i, _ in rows}

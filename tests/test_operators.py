@@ -128,6 +128,25 @@ def test_deep_lineage(spark):
     assert max(d for *_, d in rows(lineage.transitive_inputs(spark, e, 10))) == 10
 
 
+def test_reach_and_walks(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    for growth in (4, 0):  # with 0 the stride never doubles
+        monkeypatch.setattr(lineage, "MOST_GROWTH", growth)
+        data = {(f"n{i:02}", f"n{rnd.randrange(i):02}") for i in range(1, 60) for _ in range(rnd.randrange(3))} | {("x", "y"), ("y", "x"), ("z", "y"), ("p", "p")}
+        e = spark.createDataFrame([*data, (None, "n00"), ("n01", None)], "id string, input string")
+        seeds = {"n03", "x", "alone"}
+        want, before = set(seeds), None
+        while want != before:
+            before, want = want, want | {i for i, j in data if j in want}
+        assert {r.id for r in lineage.reached(spark, e, spark.createDataFrame([(s,) for s in [*seeds, None]], "id string")).collect()} == want
+        starts = {i for i, _ in data}
+        for n in range(1, 8):
+            assert {r.id for r in lineage.with_walk(spark, e, n).collect()} == starts
+            starts = {i for i, j in data if j in starts}
+
+
 def test_lineage(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "x"), (None, "q")], "id string, input string")
     got = rows(lineage.transitive_inputs(spark, e))

@@ -19,18 +19,12 @@ from pyspark.sql import functions as F
 from tracelark.session import Scratch
 
 
-def _join_seg(*parts):
-    """Path pieces joined by the separator, leaving out empty ones."""
-    return F.concat_ws("/", *[F.when(p != "", p) for p in parts])
-
-
 def _contract(alive: DataFrame) -> DataFrame:
     """One round: every node of ``alive`` once, with ``state`` alive, raked or spliced.
 
-    The round's number is a column, not a literal, so that all rounds share one compiled plan."""
-    kids = alive.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("nk"))
-    a = alive.join(kids, "id", "left").withColumn("leaf", F.col("nk").isNull() & F.col("parent").isNotNull()).drop("nk")
-
+    ``kids`` is the number of children that are left: raking takes the leaves from it, and a spliced child is replaced by
+    its own. The round's number is a column, not a literal, so that all rounds share one compiled plan."""
+    a = alive.withColumn("leaf", (F.col("kids") == 0) & F.col("parent").isNotNull())
     inner = ~F.col("leaf")
     stats = (
         a.filter("parent is not null")
@@ -75,15 +69,21 @@ def _contract(alive: DataFrame) -> DataFrame:
         F.when(hit, F.col("v_parent")).otherwise(F.col("parent")).alias("parent"),
         F.when(hit, F.col("ew") + F.col("v_w") + F.col("v_ew")).otherwise(F.col("ew")).alias("ew"),
         F.when(hit, F.col("ed") + F.col("v_ed") + 1).otherwise(F.col("ed")).alias("ed"),
-        F.when(hit, _join_seg(F.col("v_seg"), F.col("v"), F.col("seg"))).otherwise(F.col("seg")).alias("seg"),
+        F.when(hit, F.concat(F.col("v_seg"), F.array("v"), F.col("seg"))).otherwise(F.col("seg")).alias("seg"),
         "w",
         (F.col("rnd") + 1).alias("rnd"),
+        F.coalesce("ni", F.lit(0).cast("bigint")).alias("kids"),
         F.when(F.col("leaf"), F.lit("raked")).when(F.col("cut"), F.lit("spliced")).otherwise(F.lit("alive")).alias("state"),
         F.when(F.col("cut"), F.col("kid")).alias("kid"),
         F.when(F.col("cut"), F.col("kid_ew")).alias("kid_ew"),
     )
 
 
+#: Columns of a node between rounds, and what tells that a node may still be raked or spliced.
+_NODE = ["id", "parent", "ew", "ed", "seg", "w", "rnd", "kids"]
+_OPEN = "parent is not null and parent <> id"
+
+
 def _placed(v: DataFrame, parents: DataFrame, keep: list) -> DataFrame:
     """Root, depth and path of removed nodes from those of the node each hung under."""
     p = parents.select(
@@ -97,7 +97,7 @@ def _placed(v: DataFrame, parents: DataFrame, keep: list) -> DataFrame:
         "id",
         F.col("p_root").alias("root"),
         F.when(F.col("p_loop").isNull(), F.col("p_depth") + F.col("ed") + 1).alias("depth"),
-        F.when(F.col("p_loop").isNull(), _join_seg(F.col("p_path"), F.col("seg"), F.col("id"))).alias("path"),
+        F.when(F.col("p_loop").isNull(), F.concat("p_path", "seg", F.array("id"))).alias("path"),
         F.col("p_loop").alias("loop"),
         *keep,
     )
@@ -106,10 +106,10 @@ def _placed(v: DataFrame, parents: DataFrame, keep: list) -> DataFrame:
 def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """Full hierarchy of ``nodes`` (id STRING, parent STRING).
 
-    Returns one row per distinct non-null id: id, root_id, depth INT, n_descendants BIGINT, path,
-    in_loop BOOLEAN. A parent that is null or has no row makes a root (depth 0). On and below a
-    loop: root_id is the smallest id of the loop, depth -1, path empty; n_descendants counts the
-    distinct other nodes reachable downwards, for a node of the loop thus the whole component.
+    Returns one row per distinct non-null id: id, root_id, depth INT, n_descendants BIGINT, path, in_loop BOOLEAN, steps
+    ARRAY<STRING> (the path's ids, which may hold "/" themselves; null where there is no path). A parent that is null or
+    has no row makes a root (depth 0). On and below a loop: root_id is the smallest id of the loop, depth -1, path empty;
+    n_descendants counts the distinct other nodes reachable downwards, for a node of the loop thus the whole component.
     Repeated ids count once, with their smallest non-null parent that has a row. Other columns are
     ignored. An empty input gives an empty result.
     """
@@ -118,40 +118,44 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     raw = scratch.keep(raw.distinct(), "edges")
     ids = raw.select("id").distinct()
     known = raw.filter("parent is not null").join(ids.select(F.col("id").alias("parent")), "parent", "left_semi")
-    first = known.groupBy("id").agg(F.min("parent").alias("parent"))
+    first = scratch.keep(known.groupBy("id").agg(F.min("parent").alias("parent")), "first")
+    kids = first.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
     zero = F.lit(0).cast("bigint")
-    alive = scratch.keep(
-        ids.join(first, "id", "left").select("id", "parent", zero.alias("ew"), zero.alias("ed"), F.lit("").alias("seg"), F.lit(1).cast("bigint").alias("w"), F.lit(0).alias("rnd")),
-        "alive",
-    )
-    scratch.drop(raw)
+    n_open = {"open": F.count(F.when(F.expr(_OPEN), 1))}
+    current, seen = scratch.counted(
+        ids.join(first, "id", "left").join(kids, "id", "left").select(
+            "id", "parent", zero.alias("ew"), zero.alias("ed"), F.array().cast("array<string>").alias("seg"),
+            F.lit(1).cast("bigint").alias("w"), F.lit(0).alias("rnd"), F.coalesce("kids", zero).alias("kids"),
+        ),
+        "alive", **n_open,
+    )
+    for t in (raw, first):
+        scratch.drop(t)
     rounds: list[DataFrame] = []
-    current, source = alive, alive
-    while True:
-        open_nodes = current.filter("parent is not null and parent <> id").limit(1).count()
-        if not open_nodes:
-            break
-        done = scratch.keep(_contract(current), "round")
-        if not rounds:
-            scratch.drop(source)
+    n_open = {"open": F.count(F.when(F.expr(f"state = 'alive' and {_OPEN}"), 1))}
+    start = current
+    while seen["open"]:
+        done, seen = scratch.counted(_contract(current), "round", **n_open)
         rounds.append(done)
-        current = done.filter("state = 'alive'").select("id", "parent", "ew", "ed", "seg", "w", "rnd")
+        current = done.filter("state = 'alive'").select(*_NODE)
 
     looped = F.col("parent").isNotNull()
     core = current.select(
         "id",
         F.when(~looped, F.col("id")).alias("root"),
         F.when(~looped, F.lit(0).cast("bigint")).alias("depth"),
-        F.when(~looped, F.col("id")).alias("path"),
+        F.when(~looped, F.array("id")).alias("path"),
         F.when(looped, F.col("id")).alias("loop"),
         (F.col("w") + F.col("ew")).alias("size"),
         looped.alias("on_loop"),
     )
     resolved = scratch.keep(core, "placed")
-    for done in reversed(rounds):
+    scratch.drop(start)
+    while rounds:
+        done = rounds.pop()
         kid = resolved.select(F.col("id").alias("kid"), F.col("size").alias("k_size"), F.col("on_loop").alias("k_on"))
         cut = done.filter("state = 'spliced'").join(kid, "kid")
-        cut = _placed(
+        spliced = _placed(
             cut,
             resolved,
             [
@@ -159,12 +163,11 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
                 F.col("k_on").alias("on_loop"),
             ],
         )
-        spliced = scratch.keep(cut, "placed")
         both = resolved.unionByName(spliced)
         leaves = _placed(done.filter("state = 'raked'"), both, [F.col("w").alias("size"), F.lit(False).alias("on_loop")])
         # Rewritten as a whole: sizes grow from round to round, so all rewriting costs little more than the last.
         previous, resolved = resolved, scratch.keep(both.unionByName(leaves), "placed")
-        for t in (done, spliced, previous):
+        for t in (done, previous):
             scratch.drop(t)
 
     # The name of a loop is its smallest member; rows outside loops do not take part in this join.
@@ -176,14 +179,15 @@ def hierarchy(spark: SparkSession, nodes: DataFrame) -> DataFrame:
         F.coalesce("root", "name").alias("root_id"),
         F.coalesce(F.col("depth"), F.lit(-1)).cast("int").alias("depth"),
         (F.col("size") - 1).alias("n_descendants"),
-        F.coalesce("path", F.lit("")).alias("path"),
+        F.coalesce(F.array_join("path", "/"), F.lit("")).alias("path"),
         F.col("on_loop").alias("in_loop"),
+        F.col("path").alias("steps"),
     )
 
 
 def descendants(tree: DataFrame) -> DataFrame:
     """All (ancestor_id, id, distance) pairs below each node of a tree, from the paths. Loops have no paths: see loop_descendants."""
-    steps = tree.filter("depth > 0").select("id", "depth", F.posexplode(F.split("path", "/")).alias("pos", "ancestor_id"))
+    steps = tree.filter("depth > 0").select("id", "depth", F.posexplode("steps").alias("pos", "ancestor_id"))
     return steps.filter("pos < depth").select("ancestor_id", "id", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
@@ -202,12 +206,12 @@ def loop_descendants(spark: SparkSession, tree: DataFrame, nodes: DataFrame) ->
     rows = raw.filter("parent is not null").join(tree.select(F.col("id").alias("parent")), "parent", "left_semi").groupBy("id").agg(F.min("parent").alias("parent"))
     up = rows.join(known, "parent", "left_semi").join(looped, "id")
     opened = up.select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent"))
-    t = scratch.keep(hierarchy(spark, opened).select("id", "root_id", "depth", "path").join(looped.select("id", "in_loop"), "id"), "opened")
+    t = scratch.keep(hierarchy(spark, opened).select("id", "root_id", "depth", "steps").join(looped.select("id", "in_loop"), "id"), "opened")
 
     # Members lie on the way from the smallest one to the last, at depths 0, 1, ...; a node hangs from its last member.
     members = t.filter("in_loop").select(F.col("root_id"), F.col("id").alias("ancestor_id"), F.col("depth").alias("a_depth"))
     length = members.groupBy("root_id").agg(F.count("*").alias("n"))
-    steps = t.select("id", "root_id", "depth", "in_loop", F.posexplode(F.split("path", "/")).alias("pos", "step"))
+    steps = t.select("id", "root_id", "depth", "in_loop", F.posexplode("steps").alias("pos", "step"))
     entry = (
         steps.join(members.select("root_id", F.col("ancestor_id").alias("step"), "a_depth"), ["root_id", "step"])
         .groupBy("id", "root_id", "depth")

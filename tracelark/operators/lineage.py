@@ -8,8 +8,72 @@ from pyspark.sql import functions as F
 from tracelark.session import Scratch
 
 MAX_DEPTH = 64
-#: Levels peeled in one job.
-HOPS = 4
+#: Steps are only composed if that makes at most this many pairs for each edge; beyond it the stride stays as it is.
+MOST_GROWTH = 4
+
+
+def _twice(scratch: Scratch, steps: DataFrame, limit: int) -> DataFrame | None:
+    """The pairs two of ``steps`` (id, input) apart; None if there might be more than ``limit`` of them.
+
+    How many the join would make is counted first, as the sum of ways in times ways out of each middle, so that a record
+    with many inputs that many others derive from is never multiplied out."""
+    into = steps.groupBy(F.col("id").alias("via")).agg(F.count("*").alias("a"))
+    out = steps.groupBy(F.col("input").alias("via")).agg(F.count("*").alias("b"))
+    n = into.join(out, "via").agg(F.sum(F.col("a").cast("decimal(38,0)") * F.col("b"))).first()[0]
+    if n is not None and n > limit:
+        return None
+    head = steps.select("id", F.col("input").alias("via"))
+    return scratch.keep(head.join(steps.withColumnRenamed("id", "via"), "via").select("id", "input").distinct(), "steps")
+
+
+def reached(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): the ``seeds`` (id) and all that lead to one over ``edges`` (id, input), at any distance.
+
+    A fixpoint of semi-joins whose stride doubles: after a round over the pairs exactly L edges apart, all within twice L
+    are known, and a round that finds none ends it. The rounds grow with the logarithm of the longest way; loops end by
+    themselves. Where composing the pairs would multiply them, the stride stays. Null ids take no part."""
+    scratch = Scratch(spark, "reached")
+    steps, n = scratch.counted(edges.select("id", "input").dropna().distinct(), "edges")
+    limit = MOST_GROWTH * n["n"]
+    seen = scratch.keep(seeds.select("id").dropna().distinct(), "seen")
+    doubling = True
+    while n["n"]:
+        new = steps.join(seen.withColumnRenamed("id", "input"), "input", "left_semi").select("id").distinct()
+        found, n = scratch.counted(new.join(seen, "id", "left_anti"), "found")
+        if not n["n"]:
+            break
+        previous, seen = seen, scratch.keep(seen.unionByName(found), "seen")
+        further = _twice(scratch, steps, limit) if doubling else None
+        doubling = further is not None
+        for t in (previous, found, steps if doubling else None):
+            scratch.drop(t)
+        steps = further if doubling else steps
+    return seen
+
+
+def with_walk(spark: SparkSession, edges: DataFrame, length: int) -> DataFrame:
+    """(id): where a walk of ``length`` (1 or more) of the ``edges`` (id, input) starts; on and before a loop there is one of any length."""
+    scratch = Scratch(spark, "walks")
+    steps, n = scratch.counted(edges.select("id", "input").dropna().distinct(), "edges")
+    limit = MOST_GROWTH * n["n"]
+    ends = None
+
+    def start(steps, ends):
+        walk = steps if ends is None else steps.join(ends.withColumnRenamed("id", "input"), "input", "left_semi")
+        return scratch.keep(walk.select("id").distinct(), "starts")
+
+    while length:
+        if length % 2:
+            ends = start(steps, ends)
+        length //= 2
+        further = _twice(scratch, steps, limit) if length else None
+        if further is None:
+            for _ in range(2 * length):
+                ends = start(steps, ends)
+            break
+        scratch.drop(steps)
+        steps = further
+    return ends
 
 
 def transitive_inputs(spark: SparkSession, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -36,26 +100,12 @@ def transitive_inputs(spark: SparkSession, edges: DataFrame, max_depth: int | No
 def sound_records(spark: SparkSession, nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``nodes`` (id, base BOOLEAN) with sound: the node's own check holds and all its inputs are sound.
 
-    ``edges``: id, input. An input without a node is unsound. Levels are peeled from the nodes without inputs: each
-    sound node lowers the count of open inputs of those above it, and a node without open ones is the next to peel.
-    What is never peeled is unsound: nodes above a failed check, on or above a loop, or deeper than ``max_depth``.
-    """
+    ``edges``: id, input. An input without a node is unsound, and so are nodes on or above a loop or deeper than
+    ``max_depth``: those from which a longer walk starts. Whatever derives from an unsound node is unsound too."""
     scratch = Scratch(spark, "sound")
-    nodes = nodes.filter("id is not null").groupBy("id").agg(F.min(F.coalesce("base", F.lit(False))).alias("base"))
+    nodes = scratch.keep(nodes.filter("id is not null").groupBy("id").agg(F.min(F.coalesce("base", F.lit(False))).alias("base")), "nodes")
     edges = scratch.keep(edges.select("id", "input").dropna().distinct(), "edges")
-    n_inputs = edges.groupBy("id").agg(F.count("*").alias("open"))
-    state = nodes.join(n_inputs, "id", "left").select("id", "base", F.coalesce("open", F.lit(0)).cast("bigint").alias("open"))
-    state = scratch.keep(state.withColumn("level", F.when(F.col("base") & (F.col("open") == 0), 0)), "state")
-    level = 0
-    while level < max_depth and state.filter(F.col("level") == level).limit(1).count():
-        step = state
-        for _ in range(min(HOPS, max_depth - level)):
-            last = F.col("level") == level
-            hits = edges.join(step.filter(last).select(F.col("id").alias("input")), "input").groupBy("id").agg(F.count("*").alias("_k"))
-            level += 1
-            step = step.join(hits, "id", "left").select("id", "base", (F.col("open") - F.coalesce("_k", F.lit(0))).alias("open"), "level", "_k")
-            peeled = F.col("level").isNull() & F.col("_k").isNotNull() & (F.col("open") == 0) & F.col("base")
-            step = step.withColumn("level", F.when(peeled, level).otherwise(F.col("level"))).drop("_k")
-        previous, state = state, scratch.keep(step, "state")
-        scratch.drop(previous)
-    return state.select("id", F.col("level").isNotNull().alias("sound"))
+    gone = edges.join(nodes.select(F.col("id").alias("input")), "input", "left_anti").select("id")
+    bad = nodes.filter("not base").select("id").unionByName(gone).unionByName(with_walk(spark, edges, max_depth + 1))
+    worse = reached(spark, edges, bad).withColumn("_bad", F.lit(True))
+    return nodes.join(worse, "id", "left").select("id", F.col("_bad").isNull().alias("sound"))

@@ -2,7 +2,7 @@
 
 The cascade starts from the direct orphans and walks down the foreign-key graph with
 semi-joins until no further record is reached: a record that refers to an orphaned record
-is indirectly orphaned. Only the frontier moves from round to round.
+is indirectly orphaned. Its stride doubles from round to round (``lineage.reached``).
 """
 
 from __future__ import annotations
@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelark.operators.lineage import reached
 from tracelark.session import Scratch
 
-#: Hops of the cascade planned into one job; the frontier is written once for all of them.
-HOPS = 4
-
 
 def target_status(targets: DataFrame, deletions: DataFrame) -> DataFrame:
     """One row per (target_table, id): first_ts of its rows (null without a row), exists, first del_ts."""
@@ -65,40 +63,15 @@ def orphan_cascade(spark: SparkSession, refs: DataFrame, targets: DataFrame, del
     judged = scratch.keep(judge(refs, status), "judged")
     scratch.drop(status)
 
+    node = lambda t, i: F.concat_ws("\x1f", t, i)
     own = judged.select("src_table").distinct()
     links = judged.filter("reason is null and src_id is not null").join(
         F.broadcast(own.withColumnRenamed("src_table", "target_table")), "target_table", "left_semi"
     )  # as many rows as there are referring tables, named by the caller
-    edges = scratch.keep(
-        links.select(F.col("target_table").alias("up_table"), F.col("ref_value").alias("up_id"), "src_table", "src_id").distinct(),
-        "edges",
-    )
-    seen = scratch.keep(
-        judged.filter("reason is not null and src_id is not null")
-        .select(F.col("src_table").alias("t"), F.col("src_id").alias("i"))
-        .distinct(),
-        "seen",
-    )
-    frontier = seen
-    while True:
-        reach, step = [], frontier
-        for _ in range(HOPS):
-            step = edges.join(step.select(F.col("t").alias("up_table"), F.col("i").alias("up_id")), ["up_table", "up_id"], "left_semi")
-            step = step.select(F.col("src_table").alias("t"), F.col("src_id").alias("i")).distinct()
-            reach.append(step)
-        new = reach[0]
-        for r in reach[1:]:
-            new = new.unionByName(r)
-        found = scratch.keep(new.distinct().join(seen, ["t", "i"], "left_anti"), "found")
-        if not found.limit(1).count():
-            break
-        previous, seen = seen, scratch.keep(seen.unionByName(found), "seen")
-        scratch.drop(previous)
-        if frontier is not previous:
-            scratch.drop(frontier)
-        frontier = found
-
-    mark = seen.select(F.col("t").alias("target_table"), F.col("i").alias("ref_value"))
+    edges = links.select(node("src_table", "src_id").alias("id"), node("target_table", "ref_value").alias("input"))
+    seeds = judged.filter("reason is not null and src_id is not null").select(node("src_table", "src_id").alias("id"))
+    mark = F.split(F.col("id"), "\x1f", 2)
+    mark = reached(spark, edges, seeds).select(mark[0].alias("target_table"), mark[1].alias("ref_value"))
     direct = judged.filter("reason is not null").withColumn("kind", F.lit("direct"))
     inherited = judged.filter("reason is null").join(mark, ["target_table", "ref_value"], "left_semi").withColumn("kind", F.lit("inherited"))
     return direct.unionByName(inherited).select(*cols, "reason", "kind")

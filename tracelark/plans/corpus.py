@@ -471,8 +471,8 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(F.col("input").startswith("L3-")).distinct()
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT id, input, 1 AS distance FROM e UNION SELECT r.id, e.input, r.distance + 1 FROM r JOIN e ON r.input = e.id WHERE r.distance < 64)
-SELECT id, count(DISTINCT input) AS n_inputs FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT id, input FROM e UNION SELECT r.id, e.input FROM r JOIN e ON r.input = e.id)
+SELECT id, count(*) AS n_inputs FROM r GROUP BY id""")
 def transitive_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many other candidates each one derives from, directly or not."""
     return lineage.transitive_inputs(spark, _edges(spark, sf_dir)).groupBy("id").agg(F.count_distinct("input").alias("n_inputs"))

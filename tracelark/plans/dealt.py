@@ -11,6 +11,7 @@ from tracelark.operators.instants import normalise_instants
 from tracelark.operators.orphans import orphan_cascade
 from tracelark.plans import dealt_sql
 from tracelark.plans import sqltext as S
+from tracelark.session import Scratch
 from tracelark.sources.tables import table
 
 
@@ -37,14 +38,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (ancestor, descendant, distance) pair of the trees."""
-    return descendants(p2_tree(spark, sf_dir))
-
-
-def p2_loop_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pairs on and below loops, which p2_descendants and its SQL leave out."""
+    """Every (ancestor, descendant, distance) pair of the trees, and of what is on and below loops."""
     nodes = _candidate_nodes(spark, sf_dir)
-    return loop_descendants(spark, hierarchy(spark, nodes), nodes)
+    tree = Scratch(spark, "tree").keep(hierarchy(spark, nodes))
+    return descendants(tree).unionByName(loop_descendants(spark, tree, nodes))
 
 
 def p2_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +134,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_instants(spark, a.unionByName(c))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_loop_descendants, p2_loops, p3_found, p3_report, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_loops, p3_found, p3_report, p7_found)}
 
 _TREE = f"""WITH RECURSIVE c AS (SELECT {S.same_id("record_id")} AS id, parent_ids FROM l3_prior_candidates), n AS (SELECT DISTINCT id FROM c WHERE id IS NOT NULL),
 e AS (SELECT id, {S.same_id("r")} AS p FROM (SELECT id, unnest(parent_ids) AS r FROM c)),

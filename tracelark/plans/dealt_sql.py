@@ -7,8 +7,10 @@ e AS (SELECT id, {S.same_id("r")} AS p FROM (SELECT id, unnest(parent_ids) AS r
 par AS (SELECT e.id, min(e.p) AS p FROM e JOIN n ON e.p = n.id WHERE starts_with(upper(e.p), 'L3-') GROUP BY 1),
 tree AS (SELECT id FROM n WHERE id NOT IN (SELECT id FROM par) UNION SELECT par.id FROM tree JOIN par ON par.p = tree.id)"""
 
-DESCENDANTS = f"""WITH RECURSIVE {_FOREST}, up AS (SELECT par.p AS ancestor_id, par.id, 1 AS distance FROM par JOIN tree USING (id)
-UNION ALL SELECT par.p, up.id, up.distance + 1 FROM up JOIN par ON up.ancestor_id = par.id) SELECT ancestor_id, id, distance::INT AS distance FROM up"""
+# Upwards from every candidate until there is no parent or the way comes back to where it has been: on and below loops too.
+DESCENDANTS = f"""WITH RECURSIVE {_FOREST}, up AS (SELECT id, p AS ancestor_id, 1 AS distance, [id, p] AS way FROM par WHERE p <> id
+UNION ALL SELECT up.id, par.p, up.distance + 1, list_append(way, par.p) FROM up JOIN par ON up.ancestor_id = par.id WHERE NOT list_contains(way, par.p))
+SELECT ancestor_id, id, distance::INT AS distance FROM up"""
 
 LOOPS = f"""WITH RECURSIVE {_FOREST}, up AS (SELECT id, p AS a FROM par WHERE id NOT IN (SELECT id FROM tree) UNION SELECT up.id, par.p FROM up JOIN par ON up.a = par.id),
 members AS (SELECT id FROM up WHERE id = a), names AS (SELECT id, min(a) AS loop_id FROM up WHERE a IN (SELECT id FROM members) GROUP BY 1)
