@@ -7,45 +7,57 @@ texts; rows get their instants back by a join on the dictionary key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelark.functions.timestamps import instant_micros, known_zone, prepared
-from tracelark.session import shared_dir
+from tracelark.functions.timestamps import known_zone, prepared, with_instant
+from tracelark.session import Scratch, shared_dir
 
 KEY = ["raw", "zone", "date_order"]
+#: Generation of the notations; a dictionary of another generation is not read.
+NOTATIONS = 2
 
 
 class InstantDictionary:
-    """Persistent dictionary (raw, zone, date_order, k1, k2, utc_micros) below ``path``.
+    """Persistent dictionary (raw, zone, date_order, k1, k2, utc_micros) below ``path``, one folder a batch.
 
-    Texts are keyed by two independent 64-bit hashes over raw text, zone and order, nulls included.
-    """
+    Texts are keyed by two independent 64-bit hashes over raw text, zone and order, nulls included. A batch's folder
+    counts once it is complete. Writers that run at the same time may both add a key, with the same instant; whoever
+    reads reduces by key."""
 
     SCHEMA = "raw string, zone string, date_order string, k1 bigint, k2 bigint, utc_micros bigint"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _batches(self) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/b-*/_SUCCESS")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
+        return sorted(s.getPath().getParent().toString() for s in found or [])
 
     def read(self) -> DataFrame:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(p):
+        """All entries, each key once."""
+        batches = self._batches()
+        if not batches:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        entries = self.spark.read.schema(self.SCHEMA).parquet(*batches)
+        return entries.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in [*KEY, "utc_micros"]]).select(*KEY, "k1", "k2", "utc_micros")
 
     def update(self, keyed: DataFrame) -> DataFrame:
-        """Adds the unseen keys of ``keyed`` (raw, zone, date_order, k1, k2); returns the whole dictionary.
+        """Adds the unseen keys of ``keyed`` (raw, zone, date_order, k1, k2); returns (k1, k2, utc_micros) of all its keys, as a written table.
 
-        The batch is appended only after it has been computed against the state before it, so that a
-        repeated batch adds nothing."""
-        known = self.read()
-        fresh = keyed.groupBy("k1", "k2").agg(*[F.min(c).alias(c) for c in KEY])
-        fresh = fresh.join(known.select("k1", "k2"), ["k1", "k2"], "left_anti")
-        ready = fresh.withColumn("text", prepared(F.col("raw")))
-        parsed = ready.select(*KEY, "k1", "k2", instant_micros(F.col("text"), F.col("zone"), F.col("date_order")).alias("utc_micros"))
-        parsed.write.mode("append").parquet(self.path)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        A repeated batch adds nothing."""
+        scratch = Scratch(self.spark, "instants")
+        keys = scratch.keep(keyed.groupBy("k1", "k2").agg(*[F.min(c).alias(c) for c in KEY]), "keys")
+        known = scratch.keep(keys.select("k1", "k2").join(self.read().select("k1", "k2", "utc_micros"), ["k1", "k2"]), "known")
+        fresh = keys.join(known.select("k1", "k2"), ["k1", "k2"], "left_anti").withColumn("text", prepared(F.col("raw")))
+        parsed = with_instant(fresh, "text", F.col("zone"), F.col("date_order"), "utc_micros").select(*KEY, "k1", "k2", "utc_micros")
+        batch = f"{self.path}/b-{uuid.uuid4().hex}"
+        parsed.write.parquet(batch)
+        scratch.drop(keys)
+        return known.unionByName(self.spark.read.schema(self.SCHEMA).parquet(batch).select("k1", "k2", "utc_micros"))
 
 
 def keyed_values(values: DataFrame) -> DataFrame:
@@ -61,12 +73,10 @@ def normalise_instants(spark: SparkSession, values: DataFrame, path: str | None
     """``values`` (field_name, line_no, raw, zone, date_order) with utc_micros, only rows that name an instant.
 
     Null, blank and unreadable texts, impossible dates and local times of an unknown zone name none. Repeated
-    rows stay repeated. ``path`` is the dictionary's table; without it each call gets a new one in the shared folder.
+    rows stay repeated. ``path`` is the dictionary's folder, by default one in the shared folder that all calls extend:
+    a text is parsed once, whichever batch brings it first.
     """
-    import uuid
-
-    path = path or f"{shared_dir(spark)}/tracelark/instants-{uuid.uuid4().hex}"
     keyed = keyed_values(values.filter("raw is not null"))
-    dictionary = InstantDictionary(spark, path).update(keyed)
-    named = dictionary.filter("utc_micros is not null").select("k1", "k2", "utc_micros")
-    return keyed.join(named, ["k1", "k2"]).select("field_name", "line_no", "utc_micros")
+    named = InstantDictionary(spark, path or f"{shared_dir(spark)}/tracelark-instants-{NOTATIONS}").update(keyed)
+    # Both sides are plain exchanges, so the partition of a text that many rows hold is split.
+    return keyed.join(named.filter("utc_micros is not null"), ["k1", "k2"]).select("field_name", "line_no", "utc_micros")

@@ -32,8 +32,11 @@ def conflicts(df: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def dangling(df: DataFrame, ref: str, target: DataFrame, key: str) -> DataFrame:
-    """Rows whose reference has no target row; null references are no references."""
-    return df.filter(F.col(ref).isNotNull()).join(target.select(F.col(key).alias(ref)).distinct(), ref, "left_anti")
+    """Rows whose reference has no target row; null references are no references.
+
+    The targets' distinct keys are written, so that a reference that many rows share is split (see ``duplicate_members``)."""
+    known = Scratch(df.sparkSession, "targets").keep(target.select(F.col(key).alias(ref)).dropna().distinct())
+    return df.filter(F.col(ref).isNotNull()).join(known, ref, "left_anti")
 
 
 def agreement(declared: DataFrame, actual: DataFrame, key: str, n: str = "n") -> DataFrame:

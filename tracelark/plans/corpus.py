@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelark.functions.hashing import sha256, stable_article_id
 from tracelark.functions.text import body_form, scalar_form, title_form
-from tracelark.functions.timestamps import instant_micros, prepared
+from tracelark.functions.timestamps import prepared, with_instant
 from tracelark.functions.unicode import nfkc, strip_white
 from tracelark.functions.urls import portable_id
 from tracelark.operators import corpus_build, keys, lineage, rules
@@ -181,7 +181,7 @@ def date_issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
     for c in ("published_at", "captured_at"):
         ok = F.coalesce(F.col(c).rlike(iso), F.lit(False))
-        a = a.withColumn(f"{c}_us", F.when(ok, instant_micros(F.col(c), F.lit("UTC"), F.lit(None).cast("string"))))
+        a = with_instant(a.withColumn("iso", F.when(ok, F.col(c))), "iso", F.lit("UTC"), F.lit(None).cast("string"), f"{c}_us")
         us = F.col(f"{c}_us")
         found += [
             rules.Rule(f"{c.upper()}_INVALID", us.isNull()),
@@ -210,6 +210,7 @@ def derived_link_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = a.groupBy("record_id").agg(F.min_by("article_id", "line_no").alias("p_article"))
     hashed = _hashed(spark, sf_dir).filter("record_id is not null").groupBy("record_id").agg(F.max_by("body_hash", "line_no").alias("p_hash"))
     target = first.join(hashed, "record_id", "left").withColumn("there", F.lit(True)).withColumnRenamed("record_id", "source_record_id")
+    target = Scratch(spark, "sources").keep(target)  # so that a source of many derived articles is split
     c = table(spark, sf_dir, "cleaned").filter("source_record_id is not null")
     j = c.select("line_no", "article_id", "source_record_id", F.col("derivation.input_body_sha256").alias("ih")).join(target, "source_record_id", "left")
     there = F.col("there").isNotNull()
@@ -363,7 +364,9 @@ def source_ref_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "l3_prior_candidates").select("line_no", F.explode("source_refs").alias("s"))
     r = r.select("line_no", F.col("s.article_id").alias("article_id"), F.col("s.source_version_id").alias("sv")).distinct()
     m = table(spark, sf_dir, "l2_article_maps").select("article_id", F.col("source_version_id").alias("sv")).distinct()
-    articles = m.select("article_id").distinct().withColumn("a", F.lit(1))
+    scratch = Scratch(spark, "maps")
+    m = scratch.keep(m)
+    articles = scratch.keep(m.select("article_id").distinct().withColumn("a", F.lit(1)))
     j = r.join(articles, "article_id", "left").join(m.withColumn("b", F.lit(1)), ["article_id", "sv"], "left").filter("b is null")
     return j.select("line_no", "article_id", "sv", F.when(F.col("a").isNull(), "SOURCE_REF_ARTICLE_MISSING").otherwise("SOURCE_REF_VERSION_MISMATCH").alias("code"))
 
@@ -404,9 +407,11 @@ def polymorphic_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to two kinds of target, resolved against the union of both."""
     q = table(spark, sf_dir, "l3_prior_candidates").select(F.explode("parent_ids").alias("ref"))
     q = q.withColumn("kind", F.when(F.col("ref").startswith("L3-"), "l3").when(F.col("ref").startswith("L2-"), "l2").otherwise("invalid"))
+    # Counted by reference before the join, so that no reference is hot in it.
+    q = q.groupBy("kind", "ref").agg(F.count("*").alias("n"))
     t = table(spark, sf_dir, "l2_article_maps").select(F.lit("l2").alias("kind"), F.col("record_id").alias("ref"))
     t = t.unionByName(table(spark, sf_dir, "l3_prior_candidates").select(F.lit("l3").alias("kind"), F.col("record_id").alias("ref"))).distinct()
-    return q.join(t.withColumn("hit", F.lit(1)), ["kind", "ref"], "left").groupBy("kind").agg(F.count("*").alias("n_refs"), F.count("hit").alias("n_found"))
+    return q.join(t.withColumn("hit", F.lit(1)), ["kind", "ref"], "left").groupBy("kind").agg(F.sum("n").alias("n_refs"), F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0).cast("bigint")).alias("n_found"))
 
 
 @query("""WITH p AS (SELECT line_no, rights_ref, unnest(parent_ids) AS ref FROM l3_prior_candidates), j AS (SELECT p.line_no, p.rights_ref, m.rights_ref AS r FROM p JOIN l2_article_maps m ON p.ref = m.record_id)
