@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm import brute
 from tracelark.llm import collapse, forms, lines
 
@@ -33,6 +35,28 @@ def test_repeated_lines_defined_cases(spark):
     assert found_lines(spark, [(i, "a", long + "\nb\n") for i in range(3)]) == {(i, p) for i in range(3) for p in (0, 1)}
 
 
+def test_containers_dense_and_sparse(spark):
+    n = 40_000
+    docs = spark.range(n).selectExpr("id * 3 as doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 7)) as source", "concat('Line ', id, if(id % 2 = 0, '\nMenu', '\nother'), char(10), 'x', id % 5) as text")
+    numbers = lines.document_numbers(docs.unionByName(docs.limit(50)), span=1000)
+    got = numbers.groupBy("source_hash").agg(F.count("*").alias("n"), F.min("number").alias("a"), F.max("number").alias("b"), F.count_distinct("number").alias("d")).collect()
+    assert all((r.a, r.b, r.d) == (0, r.n - 1, r.n) for r in got) and sum(r.n for r in got) == n
+    found = lines.repeated_lines(spark, docs, 3000).persist()
+    # "line" and "x" in all documents of a source count, "menu" and "other" in half of them: only those of the hot source do.
+    sizes = {r.source: r["count"] for r in docs.groupBy("source").count().collect()}
+    got = {(r.source, r.line_pos): r["count"] for r in found.join(docs, "doc_id").groupBy("source", "line_pos").count().collect()}
+    assert got == {(x, p): k for x, k in sizes.items() for p in ((0, 1, 2) if x == "hot" else (0, 2))}
+    occ = lines.line_occurrences(docs).withColumn("bucket", F.lit(0)).withColumn("low", (F.col("doc_id") / 3).cast("smallint")).filter("doc_id < 90000 and source_hash = xxhash64('hot')")
+    maps = lines.united(lines.variant_bitmaps(occ)).collect()
+    assert {(r.n, r.lows is None, r.bits is None) for r in maps} == {(10_000, True, False), (5000, True, False)}
+    few = lines.united(lines.variant_bitmaps(occ.filter("doc_id < 3000"))).collect()
+    assert {(r.n, r.lows is None, r.bits is None) for r in few} == {(334, False, True), (167, False, True)}
+    bits = spark.createDataFrame([(i,) for i in (0, 7, 8, 31, 4095, 32767)], "low smallint")
+    one = bits.agg(F.bitmap_construct_agg("low").alias("bits")).withColumn("lows", F.lit(None).cast("array<smallint>"))
+    tested = spark.range(32768).select(F.col("id").cast("smallint").alias("low")).crossJoin(one).filter(lines.has_bit(F.col("low"), F.col("lows"), F.col("bits")))
+    assert sorted(r.low for r in tested.collect()) == [0, 7, 8, 31, 4095, 32767]
+
+
 def test_without_lines(spark):
     docs = spark.createDataFrame([(1, "a\nb\n\nc"), (2, "a"), (3, None), (4, "")], "doc_id bigint, text string")
     found = spark.createDataFrame([(1, 0), (1, 3), (2, 0)], "doc_id bigint, line_pos int")
@@ -105,8 +129,6 @@ def test_repeated_lines_in_other_case(spark):
 
 
 def test_map_copies(spark):
-    from pyspark.sql import functions as F
-
     maps = [
         (1, {"clean_text": "A b", "lead": "x"}), (2, {"lead": "X!", "clean_text": "a B"}), (3, {"clean_text": "ab"}), (4, {"clean_text": "a", "lead": "bx"}),
         (5, {"clean_text": "ab", "lead": None}), (6, {"clean_text": "ab", "lead": ""}), (7, None), (8, {"clean_text": None}), (9, {"clean_text": " . ", "lead": "x"}),
