@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from tests import brute
+from tests.plans import no_broadcasts, plain_sides
 from tracelark.operators.hierarchy import descendants, hierarchy, loop_descendants
 from tracelark.operators.instants import InstantDictionary, keyed_values, normalise_instants
 from tracelark.operators.orphans import orphan_cascade
@@ -92,32 +93,12 @@ def test_descendant_pairs_of_loops(spark):
     assert loop_descendants(spark, hierarchy(spark, none), none).count() == 0
 
 
-def plain_sides(df):
-    """Whether every sort-merge join of an executed plan reads plain exchanges, which alone are split when skewed."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    lines = plan.split("== Initial Plan ==")[-1].split("\n")
-    sides = 0
-    for i, x in enumerate(lines):
-        if "SortMergeJoin" in x:
-            depth = x.index("SortMergeJoin")
-            for k in range(i + 1, len(lines)):
-                at = len(lines[k]) - len(lines[k].lstrip(" :+-|*()0123456789"))
-                if at <= depth:
-                    break
-                if at == depth + 3 and "Sort " in lines[k]:
-                    assert "Exchange" in lines[k + 1], (x, lines[k + 1])
-                    sides += 1
-    return sides
-
-
 def test_hot_keys_meet_plain_exchanges(spark):
     """A key of a third of all rows: right rows, and joins whose partitions the adaptive planner can split."""
     from tracelark.operators import keys
 
     n = 3000
-    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")if spark.conf.get(k, None)}
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
+    with no_broadcasts(spark):
         refs = spark.range(n).selectExpr("id", "if(id % 3 = 0, 'hot', concat('k', id)) as ref")
         targets = spark.createDataFrame([("hot",), ("hot",), ("k1",), (None,)], "key string")
         d = keys.dangling(refs, "ref", targets, "key")
@@ -127,10 +108,6 @@ def test_hot_keys_meet_plain_exchanges(spark):
         values = refs.selectExpr("'f' field_name", "id line_no", "if(id % 3 = 0, '2024-01-02T03:04:05Z', '2024-01-02') raw", "null zone", "null date_order").selectExpr("field_name", "line_no", "raw", "cast(zone as string) zone", "cast(date_order as string) date_order")
         v = normalise_instants(spark, values)
         assert v.count() == n and plain_sides(v) == 2
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        for k, x in was.items():
-            spark.conf.set(k, x)
 
 
 def ts(day):
