@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.plans import no_broadcasts, plain_sides
 from tracelark.llm import collapse, forms, lines
 
 VALUES = "field_name string, scope string, line_no bigint, value string"
@@ -108,6 +109,19 @@ def test_copies_random(spark):
     assert members(spark, []) == set()
 
 
+def test_hot_values_meet_plain_exchanges(spark):
+    n = 3000
+    values = spark.range(n).selectExpr("'f' as field_name", "'' as scope", "id as line_no", "case when id % 3 > 0 then concat('v', id) when id % 2 = 0 then 'Hot value' else 'Hot\u00a0value' end as value")
+    docs = values.selectExpr("line_no as doc_id", "'s' as source", "value as text")
+    with no_broadcasts(spark):
+        g = forms.look_groups(spark, values)
+        assert g.count() == n // 3 and plain_sides(g) == 2
+        m = collapse.copy_members(spark, values)
+        assert m.count() == n // 3 and plain_sides(m) == 2
+        found = lines.repeated_lines(spark, docs)
+        assert found.count() == n  # all lines are the same once digits are left out, or the hot one
+
+
 RUSSIAN = ["Материал номер три, вот так", "Читайте также: новости", "Ёлка и йод, КВН", "Vine and nine", "νews Νews υp Υp", "Straße МОСТ"]
 
 

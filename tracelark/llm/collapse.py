@@ -50,7 +50,7 @@ def copy_members(spark: SparkSession, values: DataFrame) -> DataFrame:
     """(field_name, first_line_no, line_no) of every row in a group of two or more rows of the same text."""
     scratch = Scratch(spark, "copies")
     distinct, forms = collapsed(spark, values, scratch)
-    groups = distinct.filter("copies > 1").select("field_name", "k1", "k2", F.col("first_line_no").alias("first"))
+    groups = scratch.keep(distinct.filter("copies > 1").select("field_name", "k1", "k2", F.col("first_line_no").alias("first")), "groups")
     raw = forms.join(groups, ["field_name", "k1", "k2"]).select("field_name", "v1", "v2", F.col("first").alias("first_line_no"))
     raw = scratch.keep(raw, "raw")
     return hashed_rows(values).join(raw, ["field_name", "v1", "v2"]).select("field_name", "first_line_no", "line_no")

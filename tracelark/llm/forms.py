@@ -27,7 +27,8 @@ def look_groups(spark: SparkSession, values: DataFrame) -> DataFrame:
     line_no and the extremes of the string hashes, so a group may hold any share of the rows.
     """
     scratch = Scratch(spark, "look")
-    dictionary = with_form(survivors(values), look_form).select("field_name", "v1", "v2", "k1", "k2")
+    # Written, as the groups below, so that the joins see two plain exchanges and split the partition of a hot value.
+    dictionary = scratch.keep(with_form(survivors(values), look_form).select("field_name", "v1", "v2", "k1", "k2"), "dictionary")
     rows = hashed_rows(values, F.xxhash64("scope").alias("s"))
     keyed = scratch.keep(rows.join(dictionary, ["field_name", "v1", "v2"]), "keyed")
     key = ["field_name", "s", "k1", "k2"]
