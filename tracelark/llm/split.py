@@ -14,7 +14,8 @@ OVERLAP = 200
 # Boundary strengths, weakest first: inside a word, between words, sentences, lines, paragraphs.
 HARD, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
 
-_BREAK = re.compile(r"\n[ \t\r]*\n\s*|\n|[.!?…]+[\"'”’)\]]*(?=\s)\s*|[。！？；]+[”’」』）]*")
+# A sentence's end is tried where its run of marks begins, and nothing is given back: every character is read a few times at most.
+_BREAK = re.compile(r"\n[ \t\r]*+\n\s*+|\n|(?<![.!?…])[.!?…]++[\"'”’)\]]*+(?=\s)\s*+|[。！？；]++[”’」』）]*+")
 _SPACE = re.compile(r"\s+|(?<=[，、：,;])")
 
 
