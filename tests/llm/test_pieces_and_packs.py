@@ -36,6 +36,16 @@ def test_cuts_prefer_strong_boundaries():
     checked("a" * 100_000, 2000, 200)
 
 
+def test_cuts_in_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("." * 400_000, "a" + "." * 400_000 + "b", "\n \t" * 100_000, ".)" * 200_000, "。" * 400_000, ", " * 200_000):
+        checked(text, 2000, 200)
+    assert time.time() - began < 20
+    assert checked("Wait... what?! " * 40, 60, 5)[0] % 15 == 0
+
+
 def test_pieces_round_trip(spark):
     rnd = random.Random(1)
     texts = {i: "".join(rnd.choice(["Ein Satz. ", "词语。", "\n", "wort "]) for _ in range(900)) for i in range(5)}
@@ -73,7 +83,7 @@ def test_tournament_tree_is_first_fit(sizes):
 
 def test_containers(spark):
     rnd = random.Random(2)
-    rows = [(i, rnd.choice([0, 1, 5, 99, 100, 101, 250, 1000, None])) for i in range(600)] + [(7, 40)]
+    rows = [(i, rnd.choice([0, 1, 5, 99, 100, 101, 250, 1000, None])) for i in range(600)] + [(7, 40), (8, 5030), (8, 5030), (8, 1_000_000)]
     df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint")
     got = packing.containers(df, len(rows), capacity=100, group_docs=100).collect()
     assert sum(r.n_tokens for r in got) == sum(n or 0 for _, n in rows)
@@ -83,8 +93,9 @@ def test_containers(spark):
         used[r.container_id] += r.n_tokens
         assert r.part_no == 0 or r.token_start == 100 * r.part_no
     assert max(used.values()) <= 100
+    assert all(used[r.container_id] == 100 for r in got if r.container_id.startswith("full"))
     divided = {r.doc_id for r in got if r.part_no > 0}
-    assert divided == {i for i, n in rows if n and n > 100}
+    assert divided == {8} | {i for i, n in rows if n and n > 100}
     assert packing.containers(df.limit(0), 0).count() == 0
 
 

@@ -50,27 +50,24 @@ def containers(sizes: DataFrame, n_docs: int, capacity: int = CAPACITY, group_do
 
     ``sizes``: doc_id BIGINT, n_tokens BIGINT; ``n_docs`` is their number, from which follows the number of
     groups. Returns doc_id, part_no INT, token_start BIGINT, n_tokens BIGINT, group_id BIGINT, container_id
-    STRING. A document above the capacity is divided: its full parts take a container each, the rest is an item
-    like others. Every document comes out, also an empty one (size 0); a null size counts as 0. Groups are
-    drawn by a hash of doc_id, so none depends on any attribute of the documents; a repeated doc_id is packed
-    once for each row.
+    STRING. A document above the capacity is divided: its full parts take a container each, where they are read, and only
+    the rest is an item like others; so a group holds one item a document, however long. Every document comes out, also an
+    empty one (size 0); a null size counts as 0. Groups are drawn by a hash of doc_id, so none depends on any attribute of
+    the documents; a repeated doc_id is packed once for each row.
     """
     groups = max(1, -(-n_docs // group_docs))
-    full = F.floor(F.coalesce("n_tokens", F.lit(0)) / capacity).cast("int")
+    size = F.coalesce("n_tokens", F.lit(0)).cast("bigint")
+    group = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups))
+    d = sizes.select("doc_id", size.alias("n"), F.floor(size / capacity).cast("int").alias("whole"), group.alias("group_id"))
+    # The number of the row tells rows of one doc_id apart.
+    full = d.withColumn("row", F.monotonically_increasing_id()).filter("whole > 0")
+    full = full.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("part_no"), "group_id", "row").select(
+        "doc_id", "part_no", (F.col("part_no").cast("bigint") * capacity).alias("token_start"), F.lit(capacity).cast("bigint").alias("n_tokens"),
+        "group_id", F.concat_ws("-", F.lit("full"), "row", "part_no").alias("container_id"),
+    )
     rest = F.col("n") - F.col("whole") * capacity
-    d = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n"), full.alias("whole"))
-    d = d.withColumn("parts", F.col("whole") + F.when((rest > 0) | (F.col("whole") == 0), 1).otherwise(0))
-    items = d.select(
-        "doc_id",
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_no"),
-        "n",
-        "whole",
-    ).select(
-        "doc_id",
-        "part_no",
-        (F.col("part_no").cast("bigint") * capacity).alias("token_start"),
-        F.when(F.col("part_no") < F.col("whole"), capacity).otherwise(rest).cast("bigint").alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).alias("group_id"),
+    items = d.filter((rest > 0) | (F.col("whole") == 0)).select(
+        "doc_id", F.col("whole").alias("part_no"), (F.col("whole").cast("bigint") * capacity).alias("token_start"), rest.cast("bigint").alias("n_tokens"), "group_id"
     )
 
     def pack(g):
@@ -79,9 +76,10 @@ def containers(sizes: DataFrame, n_docs: int, capacity: int = CAPACITY, group_do
         g["container_id"] = [f"{x}-{b}" for x, b in zip(g["group_id"], at)]
         return g[["doc_id", "part_no", "token_start", "n_tokens", "group_id", "container_id"]]
 
-    return items.groupBy("group_id").applyInPandas(
+    packed = items.groupBy("group_id").applyInPandas(
         pack, "doc_id bigint, part_no int, token_start bigint, n_tokens bigint, group_id bigint, container_id string"
     )
+    return packed.unionByName(full)
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
