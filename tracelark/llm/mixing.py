@@ -87,7 +87,7 @@ def mix(
 def _report(targets: DataFrame, docs: DataFrame, mixed: DataFrame) -> DataFrame:
     have = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     used = mixed.groupBy("source").agg(F.count("*").alias("used_docs"), F.sum("n_tokens").alias("used_tokens"), F.max("copy_no").alias("last"))
-    all_used = mixed.agg(F.sum("n_tokens")).first()[0] or 1
+    all_used = F.sum("used_tokens").over(W.partitionBy(F.lit(1)))  # over one row a target
     zero = F.lit(0).cast("bigint")
     return (
         targets.join(have, "source", "left")
@@ -96,6 +96,6 @@ def _report(targets: DataFrame, docs: DataFrame, mixed: DataFrame) -> DataFrame:
             "source", "target_share", "max_repeats", F.coalesce("n_docs", zero).alias("n_docs"), F.coalesce("n_tokens", zero).alias("n_tokens"),
             F.coalesce("used_docs", zero).alias("used_docs"), F.coalesce("used_tokens", zero).alias("used_tokens"),
             F.coalesce(F.col("last") + 1, F.lit(0)).alias("copies_begun"),
-            F.coalesce(F.col("used_tokens") / F.lit(all_used), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.col("used_tokens") / all_used, F.lit(0.0)).alias("actual_share"),
         )
     )
