@@ -185,6 +185,85 @@ def test_rank_frequency_is_least_squares(spark):
     assert got[0].slope == pytest.approx(slope) and got[0].residual == pytest.approx(res)
 
 
+def test_languages_are_fitted():
+    rnd = random.Random(3)
+    vocab = {k: [f"{k}{i}" for i in range(40)] for k in ("aa", "bb", "cc")}
+    df, n = defaultdict(Counter), Counter()
+    for _ in range(900):
+        k = rnd.choice("aaa bb cc".split())[:2]
+        label = k if rnd.random() < 0.9 else rnd.choice(list(vocab))  # some labels are wrong
+        n[label] += 1
+        for w in {*rnd.sample(vocab[k], 12), *rnd.sample(["shared1", "shared2", "2024"], 2)}:
+            df[w][label] += 1
+    known = spam.Languages(dict(n), {w: dict(c) for w, c in df.items()})
+    assert set(known.names) == set(vocab) and "aa3" in known.common["aa"] and "aa3" not in known.common["bb"]
+    for k in vocab:
+        assert known.of({*rnd.sample(vocab[k], 5), "shared1", "x"}, "cc") == k
+    assert known.of({"nothing"}, " BB ") == "bb" and known.of({"nothing"}, "tlh") == known.names[0] and known.of(set(), None) == known.names[0]
+    assert spam.Languages({}, {}).of({"x"}, "en") == "en" and spam.Languages({}, {}).of({"x"}, None) == ""
+
+
+@pytest.fixture(scope="module")
+def held_out():
+    """Honest and spam pages of forms that set no threshold: other words, other layouts, mixed."""
+    rnd = random.Random(77)
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    nouns = sorted({"".join(rnd.choice(syllables) for _ in range(rnd.randrange(2, 4))) for _ in range(900)})
+    function = "the of and to in that is for on with as by at from this which was are it not".split()
+    verbs = [v + "s" for v in nouns[:60]]
+
+    def sentence():
+        out = []
+        for _ in range(rnd.randrange(4, 9)):
+            out += rnd.choice([[rnd.choice(function), rnd.choice(nouns)], [rnd.choice(function), rnd.choice(function), rnd.choice(nouns)], [rnd.choice(verbs)]])
+        return " ".join(out).capitalize() + "."
+
+    prose = lambda k: " ".join(sentence() for _ in range(k))
+    link = lambda: f"https://{rnd.choice(nouns)}.example/{rnd.choice(nouns)}/{rnd.randrange(999)}"
+    good = [prose(rnd.randrange(3, 40)) for _ in range(300)]
+    good += [prose(10) + "\nSources:\n" + "\n".join(link() for _ in range(3)) for _ in range(30)]
+    good += ["Summary\n" + "\n".join("- " + sentence() for _ in range(12)) for _ in range(30)]
+    topic = lambda: rnd.sample(nouns, 4)
+
+    def stuffed():
+        t = topic()
+        return prose(2) + "\n" + " ".join(rnd.choice(["best", "cheap", "buy", "top"]) + " " + rnd.choice(t) for _ in range(rnd.randrange(60, 200)))
+
+    bad = [stuffed() for _ in range(25)]
+    bad += [prose(1) + "\n" + "\n".join(f"{rnd.choice(nouns)} {rnd.choice(nouns)}: {link()}" for _ in range(rnd.randrange(15, 40))) for _ in range(25)]
+    bad += ["Tags: " + ", ".join(rnd.choice(nouns) + " " + rnd.choice(nouns) for _ in range(rnd.randrange(40, 150))) for _ in range(25)]
+    bad += [" ".join("#" + rnd.choice(nouns) for _ in range(60)) for _ in range(10)]
+    return [(i, t, "en", "x") for i, t in enumerate(good)], [(10_000 + i, t, "en" if i % 4 else None, "x") for i, t in enumerate(bad)]
+
+
+def test_precision_and_recall_on_held_out_pages(spark, held_out):
+    good, bad = held_out
+    df = spark.createDataFrame(good + bad, "doc_id bigint, text string, lang string, is_spam string")
+    found = {r.doc_id for r in spam.spam_pages(spark, df).filter("is_spam").collect()}
+    true = {d for d, *_ in bad}
+    assert len(found & true) >= 0.9 * len(true) and len(found & true) >= 0.9 * len(found)
+
+
+def test_each_measure_makes_pages_spam(spark, held_out):
+    """Without any one of slope, residual and divergence other pages are spam."""
+    rnd = random.Random(21)
+    good, bad = held_out
+    words = sorted({w for _, t, *_ in good for w in t.lower().replace(".", "").split() if w.isalpha()})
+    common = "the of and to in that is for on with as by at from this which".split()
+
+    def cycle(n, n_common, times):
+        """The same words again and again, in new order: no window of 40 words repeats much and none is a list."""
+        often = rnd.sample(words, n)
+        return " ".join(" ".join([*rnd.sample(often, n), *rnd.sample(common, n_common)]) + "." for _ in range(times))
+
+    # Steep curves that are straight, and curves of a usual slope that no line fits.
+    pages = [cycle(20, 2, 7), cycle(34, 6, 12), cycle(20, 2, 7), cycle(34, 6, 7), cycle(34, 2, 7), cycle(26, 2, 7)]
+    df = spark.createDataFrame(good + bad + [(20_000 + i, t, "en", "x") for i, t in enumerate(pages)], "doc_id bigint, text string, lang string, x string")
+    run = lambda *m: {r.doc_id for r in spam.spam_pages(spark, df, m).filter("is_spam").collect()}
+    every = run("slope", "residual", "divergence")
+    assert run("slope", "divergence") < every and run("residual", "divergence") < every and run("slope", "residual") < every
+
+
 def test_spam_empty(spark):
     assert spam.spam_pages(spark, spark.createDataFrame([], "doc_id bigint, text string, lang string")).count() == 0
 

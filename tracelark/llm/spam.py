@@ -1,19 +1,23 @@
 """Keyword-stuffed pages and link lists (problem 10).
 
-Three views of a page against prose of its language at comparable length:
+Three views of a page against pages of its language at comparable length (words, to a power of two):
 
 * slope and residual of its rank-frequency curve, log frequency over log rank, fitted with windows;
 * divergence: the share of its characters in segments (lines, sentences) that depart from prose. A segment
   departs if it is a link, if it is a mere list, if hardly any of its words are common in the language's
   documents, or if the words around it repeat far more than words of prose do. Repetition is measured in
-  windows of equal length, so that long and short pages compare. On a page with an extreme curve a segment also
-  departs if its words come back too often on the page as a whole, at whatever distance.
+  windows of equal length, so that long and short pages compare.
 
-Everything "usual" is a median over all pages of the language; no vocabulary is built in.
+A page whose divergence passes a half is spam. On a page whose slope or residual is extreme a segment also departs if
+its words come back too often on the page as a whole, at whatever distance, and that share decides.
+
+Everything "usual" is a median over all pages of the language and length; no vocabulary is built in. Languages and the
+words that tell them apart are fitted from the documents' own labels.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -36,26 +40,23 @@ LEAST_FRESH = 0.5
 #: Separators per word that make a list; lower for pairs of characters.
 LIST_MARKS, LIST_MARKS_PAIRS = 0.3, 0.2
 WINDOW = 40
+#: Pages that a length of a language must have for medians of its own words and variety; below it the whole language's serve.
+LEAST_PAGES = 100
+#: Share of the labelled documents that makes a label a language, so there are at most 200; words that tell one from the others.
+LEAST_LANGUAGE, TELLING = 0.005, 40
 #: Distance from the median, in deviations, that makes a curve extreme.
 EXTREME = 3.5
+#: Deviation that curves of a language and length have at least, so that two pages of one length are not far apart.
+LEAST_SPREAD = 0.01
 
 _IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
 # A tag of any length; what else stands between < and > only if it is short, since that may be text.
 _LINK = re.compile(r"<a\s[^<>\n]*>[^<\n]*</a>|\[[^\]\n]*\]\([^)\s]*\)|<[^<>\n]{0,300}>|<[/!?]?[a-z][^<>\n]*>|(?:https?://|www\.)[^\s<>)\]\"]+|[@#]\w[\w.'-]*")
 _WORD = re.compile(r"[^\W\d_]+")
 _PAIRED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
-_CYRILLIC = re.compile("[Ѐ-ӿ]")
 _END = re.compile(r"[。！？；;]|[.!?…](?=\s)")
 _HOLE = "\x01"
 _MARK = re.compile(r"[,，、|/·•>;；]")
-# Frequent words that tell the Latin-script languages apart when the declared language is null or wrong.
-_TELLING = {
-    "en": frozenset("the of and to in is that with for not by from on at".split()),
-    "de": frozenset("der die das und nicht mit für im von ist zu den auf".split()),
-    "fr": frozenset("le la les des et est du dans pour que une pas au".split()),
-}
-
-
 # Every ASCII character that is no lower-case letter as a blank, but for line feeds.
 _LETTERS = {c: " " for c in range(128) if not chr(c).islower() and c != 10}
 
@@ -125,18 +126,43 @@ def _segments(s: str) -> list[tuple[int, int, list[str], bool]]:
     return out
 
 
-def _language(s: str, declared: str | None, words: set[str]) -> str:
-    n = max(1, len(s))
-    if not s.isascii():
-        if _PAIRED.search(s) and sum(map(len, _PAIRED.findall(s))) > 0.15 * n:
-            return "zh"
-        if _CYRILLIC.search(s) and len(_CYRILLIC.findall(s)) > 0.2 * n:
-            return "ru"
-    told = sorted([(sum([w in words for w in v]), k) for k, v in _TELLING.items()], reverse=True)
-    if told[0][0] >= 2 and told[0][0] > told[1][0]:
-        return told[0][1]
+class Languages:
+    """The languages of a corpus: their common words, and a classifier by the words that tell them apart.
+
+    A word weighs for a language by the logarithm of its share of documents there over its mean share in all languages.
+    A page's language is the one whose words in the page weigh most; without any such word it is the declared one, if
+    known, else the most frequent one."""
+
+    def __init__(self, n_docs: dict[str, int], df: dict[str, dict[str, int]]):
+        """``df``: of each word its number of documents in each language."""
+        self.names = sorted(n_docs, key=lambda k: (-n_docs[k], k))
+        self.common = {k: frozenset(w for w, n in df.items() if n.get(k, 0) >= COMMON_DF * n_docs[k]) for k in self.names}
+        self.weight: dict[str, tuple[float, ...]] = {}
+        told: dict[str, list] = {k: [] for k in self.names}
+        for w, n in df.items():
+            share = [n.get(k, 0) / n_docs[k] for k in self.names]
+            mean = sum(share) / len(share)
+            weights = tuple(math.log((x + 0.001) / (mean + 0.001)) for x in share)
+            for k, x, g in zip(self.names, share, weights):
+                if g > 0:
+                    told[k].append((x * g, w, weights))
+        for k, found in told.items():
+            self.weight |= {w: g for _, w, g in sorted(found, reverse=True)[:TELLING]}
+        self.telling = frozenset(self.weight)
+
+    def of(self, words, declared: str | None) -> str | None:
+        hits = self.telling & words
+        if hits:
+            sums = [sum(c) for c in zip(*[self.weight[w] for w in sorted(hits)])]
+            return self.names[sums.index(max(sums))]
+        d = _label(declared)
+        return d if d in self.common or not self.names else self.names[0]
+
+
+def _label(declared: str | None) -> str:
+    """A declared language in lower case; the codes of undetermined, several and no languages are none (fixed values)."""
     d = (declared or "").strip().lower()
-    return d if d in _TELLING else "en"
+    return "" if d in ("und", "mul", "zxx") else d
 
 
 def _variety(words: list[str]) -> float:
@@ -146,35 +172,38 @@ def _variety(words: list[str]) -> float:
 _FULL = 1 / WINDOW**0.9
 
 
-def _measured(segs, stream: list[str], common: frozenset, counts: Counter) -> list[tuple]:
-    """Segments with the share of common words, the variety of the window of WINDOW words around each, and freshness.
+def _measured(segs, stream: list[str], common: frozenset, counts: Counter) -> tuple[int, list[tuple]]:
+    """Characters of what can't be prose, and of each other segment: characters, of them outside links, words, share of
+    common words, variety of the window of WINDOW words around it, and freshness.
 
-    A segment longer than a window has the mean variety of its own windows side by side. Freshness is the mean of
-    1 / count over the words of a segment; over those of the page it is distinct words by words."""
-    total, pos, out, known = len(stream), 0, [], common.__contains__
+    No prose are mere lists and segments of less than three words. A segment longer than a window has the mean variety of
+    its own windows side by side. Freshness is the mean of 1 / count over the words of a segment; over those of the page it
+    is distinct words by words."""
+    total, pos, out, off, known = len(stream), 0, [], 0, common.__contains__
     fresh = {w: 1 / c for w, c in counts.items()}.__getitem__
     only = _variety(stream) if 0 < total <= WINDOW else None
     for n, m, words, is_list in segs:
         k = len(words)
-        if not k:
-            out.append((n, m, 0, 0.0, 0.0, 0.0, is_list))
-            continue
-        if only is not None:
-            variety = only
-        elif k <= WINDOW:
-            a = min(max(0, pos + k // 2 - WINDOW // 2), total - WINDOW)
-            variety = len(set(stream[a : a + WINDOW])) * _FULL
+        if k < 3 or is_list:
+            off += n
         else:
-            parts = [words[i : i + WINDOW] for i in range(0, k, WINDOW)]
-            full = [p for p in parts if len(p) >= WINDOW // 2]
-            variety = sum(map(_variety, full)) / len(full)
-        out.append((n, m, k, sum(map(known, words)) / k, variety, sum(map(fresh, words)) / k, is_list))
+            if only is not None:
+                variety = only
+            elif k <= WINDOW:
+                a = min(max(0, pos + k // 2 - WINDOW // 2), total - WINDOW)
+                variety = len(set(stream[a : a + WINDOW])) * _FULL
+            else:
+                parts = [words[i : i + WINDOW] for i in range(0, k, WINDOW)]
+                full = [p for p in parts if len(p) >= WINDOW // 2]
+                variety = sum(map(_variety, full)) / len(full)
+            out.append((n, m, k, sum(map(known, words)) / k, variety, sum(map(fresh, words)) / k))
         pos += k
-    return out
+    return off, out
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(lang, word, df): in how many documents of a language each word occurs; word '' counts the documents."""
+    """(lang, word, df): in how many documents of a label each word occurs; word '' counts the documents. Without a label
+    the label is ''."""
 
     def run(batches):
         import pyarrow as pa
@@ -191,10 +220,9 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
         for b in batches:
             for text, declared in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 # Links and disguised letters stay in: words of links count nowhere else, disguised ones are rare.
-                s = text.lower()
-                words = set(_words(s))
+                words = set(_words(text.lower()))
                 words.add("")
-                df.setdefault(_language(s, declared, words), Counter()).update(words)
+                df.setdefault(_label(declared), Counter()).update(words)
             if sum(map(len, df.values())) > 200_000:  # what one task holds at once; the aggregation that follows sums up
                 yield flush()
         if df:
@@ -204,34 +232,40 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return pairs.groupBy("lang", "word").agg(F.sum("df").alias("df"))
 
 
-def common_words(docs: DataFrame, scratch: Scratch) -> dict[str, frozenset]:
-    """Words in at least COMMON_DF of the documents of each language.
+def languages(docs: DataFrame, scratch: Scratch) -> Languages:
+    """The languages of all labelled documents.
 
-    At most (mean distinct words of a document) / COMMON_DF of them exist in a language, whatever the number
-    of documents, so they are brought to the driver and sent with the tasks."""
+    A label may be missing or wrong on some documents; it counts as a language if LEAST_LANGUAGE of the labelled documents
+    bear it. Words that are common in a language, at most (mean distinct words of a document) / COMMON_DF whatever the
+    number of documents, are brought to the driver with their counts and sent with the tasks."""
     df = scratch.keep(document_frequencies(docs), "df")
-    n = df.filter("word = ''").select("lang", F.col("df").alias("n_docs"))
-    hit = df.filter("word <> ''").join(n, "lang").filter(F.col("df") >= COMMON_DF * F.col("n_docs"))
-    out: dict[str, set] = {}
-    for lang, word in hit.select("lang", "word").collect():
-        out.setdefault(lang, set()).add(word)
-    return {k: frozenset(v) for k, v in out.items()}
+    n_docs = {r["lang"]: r["df"] for r in df.filter("word = '' and lang <> ''").orderBy(F.desc("df")).limit(int(1 / LEAST_LANGUAGE)).collect()}
+    whole = df.filter("word = '' and lang <> ''").agg(F.sum("df")).first()[0] or 0
+    n_docs = {k: n for k, n in n_docs.items() if n >= LEAST_LANGUAGE * whole}
+    if not n_docs:
+        return Languages({}, {})
+    needed = F.create_map(*[x for k, n in n_docs.items() for x in (F.lit(k), F.lit(COMMON_DF * n))])[F.col("lang")]
+    known = df.filter(F.col("lang").isin(*n_docs)).filter("word <> ''")
+    common = known.groupBy("word").agg(F.max((F.col("df") >= needed).cast("int")).alias("hit"), F.map_from_entries(F.collect_list(F.struct("lang", "df"))).alias("df"))
+    # One entry a language in each list.
+    return Languages(n_docs, {r["word"]: r["df"] for r in common.filter("hit = 1").select("word", "df").collect()})
 
 
 _MEASURES = (
-    "doc_id bigint, lang string, n_words int, "
-    "segs array<struct<n:int,m:int,k:int,common:double,variety:double,fresh:double,listed:boolean>>, curve array<struct<f:int,m:int>>"
+    "doc_id bigint, lang string, n_words int, n_off int, "
+    "segs array<struct<n:int,m:int,k:int,common:float,variety:float,fresh:float>>, curve array<struct<f:int,m:int>>"
 )
 
 
-def measured_pages(docs: DataFrame, common: dict[str, frozenset]) -> DataFrame:
-    """Per page its language, segments with their measures, and how many words occur how often."""
+def measured_pages(docs: DataFrame, known: Languages) -> DataFrame:
+    """Per page its language, words, characters of what can't be prose, the other segments with their measures, and how
+    many words occur how often."""
 
     def run(batches):
         import pyarrow as pa
 
-        i4, f8 = pa.int32(), pa.float64()
-        kinds = [("n", i4), ("m", i4), ("k", i4), ("common", f8), ("variety", f8), ("fresh", f8), ("listed", pa.bool_())]
+        i4, f4 = pa.int32(), pa.float32()
+        kinds = [("n", i4), ("m", i4), ("k", i4), ("common", f4), ("variety", f4), ("fresh", f4)]
 
         def nested(rows: list[list], fields: list) -> pa.Array:
             ends = [0]
@@ -242,109 +276,128 @@ def measured_pages(docs: DataFrame, common: dict[str, frozenset]) -> DataFrame:
             return pa.ListArray.from_arrays(pa.array(ends, i4), inner)
 
         for b in batches:
-            ids, langs, sizes, seg_rows, curves = [], [], [], [], []
+            ids, langs, sizes, offs, seg_rows, curves = [], [], [], [], [], []
             for doc_id, text, declared in zip(*(b.column(i).to_pylist() for i in range(3))):
                 s = _plain(text)
                 segs = _segments(s)
                 stream = [w for x in segs for w in x[2]]
                 counts = Counter(stream)
-                lang = _language(s, declared, counts.keys())
+                lang = known.of(counts.keys(), declared)
+                off, measured = _measured(segs, stream, known.common.get(lang, frozenset()), counts)
                 ids.append(doc_id)
                 langs.append(lang)
                 sizes.append(len(stream))
-                seg_rows.append(_measured(segs, stream, common.get(lang, frozenset()), counts))
+                offs.append(off)
+                seg_rows.append(measured)
                 curves.append(list(Counter(counts.values()).items()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, i4), nested(seg_rows, kinds), nested(curves, [("f", i4), ("m", i4)])],
-                names=["doc_id", "lang", "n_words", "segs", "curve"],
+                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, i4), pa.array(offs, i4), nested(seg_rows, kinds), nested(curves, [("f", i4), ("m", i4)])],
+                names=["doc_id", "lang", "n_words", "n_off", "segs", "curve"],
             )
 
     return docs.filter("text is not null and doc_id is not null").select("doc_id", "text", "lang").mapInArrow(run, _MEASURES)
 
 
-def rank_frequency(pages: DataFrame) -> DataFrame:
-    """(doc_id, slope, residual) of log frequency over log rank, for pages of at least two different frequencies.
+def rank_frequency(pages: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, *carry, slope, residual) of log frequency over log rank, for pages of at least two different frequencies.
 
-    Words of equal frequency share the middle of their ranks; the window runs over a page's distinct frequencies."""
-    c = pages.select("doc_id", F.explode("curve").alias("c")).select("doc_id", F.col("c.f").alias("f"), F.col("c.m").alias("m"))
+    Words of equal frequency share the middle of their ranks; the window runs over a page's distinct frequencies. Rows of
+    one doc_id are one page; ``carry`` are columns of the page."""
+    c = pages.select("doc_id", *carry, F.explode("curve").alias("c")).select("doc_id", *carry, F.col("c.f").alias("f"), F.col("c.m").alias("m"))
     up_to = W.partitionBy("doc_id").orderBy(F.desc("f")).rowsBetween(W.unboundedPreceding, W.currentRow)
     r = c.withColumn("hi", F.sum("m").over(up_to))
     r = r.withColumn("x", F.log((F.col("hi") * 2 - F.col("m") + 1) / 2)).withColumn("y", F.log("f"))
     s = r.groupBy("doc_id").agg(
+        *[F.first(k).alias(k) for k in carry],
         *[F.sum(F.col("m") * e).alias(a) for a, e in (
             ("w", F.lit(1)), ("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") ** 2), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") ** 2),
-        )]
+        )],
     )
     vx = F.col("sxx") - F.col("sx") ** 2 / F.col("w")
     vy = F.col("syy") - F.col("sy") ** 2 / F.col("w")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("w")
     ok = s.filter(vx > 1e-9)
-    return ok.select("doc_id", (cov / vx).alias("slope"), F.sqrt(F.greatest(vy - cov**2 / vx, F.lit(0.0)) / F.col("w")).alias("residual"))
+    return ok.select("doc_id", *carry, (cov / vx).alias("slope"), F.sqrt(F.greatest(vy - cov**2 / vx, F.lit(0.0)) / F.col("w")).alias("residual"))
+
+
+def usual(df: DataFrame, values: dict, pages=None) -> DataFrame:
+    """(lang, size, <name>...): medians of ``values`` (name: column) by language and length, as a local table.
 
+    With ``pages``, the number of pages of a group, a length of less than LEAST_PAGES of them takes the language's medians:
+    for what does not depend on length. Both levels come out of one aggregation. The result has a row for each language
+    and length, at most 200 x 64."""
+    cols = [F.percentile_approx(c, 0.5, 1000).alias(k) for k, c in values.items()]
+    if pages is None:
+        rows = df.groupBy("lang", "size").agg(*cols).collect()
+        of = lambda r: r
+    else:
+        levels = df.rollup("lang", "size").agg(F.grouping_id().alias("level"), pages.alias("pages"), *cols).filter("level < 3").collect()
+        whole = {r["lang"]: r for r in levels if r["level"] == 1}
+        rows = [r for r in levels if r["level"] == 0]
+        of = lambda r: r if r["pages"] >= LEAST_PAGES else whole[r["lang"]]
+    as_double = lambda v: None if v is None else float(v)
+    out = [(r["lang"], r["size"], *[as_double(of(r)[k]) for k in values]) for r in rows]
+    return df.sparkSession.createDataFrame(out, "lang string, size bigint, " + ", ".join(f"{k} double" for k in values))
 
-def _deviations(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """``df`` with <col>_z for each column: distance from the median of its group in median absolute deviations."""
-    mid = df.groupBy(*by).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"_mid_{c}") for c in cols])
-    d = df.join(mid, by)
-    off = lambda c: F.abs(F.col(c) - F.col(f"_mid_{c}"))
-    mad = d.groupBy(*by).agg(*[F.percentile_approx(off(c), 0.5, 1000).alias(f"_mad_{c}") for c in cols])
-    usual = mid.join(mad, by)  # as many rows as languages and sizes
-    z = [((F.col(c) - F.col(f"_mid_{c}")) / (F.col(f"_mad_{c}") * 1.4826 + 1e-6)).alias(f"{c}_z") for c in cols]
-    return df.join(usual, by).select(*df.columns, *z)
 
+def _beside(df: DataFrame, medians: DataFrame) -> DataFrame:
+    """``df`` with the medians of its language and length. They are few by construction, hence broadcast."""
+    on = df["lang"].eqNullSafe(medians["lang"]) & (df["size"] == medians["size"])
+    return df.join(F.broadcast(medians), on, "left").drop(medians["lang"]).drop(medians["size"])
 
-def spam_pages(spark: SparkSession, docs: DataFrame) -> DataFrame:
+
+def spam_pages(spark: SparkSession, docs: DataFrame, measures: tuple[str, ...] = ("slope", "residual", "divergence")) -> DataFrame:
     """One row per document with a text: doc_id, lang, n_chars, divergence, slope, residual, slope_z, residual_z, is_spam.
 
-    ``docs``: doc_id BIGINT, text, lang; other columns are ignored. A page is spam if, checked exactly, more than
-    half of its characters diverge from prose. On a page with an extreme curve, words that come back too often on the
-    page as a whole diverge too; ``divergence`` is without these. Empty pages are not spam; a curve of a single
-    frequency has no slope (null) and is extreme if its words recur. The whole of every text is measured.
+    ``docs``: doc_id BIGINT (unique), text, lang; other columns are ignored. A page is spam if, checked exactly, more than
+    half of its characters diverge from prose. On a page with an extreme slope or residual, words that come back too often
+    on the page as a whole diverge too; ``divergence`` is without these. Empty pages are not spam; a curve of a single
+    frequency has no slope (null), which is extreme if its words recur. The whole of every text is measured. ``measures``
+    names those that may make a page spam.
     """
     scratch = Scratch(spark, "spam")
     docs = docs.select("doc_id", "text", "lang")
-    pages = scratch.keep(measured_pages(docs, common_words(docs, scratch)), "pages")
-    seg = pages.select("lang", F.explode("segs").alias("s")).filter("s.k >= 5")
-    usual = seg.groupBy("lang").agg(
-        F.percentile_approx("s.common", 0.5, 1000).alias("u_common"), F.percentile_approx("s.variety", 0.5, 1000).alias("u_variety")
-    )
-    size = F.floor(F.log2(F.col("n_words") + 1))
+    size = F.floor(F.log2(F.col("n_words") + 1)).alias("size")
+    pages = measured_pages(docs, languages(docs, scratch)).select("*", size)
+    pages = scratch.keep(pages, "pages")
+    seg = pages.select("doc_id", "lang", "size", F.explode("segs").alias("s")).filter("s.k >= 5")
+    prose = usual(seg, {"u_common": F.col("s.common"), "u_variety": F.col("s.variety")}, F.approx_count_distinct("doc_id"))
     distinct = F.aggregate("curve", F.lit(0).cast("bigint"), lambda a, c: a + c["m"])
-    sizes = pages.select("lang", size.alias("size"), F.when(F.col("n_words") > 0, distinct / F.col("n_words")).alias("fresh"))
-    sizes = sizes.groupBy("lang", "size").agg(F.percentile_approx("fresh", 0.5, 1000).alias("u_fresh"))
-    usual = sizes.join(usual, "lang", "left")  # as many rows as languages and sizes
-    p = pages.withColumn("size", size).join(usual, ["lang", "size"], "left")
+    fresh = usual(pages.select("lang", "size", F.when(F.col("n_words") > 0, distinct / F.col("n_words")).alias("fresh")), {"u_fresh": F.col("fresh")})
+    p = _beside(_beside(pages, prose), fresh)
     least = F.when(F.col("lang") == "zh", LEAST_COMMON_PAIRS).otherwise(LEAST_COMMON)
-
-    def diverging(s, page_wide=False):
-        prose = (
-            (s["k"] >= 3)
-            & ~s["listed"]
-            & (s["common"] >= least * F.coalesce("u_common", F.lit(0.0)))
-            & (s["variety"] >= LEAST_VARIETY * F.coalesce("u_variety", F.lit(0.0)))
-        )
-        if page_wide:
-            prose = prose & (s["fresh"] >= LEAST_FRESH * F.coalesce("u_fresh", F.lit(0.0)))
-        return s["n"] - F.when(prose, s["m"]).otherwise(0)
-
-    zero = F.lit(0).cast("bigint")
     p = p.select(
         "doc_id",
         "lang",
-        "size",
+        "n_off",
+        "segs",
         ((F.size("curve") == 1) & (F.element_at("curve", 1)["f"] > 1)).alias("flat"),
-        F.aggregate("segs", zero, lambda a, s: a + s["n"]).alias("n_chars"),
-        F.aggregate("segs", zero, lambda a, s: a + diverging(s)).alias("off_chars"),
-        F.aggregate("segs", zero, lambda a, s: a + diverging(s, True)).alias("wide_chars"),
+        (least * F.coalesce("u_common", F.lit(0.0))).alias("l_common"),
+        (LEAST_VARIETY * F.coalesce("u_variety", F.lit(0.0))).alias("l_variety"),
+        (LEAST_FRESH * F.coalesce("u_fresh", F.lit(0.0))).alias("l_fresh"),
     )
+    is_prose = lambda s: (s["common"] >= F.col("l_common")) & (s["variety"] >= F.col("l_variety"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("off"), F.lit(0).cast("bigint").alias("wide"))
+
+    def add(a, s):
+        local = F.when(is_prose(s), s["n"] - s["m"]).otherwise(s["n"])
+        wide = F.when(is_prose(s) & (s["fresh"] >= F.col("l_fresh")), s["n"] - s["m"]).otherwise(s["n"])
+        return F.struct((a["n"] + s["n"]).alias("n"), (a["off"] + local).alias("off"), (a["wide"] + wide).alias("wide"))
+
+    p = p.withColumn("c", F.aggregate("segs", zero, add))
+    p = p.select("doc_id", "lang", "flat", *[(F.col("n_off") + F.col(f"c.{k}")).alias(a) for k, a in (("n", "n_chars"), ("off", "off_chars"), ("wide", "wide_chars"))])
     p = p.withColumn("divergence", F.when(F.col("n_chars") > 0, F.col("off_chars") / F.col("n_chars")).otherwise(0.0))
-    curve = p.select("doc_id", "lang", "size").join(rank_frequency(pages), "doc_id")
-    curve = scratch.keep(curve, "curves")
-    z = _deviations(curve, ["slope", "residual"], ["lang", "size"])
-    p = p.join(z.select("doc_id", "slope", "residual", "slope_z", "residual_z"), "doc_id", "left")
-    extreme = F.coalesce((F.abs("slope_z") > EXTREME) | (F.abs("residual_z") > EXTREME), F.col("flat"), F.lit(False))
-    off = F.when(extreme, F.col("wide_chars")).otherwise(F.col("off_chars"))
+
+    curve = scratch.keep(rank_frequency(pages, "lang", "size"), "curves")
+    z = _beside(curve, usual(curve, {f"mid_{c}": F.col(c) for c in ("slope", "residual")}))
+    off = lambda c: F.abs(F.col(c) - F.col(f"mid_{c}"))
+    z = _beside(z, usual(z, {f"mad_{c}": off(c) for c in ("slope", "residual")}))
+    z = z.select("doc_id", "slope", "residual", *[((F.col(c) - F.col(f"mid_{c}")) / F.greatest(F.col(f"mad_{c}") * 1.4826, F.lit(LEAST_SPREAD))).alias(f"{c}_z") for c in ("slope", "residual")])
+    p = p.join(z, "doc_id", "left")
+    may = lambda name, c: F.coalesce(c, F.lit(False)) & F.lit(name in measures)
+    extreme = may("slope", (F.abs("slope_z") > EXTREME) | F.col("flat")) | may("residual", F.abs("residual_z") > EXTREME)
+    more = lambda c: F.col(c) * 2 > F.col("n_chars")
     return p.select(
         "doc_id", "lang", "n_chars", "divergence", "slope", "residual", "slope_z", "residual_z",
-        (off * 2 > F.col("n_chars")).alias("is_spam"),
+        (may("divergence", more("off_chars")) | (extreme & more("wide_chars"))).alias("is_spam"),
     )
