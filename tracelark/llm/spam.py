@@ -21,8 +21,9 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,6 +55,9 @@ _IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-
 _LINK = re.compile(r"<a\s[^<>\n]*>[^<\n]*</a>|\[[^\]\n]*\]\([^)\s]*\)|<[^<>\n]{0,300}>|<[/!?]?[a-z][^<>\n]*>|(?:https?://|www\.)[^\s<>)\]\"]+|[@#]\w[\w.'-]*")
 _WORD = re.compile(r"[^\W\d_]+")
 _PAIRED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
+# Runs of such characters and other words, in one go.
+_RUN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]+|[^\W\d_぀-ヿ㐀-䶿一-鿿豈-﫿]+")
+_FIRST_PAIRED = "぀"
 _END = re.compile(r"[。！？；;]|[.!?…](?=\s)")
 _HOLE = "\x01"
 _MARK = re.compile(r"[,，、|/·•>;；]")
@@ -70,20 +74,17 @@ def _plain(text: str) -> str:
 def _words(s: str) -> list[str]:
     if s.isascii():
         return s.translate(_LETTERS).split()
-    runs = _PAIRED.findall(s)
-    if not runs:
-        return _WORD.findall(s)
-    return _pairs(runs) + _WORD.findall(_PAIRED.sub(" ", s))
+    return _tokens(s) if _PAIRED.search(s) else _WORD.findall(s)
 
 
-def _pairs(runs: list[str]) -> list[str]:
-    """Adjacent pairs of characters of each run; a single character stands for itself."""
+def _tokens(s: str) -> list[str]:
+    """Words, and of runs of characters without blanks between words their adjacent pairs; a single one stands for itself."""
     out: list[str] = []
-    for run in runs:
-        if len(run) > 1:
-            out += map(str.__add__, run, run[1:])
-        else:
+    for run in _RUN.findall(s):
+        if run[0] < _FIRST_PAIRED or len(run) == 1 or not _PAIRED.match(run):
             out.append(run)
+        else:
+            out += map(str.__add__, run, run[1:])
     return out
 
 
@@ -100,8 +101,8 @@ def _segments(s: str) -> list[tuple[int, int, list[str], bool]]:
     at, rows = 0, s.split("\n")
     ascii_only = s.isascii()
     paired_page = not ascii_only and _PAIRED.search(s) is not None
-    pairs_only = paired_page and _WORD.search(_PAIRED.sub(" ", s)) is None
     plain_words = s.translate(_LETTERS).split("\n") if ascii_only else rows
+    others = ascii_only and ("|" in s or "/" in s or ">" in s or ";" in s)
     for seg, letters in zip(rows, plain_words):
         rest = seg.strip()
         n = m = len(rest)
@@ -114,13 +115,12 @@ def _segments(s: str) -> list[tuple[int, int, list[str], bool]]:
             m = len(rest.strip())
         if ascii_only:
             words, marks = letters.split(), LIST_MARKS
-            n_marks = rest.count(",") + rest.count("|") + rest.count("/") + rest.count(">") + rest.count(";")
+            n_marks = rest.count(",")
+            if others:
+                n_marks += rest.count("|") + rest.count("/") + rest.count(">") + rest.count(";")
         else:
-            runs = _PAIRED.findall(rest) if paired_page else None
-            words = _pairs(runs) if runs else []
-            if not pairs_only:
-                words += _WORD.findall(_PAIRED.sub(" ", rest) if runs else rest)
-            marks = LIST_MARKS_PAIRS if runs else LIST_MARKS
+            words = _tokens(rest) if paired_page else _WORD.findall(rest)
+            marks = LIST_MARKS_PAIRS if paired_page and _PAIRED.search(rest) else LIST_MARKS
             n_marks = len(_MARK.findall(rest))
         out.append((n, m, words, bool(words) and n_marks >= marks * len(words)))
     return out
@@ -148,12 +148,12 @@ class Languages:
                     told[k].append((x * g, w, weights))
         for k, found in told.items():
             self.weight |= {w: g for _, w, g in sorted(found, reverse=True)[:TELLING]}
-        self.telling = frozenset(self.weight)
+        self.order = sorted(self.weight)
 
     def of(self, words, declared: str | None) -> str | None:
-        hits = self.telling & words
+        hits = [self.weight[w] for w in self.order if w in words]
         if hits:
-            sums = [sum(c) for c in zip(*[self.weight[w] for w in sorted(hits)])]
+            sums = list(map(math.fsum, zip(*hits)))
             return self.names[sums.index(max(sums))]
         d = _label(declared)
         return d if d in self.common or not self.names else self.names[0]
@@ -179,11 +179,14 @@ def _measured(segs, stream: list[str], common: frozenset, counts: Counter) -> tu
     No prose are mere lists and segments of less than three words. A segment longer than a window has the mean variety of
     its own windows side by side. Freshness is the mean of 1 / count over the words of a segment; over those of the page it
     is distinct words by words."""
-    total, pos, out, off, known = len(stream), 0, [], 0, common.__contains__
-    fresh = {w: 1 / c for w, c in counts.items()}.__getitem__
+    total, pos, out, off = len(stream), 0, [], 0
+    # Sums up to each word, so that a segment's is a difference.
+    known = [0, *accumulate(map(common.__contains__, stream))]
+    fresh = [0, *accumulate(map({w: 1 / c for w, c in counts.items()}.__getitem__, stream))]
     only = _variety(stream) if 0 < total <= WINDOW else None
     for n, m, words, is_list in segs:
         k = len(words)
+        to = pos + k
         if k < 3 or is_list:
             off += n
         else:
@@ -196,11 +199,15 @@ def _measured(segs, stream: list[str], common: frozenset, counts: Counter) -> tu
                 parts = [words[i : i + WINDOW] for i in range(0, k, WINDOW)]
                 full = [p for p in parts if len(p) >= WINDOW // 2]
                 variety = sum(map(_variety, full)) / len(full)
-            out.append((n, m, k, sum(map(known, words)) / k, variety, sum(map(fresh, words)) / k))
-        pos += k
+            out.append((n, m, k, (known[to] - known[pos]) / k, variety, (fresh[to] - fresh[pos]) / k))
+        pos = to
     return off, out
 
 
+def _middle(values: list[float]) -> float | None:
+    return sorted(values)[len(values) // 2] if values else None
+
+
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(lang, word, df): in how many documents of a label each word occurs; word '' counts the documents. Without a label
     the label is ''."""
@@ -252,20 +259,20 @@ def languages(docs: DataFrame, scratch: Scratch) -> Languages:
 
 
 _MEASURES = (
-    "doc_id bigint, lang string, n_words int, n_off int, "
-    "segs array<struct<n:int,m:int,k:int,common:float,variety:float,fresh:float>>, curve array<struct<f:int,m:int>>"
+    "doc_id bigint, lang string, n_words int, n_off int, common float, variety float, "
+    "segs array<struct<n:int,m:int,common:float,variety:float,fresh:float>>, curve array<struct<f:int,m:int>>"
 )
 
 
 def measured_pages(docs: DataFrame, known: Languages) -> DataFrame:
-    """Per page its language, words, characters of what can't be prose, the other segments with their measures, and how
-    many words occur how often."""
+    """Per page its language, words, characters of what can't be prose, the other segments with their measures, the medians
+    of two of these over segments of five words or more (null without any), and how many words occur how often."""
 
     def run(batches):
         import pyarrow as pa
 
         i4, f4 = pa.int32(), pa.float32()
-        kinds = [("n", i4), ("m", i4), ("k", i4), ("common", f4), ("variety", f4), ("fresh", f4)]
+        kinds = [("n", i4), ("m", i4), ("common", f4), ("variety", f4), ("fresh", f4)]
 
         def nested(rows: list[list], fields: list) -> pa.Array:
             ends = [0]
@@ -276,7 +283,7 @@ def measured_pages(docs: DataFrame, known: Languages) -> DataFrame:
             return pa.ListArray.from_arrays(pa.array(ends, i4), inner)
 
         for b in batches:
-            ids, langs, sizes, offs, seg_rows, curves = [], [], [], [], [], []
+            ids, langs, sizes, offs, commons, varieties, seg_rows, curves = [], [], [], [], [], [], [], []
             for doc_id, text, declared in zip(*(b.column(i).to_pylist() for i in range(3))):
                 s = _plain(text)
                 segs = _segments(s)
@@ -288,11 +295,14 @@ def measured_pages(docs: DataFrame, known: Languages) -> DataFrame:
                 langs.append(lang)
                 sizes.append(len(stream))
                 offs.append(off)
-                seg_rows.append(measured)
+                commons.append(_middle([x[3] for x in measured if x[2] >= 5]))
+                varieties.append(_middle([x[4] for x in measured if x[2] >= 5]))
+                seg_rows.append([(n, m, c, v, f) for n, m, _, c, v, f in measured])
                 curves.append(list(Counter(counts.values()).items()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, i4), pa.array(offs, i4), nested(seg_rows, kinds), nested(curves, [("f", i4), ("m", i4)])],
-                names=["doc_id", "lang", "n_words", "n_off", "segs", "curve"],
+                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, i4), pa.array(offs, i4), pa.array(commons, f4), pa.array(varieties, f4),
+                 nested(seg_rows, kinds), nested(curves, [("f", i4), ("m", i4)])],
+                names=["doc_id", "lang", "n_words", "n_off", "common", "variety", "segs", "curve"],
             )
 
     return docs.filter("text is not null and doc_id is not null").select("doc_id", "text", "lang").mapInArrow(run, _MEASURES)
@@ -320,24 +330,20 @@ def rank_frequency(pages: DataFrame, *carry: str) -> DataFrame:
     return ok.select("doc_id", *carry, (cov / vx).alias("slope"), F.sqrt(F.greatest(vy - cov**2 / vx, F.lit(0.0)) / F.col("w")).alias("residual"))
 
 
-def usual(df: DataFrame, values: dict, pages=None) -> DataFrame:
-    """(lang, size, <name>...): medians of ``values`` (name: column) by language and length, as a local table.
-
-    With ``pages``, the number of pages of a group, a length of less than LEAST_PAGES of them takes the language's medians:
-    for what does not depend on length. Both levels come out of one aggregation. The result has a row for each language
-    and length, at most 200 x 64."""
-    cols = [F.percentile_approx(c, 0.5, 1000).alias(k) for k, c in values.items()]
-    if pages is None:
-        rows = df.groupBy("lang", "size").agg(*cols).collect()
-        of = lambda r: r
-    else:
-        levels = df.rollup("lang", "size").agg(F.grouping_id().alias("level"), pages.alias("pages"), *cols).filter("level < 3").collect()
-        whole = {r["lang"]: r for r in levels if r["level"] == 1}
-        rows = [r for r in levels if r["level"] == 0]
-        of = lambda r: r if r["pages"] >= LEAST_PAGES else whole[r["lang"]]
+def usual(df: DataFrame, pooled: dict | None = None, **values: Column) -> DataFrame:
+    """(lang, size, <name>...): medians of ``values`` and ``pooled`` by language and length, as a local table.
+
+    ``pooled`` is for what does not depend on length: a length with values of less than LEAST_PAGES pages takes the
+    language's. The result has a row for each language and length, at most 200 x 64."""
+    pooled = pooled or {}
+    mid = lambda cs: [F.percentile_approx(c, 0.5, 1000).alias(k) for k, c in cs.items()]
+    rows = df.groupBy("lang", "size").agg(*[F.count(c).alias(f"n_{k}") for k, c in pooled.items()], *mid(pooled), *mid(values)).collect()
+    whole = {r["lang"]: r for r in df.groupBy("lang").agg(*mid(pooled)).collect()} if pooled else {}
+    of = lambda r, k: whole[r["lang"]][k] if k in pooled and r[f"n_{k}"] < LEAST_PAGES else r[k]
     as_double = lambda v: None if v is None else float(v)
-    out = [(r["lang"], r["size"], *[as_double(of(r)[k]) for k in values]) for r in rows]
-    return df.sparkSession.createDataFrame(out, "lang string, size bigint, " + ", ".join(f"{k} double" for k in values))
+    names = [*pooled, *values]
+    out = [(r["lang"], r["size"], *[as_double(of(r, k)) for k in names]) for r in rows]
+    return df.sparkSession.createDataFrame(out, "lang string, size bigint, " + ", ".join(f"{k} double" for k in names))
 
 
 def _beside(df: DataFrame, medians: DataFrame) -> DataFrame:
@@ -360,11 +366,9 @@ def spam_pages(spark: SparkSession, docs: DataFrame, measures: tuple[str, ...] =
     size = F.floor(F.log2(F.col("n_words") + 1)).alias("size")
     pages = measured_pages(docs, languages(docs, scratch)).select("*", size)
     pages = scratch.keep(pages, "pages")
-    seg = pages.select("doc_id", "lang", "size", F.explode("segs").alias("s")).filter("s.k >= 5")
-    prose = usual(seg, {"u_common": F.col("s.common"), "u_variety": F.col("s.variety")}, F.approx_count_distinct("doc_id"))
     distinct = F.aggregate("curve", F.lit(0).cast("bigint"), lambda a, c: a + c["m"])
-    fresh = usual(pages.select("lang", "size", F.when(F.col("n_words") > 0, distinct / F.col("n_words")).alias("fresh")), {"u_fresh": F.col("fresh")})
-    p = _beside(_beside(pages, prose), fresh)
+    fresh = F.when(F.col("n_words") > 0, distinct / F.col("n_words"))
+    p = _beside(pages, usual(pages, {"u_common": F.col("common"), "u_variety": F.col("variety")}, u_fresh=fresh))
     least = F.when(F.col("lang") == "zh", LEAST_COMMON_PAIRS).otherwise(LEAST_COMMON)
     p = p.select(
         "doc_id",
@@ -377,21 +381,22 @@ def spam_pages(spark: SparkSession, docs: DataFrame, measures: tuple[str, ...] =
         (LEAST_FRESH * F.coalesce("u_fresh", F.lit(0.0))).alias("l_fresh"),
     )
     is_prose = lambda s: (s["common"] >= F.col("l_common")) & (s["variety"] >= F.col("l_variety"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("off"), F.lit(0).cast("bigint").alias("wide"))
-
-    def add(a, s):
-        local = F.when(is_prose(s), s["n"] - s["m"]).otherwise(s["n"])
-        wide = F.when(is_prose(s) & (s["fresh"] >= F.col("l_fresh")), s["n"] - s["m"]).otherwise(s["n"])
-        return F.struct((a["n"] + s["n"]).alias("n"), (a["off"] + local).alias("off"), (a["wide"] + wide).alias("wide"))
-
-    p = p.withColumn("c", F.aggregate("segs", zero, add))
-    p = p.select("doc_id", "lang", "flat", *[(F.col("n_off") + F.col(f"c.{k}")).alias(a) for k, a in (("n", "n_chars"), ("off", "off_chars"), ("wide", "wide_chars"))])
+    zero = F.lit(0).cast("bigint")
+    off = lambda good: F.aggregate("segs", zero, lambda a, s: a + s["n"] - F.when(good(s), s["m"]).otherwise(0))
+    p = p.select(
+        "doc_id",
+        "lang",
+        "flat",
+        (F.col("n_off") + F.aggregate("segs", zero, lambda a, s: a + s["n"])).alias("n_chars"),
+        (F.col("n_off") + off(is_prose)).alias("off_chars"),
+        (F.col("n_off") + off(lambda s: is_prose(s) & (s["fresh"] >= F.col("l_fresh")))).alias("wide_chars"),
+    )
     p = p.withColumn("divergence", F.when(F.col("n_chars") > 0, F.col("off_chars") / F.col("n_chars")).otherwise(0.0))
 
     curve = scratch.keep(rank_frequency(pages, "lang", "size"), "curves")
-    z = _beside(curve, usual(curve, {f"mid_{c}": F.col(c) for c in ("slope", "residual")}))
-    off = lambda c: F.abs(F.col(c) - F.col(f"mid_{c}"))
-    z = _beside(z, usual(z, {f"mad_{c}": off(c) for c in ("slope", "residual")}))
+    z = _beside(curve, usual(curve, **{f"mid_{c}": F.col(c) for c in ("slope", "residual")}))
+    away = lambda c: F.abs(F.col(c) - F.col(f"mid_{c}"))
+    z = _beside(z, usual(z, **{f"mad_{c}": away(c) for c in ("slope", "residual")}))
     z = z.select("doc_id", "slope", "residual", *[((F.col(c) - F.col(f"mid_{c}")) / F.greatest(F.col(f"mad_{c}") * 1.4826, F.lit(LEAST_SPREAD))).alias(f"{c}_z") for c in ("slope", "residual")])
     p = p.join(z, "doc_id", "left")
     may = lambda name, c: F.coalesce(c, F.lit(False)) & F.lit(name in measures)
