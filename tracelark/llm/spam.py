@@ -94,9 +94,14 @@ def _segments(s: str) -> list[tuple[int, int, list[str], bool]]:
     links = "://" in s or "#" in s or "@" in s or "www." in s or "<" in s or "](" in s
     if links:
         # Links count by their characters; in their place stays a mark, so that no sentence ends inside of one.
-        sizes = [len(x) for x in _LINK.findall(s)]
+        sizes: list[int] = []
+
+        def hole(m):
+            sizes.append(m.end() - m.start())
+            return _HOLE
+
+        s = _LINK.sub(hole, s)
         links = bool(sizes)
-        s = _LINK.sub(_HOLE, s) if links else s
     s = _END.sub(r"\g<0>\n", s)
     at, rows = 0, s.split("\n")
     ascii_only = s.isascii()
