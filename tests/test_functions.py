@@ -58,6 +58,14 @@ def test_canonical_json(spark):
     assert a == b
 
 
+def test_json_walk(spark):
+    docs = ['{"a": {"k\\"x": [1, {"b:": "a:\\"c\\":"}]}, "p": "C:\\\\Users"}', '{"k": "https://x", ",": ":"}', '{"n": null, "e": "\\\\"}', None]
+    canon = [hashing._dump(d) if d else None for d in docs]
+    assert ev(spark, canon, text.json_keys) == [["a", 'k"x', "b:", "p"], [",", "k"], ["e", "n"], None]
+    assert ev(spark, canon, text.holds_local_path) == [True, True, False, None]
+    assert text.query_terms("Office-A 空置率 空置 office-a") == ev(spark, ["Office-A 空置率 空置 office-a"], text.tokens)[0]
+
+
 def test_numbers_in_text(spark):
     lines = ["up 12.5％ now", "112.5", "12.5", "12.50", "a12.5", "12.5%", None]
     assert ev(spark, lines, lambda c: text.has_number(c, "12.5%")) == [True, False, False, False, False, True, None]
@@ -65,8 +73,9 @@ def test_numbers_in_text(spark):
 
 
 def test_negation_and_substance(spark):
-    got = ev(spark, ["这里不存在风险。", "这里存在风险", "不存在风险，但存在风险", "别的"], lambda c: text.unnegated(c, F.lit("存在风险")))
+    got = ev(spark, ["这里不存在风险。", "这里存在风险", "不存在风险，但存在风险", "别的"], lambda c: text.unnegated(c, "存在风险"))
     assert got == [False, True, True, False]
+    assert ev(spark, ["不ab存在风险c存在风险", "不是，存在风险", None, "无需 存在风险"], lambda c: text.unnegated(c, "存在风险")) == [False, True, False, False]
     assert ev(spark, ["a b c d", "- - - -", "ab", None], lambda c: text.substantive(c, 4)) == [True, False, False, False]
 
 

@@ -204,6 +204,76 @@ def test_report(spark):
     assert [r.l for r in leaks] == [["INTERNAL_CODE_IN_READER_LAYER"], [], ["RAW_HTML_IN_READER_CONTENT"]]
 
 
+FULL = """intro
+## 结论
+可以发布。请勿在本周公开。
+## 发布前需要处理
+### 1. 口径
+- 原文位置：第三段落
+- 为什么重要：影响结论的口径
+- 建议处理：补充数据来源说明
+### 2、
+- 原文位置：一二三四
+- 原文位置：一二三四
+- 建议处理：——
+## Other
+### not an item of its own section
+## 可继续研究的新观点
+本稿暂不足以形成可靠的新观点。
+"""
+
+
+def test_report_lists(spark):
+    good = FULL.replace("请勿在本周公开。", "").replace(FULL[FULL.index("### 2、"):FULL.index("## 可继续")], "")
+    many = good.replace("### 1. 口径", "\n".join(f"### {i}. 口径\n- 原文位置：第三段落\n- 为什么重要：影响结论\n- 建议处理：补充说明" for i in range(2, 10)) + "\n### 1. 口径")
+    both = good.replace("本稿暂不足", "### 观点一二\n本稿暂不足").replace("可以发布。", "Well, 可以发布。 暂缓发布")
+    df = spark.createDataFrame([(1, FULL), (2, good), (3, many), (4, both), (5, ""), (6, None)], "id int, text string")
+    got = {}
+    for r in report.list_issues(df, "id").collect():
+        got.setdefault(r.id, set()).add(r.code)
+    # The unnamed section belongs to the list before it, and so does its item.
+    item = {"PRIORITY_ITEM_LOCATION_MISSING", "PRIORITY_ITEM_REASON_MISSING", "PRIORITY_ITEM_ACTION_MISSING"}
+    assert got[1] == {"READY_CONCLUSION_CONTRADICTED", "PRIORITY_ITEM_HEADING_MISSING", *item}
+    assert 2 not in got and got[3] == {"TOO_MANY_PRIORITY_ITEMS"} and 6 not in got
+    view = {f"NEW_VIEWPOINT_{k}_LABEL_MISSING" for k in ("ACTOR", "DECISION", "MECHANISM", "BOUNDARY", "FALSIFICATION")}
+    assert got[4] == {"MULTIPLE_PUBLICATION_STATUSES", "PUBLICATION_STATUS_NOT_LEADING", "NEW_VIEWPOINT_ZERO_MARKER_CONFLICT", *view}
+    assert got[5] == {"MISSING_CHINESE_PUBLICATION_STATUS", "PRIORITY_ISSUE_ZERO_MARKER_MISSING", "NEW_VIEWPOINT_ZERO_MARKER_MISSING"}
+
+
+def test_links_and_orders(spark):
+    rows_ = spark.createDataFrame([(1, "a", ["S1"]), (2, "a", ["S2"]), (3, "z", ["S1", "S9"]), (4, "a", None), (5, "a", ["S1", "S2"])], "k int, e string, labels array<string>")
+    seen = spark.createDataFrame([("S1", "a"), ("S1", "a"), ("S2", "b"), (None, "c")], "snapshot_id string, e string")
+    assert rows(keys.snapshot_links(rows_, seen, "k", "e", "labels")) == {
+        (2, "DISCOVERY_LINK_MISMATCH"), (3, "NOT_IN_DISCOVERY"), (3, "SNAPSHOT_LINK_MISSING"), (4, "SNAPSHOT_LINK_MISSING"),
+    }
+    o = spark.createDataFrame([(7,), (3,), (2_000_000,), (1_000_000,)], "n long")
+    assert rows(keys.ordinals(o, "n", span=5)) == {(3, 1), (7, 2), (1_000_000, 3), (2_000_000, 4)}
+    t = spark.createDataFrame([(1, 1, 2, 3), (2, 2, 2, 3), (3, 5, None, 4), (4, None, 3, 1), (5, None, None, None)], "k int, a int, b int, c int")
+    assert rows(t.select("k", rules.first_disorder({x: F.col(x) for x in "abc"}))) == {(1, None), (2, "a>b"), (3, "a>c"), (4, "b>c"), (5, None)}
+    e = spark.createDataFrame([("READ_ERROR;X-1",), ("no such file /home/jo",), (None,)], "m string")
+    assert [r[0] for r in e.select(rules.safe_error(F.col("m"), "FAILED")).collect()] == ["READ_ERROR;X-1", "FAILED", "FAILED"]
+    lists = spark.createDataFrame([(["a", "b"],), (["b", "a"],), (["a", "a"],), ([],), (None,)], "l array<string>")
+    assert [r[0] for r in lists.select(keys.list_order(F.col("l"))).collect()] == [None, "UNSORTED", "REPEATED", None, None]
+
+
+def test_appended_history(spark):
+    old = spark.createDataFrame([("a", "v1", 1, None), ("a", "v2", 2, "v1"), ("b", "w1", 1, None), ("b", "w2", 2, None)], "art string, source_version_id string, n int, supersedes string")
+    new = spark.createDataFrame([("a", "v4", 6), ("a", "v3", 5), ("a", "v3", 9), ("a", "v1", 7), ("b", "w3", 3), ("c", "x1", 1), ("c", "v2", 2), (None, "y", 1)], "art string, source_version_id string, n int")
+    got = corpus_build.append_versions(old, new, "art", ["n"])
+    added = {("a", "v3", 5, "v2", None), ("a", "v4", 6, "v3", None), ("b", "w3", 3, None, "HISTORY_WITHOUT_UNIQUE_TIP"), ("c", "x1", 1, None, None), ("c", "v2", 2, None, "VERSION_OF_ANOTHER_ENTITY")}
+    assert rows(got) == {(*r, None) for r in rows(old)} | added
+    again = corpus_build.append_versions(got.filter("problem is null").drop("problem"), new.filter("art = 'a'"), "art", ["n"])
+    assert again.count() == got.filter("problem is null").count()
+
+
+def test_unified_diff(spark):
+    from tracelark.operators.compare import unified_diff
+
+    df = spark.createDataFrame([(1, "a\nb\n", "a\n\nc"), (2, "same", "same"), (3, None, "x")], "i int, before string, after string")
+    got = {r.i: r.lines for r in unified_diff(df, "i").collect()}
+    assert got == {1: ["--- before", "+++ after", "@@ -1,2 +1,2 @@", " a", "-b", "+c"], 2: [], 3: ["--- before", "+++ after", "@@ -0,0 +1 @@", "+x"]}
+
+
 def test_budgeted_manifest(spark):
     from tracelark.operators import budget
 

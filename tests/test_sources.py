@@ -27,6 +27,84 @@ def test_jsonl_scans(spark, tmp_path):
     assert jsonl.read_object(spark, str(tmp_path / "p.json"), "CARD").first().problem == "CARD_NOT_OBJECT"
 
 
+def test_lines_of_many_splits(spark, tmp_path):
+    d = tmp_path / "big"
+    d.mkdir()
+    for name in ("a.jsonl", "b.jsonl"):
+        (d / name).write_bytes(b"\xef\xbb\xbf" + b"".join(b'{"i": %d, "pad": "%s"}\r\n' % (i, b"x" * (i % 50)) + (b"\n" if i % 5 == 0 else b"") for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = {(r.file[-7:], r.line_no): int(r.raw.split(":")[1].split(",")[0]) for r in jsonl.read_lines(spark, str(d)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    place = lambda i: i + 1 + (i + 4) // 5
+    assert got == {(n, place(i)): i for n in ("a.jsonl", "b.jsonl") for i in range(3000)}
+
+
+def test_keyed_records(spark, tmp_path):
+    (tmp_path / "ok.jsonl").write_text('{"id": "a"}\n{"id": "b"}\n')
+    (tmp_path / "twice.jsonl").write_text('{"id": "a"}\n\n{"id": " a "}\n')
+    (tmp_path / "none.jsonl").write_text('{"id": "a"}\n{"x": 1}\n')
+    assert {r.record.id for r in jsonl.read_keyed(spark, str(tmp_path / "ok.jsonl"), "id string", "id").collect()} == {"a", "b"}
+    for name, code in (("twice", "3 KEY_REPEATED"), ("none", "2 KEY_MISSING")):
+        with pytest.raises(Exception, match=code):
+            jsonl.read_keyed(spark, str(tmp_path / f"{name}.jsonl"), "id string", "id").collect()
+
+
+def test_bound_inputs(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    h = hashlib.sha256(b"one").hexdigest()
+    declared = spark.createDataFrame([("A", h.upper()), ("B", h), ("C", h), ("D", h), ("D", h)], "input_id string, sha256 string")
+    given = {"A": str(tmp_path / "a.txt"), "B": str(tmp_path / "b.txt"), "C": str(tmp_path / "none"), "E": str(tmp_path / "a.txt"), "../x": str(tmp_path / "b.txt")}
+    got = {r.input_id: r.problem for r in filetree.bind_inputs(spark, given, declared).collect()}
+    assert got == {"A": None, "B": "INPUT_HASH_MISMATCH", "C": "INPUT_NOT_SUPPLIED", "D": "INPUT_DECLARED_TWICE", "E": "INPUT_NOT_DECLARED", "../x": "INPUT_ID_INVALID"}
+    assert filetree.bind_inputs(spark, {}, declared.filter("input_id = 'A'")).first().problem == "INPUT_NOT_SUPPLIED"
+
+
+def test_leak_scan(spark, tmp_path):
+    from tracelark.sources import leakscan
+
+    d = tmp_path / "pub"
+    (d / "sub").mkdir(parents=True)
+    (d / "__pycache__").mkdir()
+    (d / "ok.md").write_text("fine\n")
+    (d / "sub" / "bad.txt").write_text("x\nmail jo@firm.cn and jo@firm.cn\ncall 13912345678\n")
+    (d / "t.csv").write_text("a,b\n1,=2\n")
+    (d / "pic.png").write_bytes(b"\x89PNG")
+    (d / "odd.xyz").write_text("?")
+    (d / "__pycache__" / "x.txt").write_text("jo@firm.cn")
+    (d / "c.docx").write_bytes(b"broken")
+    (d / "ln.txt").symlink_to(d / "ok.md")
+    rules = [(3, "fine", False)]
+    found, end = leakscan.scan(spark, str(d), rules)
+    got = [(r.path, r.line, r.code) for r in found.collect()]
+    assert got == [
+        ("c.docx", None, "OOXML_SCAN_ERROR"), ("c.docx", None, "RAW_BINARY_NOT_ALLOWED"), ("ln.txt", None, "SYMLINK_NOT_ALLOWED"), ("odd.xyz", None, "UNREVIEWED_FILE_TYPE"),
+        ("ok.md", None, "PRIVATE_DENYLIST"), ("pic.png", None, "RAW_BINARY_NOT_ALLOWED"), ("sub/bad.txt", 2, "EMAIL_ADDRESS"), ("sub/bad.txt", 3, "MOBILE_NUMBER"), ("t.csv", 2, "CSV_FORMULA_INJECTION"),
+    ]
+    assert tuple(end.first()) == (True, 1)
+    (d / "nul.txt").write_bytes(b"a\0b")
+    found, end = leakscan.scan(spark, str(d), rules)
+    assert ("nul.txt", "TEXT_SCAN_LIMIT") in {(r.path, r.code) for r in found.collect()} and tuple(end.first()) == (False, 2)
+
+
+def test_private_jsonl(spark, tmp_path):
+    df = spark.createDataFrame([("b", None)], "z string, a string")
+    root = tmp_path / "tree"
+    root.mkdir()
+    with pytest.raises(PermissionError):
+        sinks.write_private_jsonl(df, str(root / "out"), str(root))
+    at = str(root / "private" / "out")
+    sinks.write_private_jsonl(df, at, str(root), ("private",))
+    with pytest.raises(FileExistsError):
+        sinks.write_private_jsonl(df, at, str(root), ("private",))
+    sinks.write_private_jsonl(df.limit(0), at, str(root), ("private",), force=True)
+    assert spark.read.text(at).count() == 0
+
+
 def test_jsonl_sink_is_canonical(spark, tmp_path):
     df = spark.createDataFrame([("b", None)], "z string, a string")
     jsonl.write_jsonl(df, str(tmp_path / "out"))

@@ -14,6 +14,7 @@ UNC_USER_PATH = r"(?i)\\\\[^\\/\s]+[\\/][^\\/\s]+[\\/](?:Users|Documents and Set
 MOBILE = r"(?<!\d)(?:\+?86[\s-]?)?1[3-9]\d{9}(?!\d)"
 EMAIL = r"(?i)(?<![A-Z0-9._%+\-])[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}(?![A-Z0-9.\-])"
 URL = r"(?i)https?://[^\s<>\]\[(){}\"']+"
+LOCAL_PATH = r"[A-Za-z]:[\\/]|\\\\[^\\/\s]+[\\/]|[A-Za-z][A-Za-z0-9+.-]*://|/(?:Users|home)/"
 MESSAGE_MARKERS = ("xwechat", "wxid_")
 NEGATIONS = "无需|无须|不必|不需要|并不存在|不存在|并非|不是|禁止|不得|不可|不会|不应|不宜|不影响|不"
 
@@ -62,6 +63,18 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(runs, with_pairs)))
 
 
+def query_terms(query: str) -> list[str]:
+    """The tokens of a question, as ``tokens`` has them of a text."""
+    import re
+
+    out: list[str] = []
+    for t in re.findall("[0-9a-z_-]+|[一-鿿]+", query.lower()):
+        out.append(t)
+        if t[0] >= "一" and len(t) > 2:
+            out += [t[i : i + 2] for i in range(len(t) - 1)]
+    return list(dict.fromkeys(out))
+
+
 def term_score(doc: Column, terms: list[str]) -> Column:
     """How many of the terms occur in the text, as substrings, regardless of case."""
     low = F.lower(doc)
@@ -85,12 +98,39 @@ def has_number(text: Column, number: str) -> Column:
     return F.translate(text, "％", "%").rlike(rf"(?<![{beside}]){token}(?![{beside}])")
 
 
-def unnegated(container: Column, excerpt: Column) -> Column:
-    """Whether an excerpt occurs at a place that no negation stands right before, within 24 characters."""
-    parts = F.split(container, F.concat(F.lit("\\Q"), excerpt, F.lit("\\E")))
-    before = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    negated = rf"({NEGATIONS})\s*[^，。；;：:\n]{{0,8}}$"
-    return F.coalesce((F.length(excerpt) > 0) & F.exists(before, lambda p: ~F.right(p, F.lit(24)).rlike(negated)), F.lit(False))
+def unnegated(container: Column, excerpt: str) -> Column:
+    """Whether an excerpt occurs at a place that no negation stands right before, within 24 characters.
+
+    Looked at from the end of each occurrence back, so that only occurrences cost anything."""
+    import re
+
+    e = re.escape(excerpt)
+    negated = rf"(?:{NEGATIONS})\s{{0,12}}[^，。；;：:\n]{{0,8}}"
+    return F.coalesce(F.lit(bool(excerpt)) & container.rlike(rf"{e}(?<!{negated}{e})"), F.lit(False))
+
+
+# Stand for an escaped quote and an escaped backslash while a JSON text is cut into its strings.
+_QUOTE, _BACKSLASH = "\x02", "\x01"
+
+
+def json_strings(canonical: Column) -> Column:
+    """All strings of a canonical JSON text at any depth, in quotes; those that are keys end with a colon.
+
+    Strings are read one after the other, so that quotes and colons inside of them are never taken for marks. Escaped
+    quotes and backslashes come out plain, other escapes as written."""
+    t = F.replace(F.replace(canonical, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    return F.transform(F.regexp_extract_all(t, F.lit('("[^"]*":?)'), F.lit(1)), lambda x: F.translate(x, _QUOTE + _BACKSLASH, '"\\'))
+
+
+def json_keys(canonical: Column) -> Column:
+    """Distinct keys at any depth."""
+    keys = F.filter(json_strings(canonical), lambda s: s.endswith('":'))
+    return F.array_distinct(F.transform(keys, lambda s: F.substring(s, F.lit(2), F.length(s) - 3)))
+
+
+def holds_local_path(canonical: Column) -> Column:
+    """Whether a string value at any depth names a place: a drive, a share, a user's folder or an address."""
+    return F.exists(F.filter(json_strings(canonical), lambda s: ~s.endswith('":')), lambda s: s.rlike(LOCAL_PATH))
 
 
 def line_leaks(line: Column) -> Column:

@@ -37,3 +37,15 @@ def version_diff(pairs: DataFrame, *keys: str) -> DataFrame:
         (length("after") - length("before")).alias("char_delta"),
         (count(F.col("after")) - count(F.col("before"))).alias("paragraph_delta"),
     )
+
+
+def _diff(before, after):
+    x, y = ([p.strip() for p in (t or "").split("\n") if p.strip()] for t in (before, after))
+    return list(difflib.unified_diff(x, y, fromfile="before", tofile="after", lineterm=""))
+
+
+def unified_diff(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, lines): the unified diff of the paragraphs of ``before`` and ``after``, no lines where they are the same.
+
+    The form is that of the standard library; null texts count as empty. It shows content and is asked for by itself."""
+    return pairs.select(*keys, batched(_diff, "array<string>")("before", "after").alias("lines"))

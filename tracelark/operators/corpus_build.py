@@ -96,3 +96,53 @@ def chain_check(chain: DataFrame, entity: str) -> DataFrame:
         F.count(F.when(F.col("has_row").isNull(), 1)).alias("n_dangling"),
     )
     return g.withColumn("is_line", (F.col("n_roots") == 1) & (F.col("most_next") <= 1) & (F.col("n_dangling") == 0))
+
+
+#: What every record of the layers starts out as, fixed values.
+ENVELOPE = {"schema_version": "0.1", "method_version": "0.1", "access_class": "private", "lifecycle": "active", "human_review": "unreviewed"}
+
+
+def record_envelope(rows: DataFrame, layer: str, record_id: Column, parents: Column, hashes: Column, created_at: Column, rights: Column, corpus: Column) -> DataFrame:
+    """``rows`` with the columns every record carries: ids, layer, inputs with their hashes, rights, state and review.
+
+    ``parents`` is an array of ids, ``hashes`` one of structs (object_id, algorithm, digest); null ones become empty."""
+    none = F.array().cast("array<string>")
+    return rows.select(
+        F.lit(ENVELOPE["schema_version"]).alias("schema_version"), record_id.alias("record_id"), corpus.alias("corpus_id"), F.lit(layer).alias("layer"),
+        F.coalesce(parents, none).alias("parent_ids"),
+        F.coalesce(hashes, F.array().cast("array<struct<object_id:string,algorithm:string,digest:string>>")).alias("input_hashes"),
+        created_at.alias("created_at"), F.lit(ENVELOPE["method_version"]).alias("method_version"), rights.alias("rights_ref"),
+        F.lit(ENVELOPE["access_class"]).alias("access_class"),
+        F.struct(F.lit(ENVELOPE["lifecycle"]).alias("status"), F.lit(None).cast("string").alias("review_by"), none.alias("supersedes"), none.alias("superseded_by")).alias("lifecycle"),
+        F.struct(F.lit(ENVELOPE["human_review"]).alias("status"), F.lit(None).cast("string").alias("reviewed_at"), F.lit(None).cast("string").alias("reviewer_role"), none.alias("notes")).alias("human_review"),
+        *rows.columns,
+    )
+
+
+def tips(chain: DataFrame, entity: str) -> DataFrame:
+    """(entity, n_tips, tip): versions of each entity that no other supersedes. More or less than one is a broken history."""
+    links = chain.filter("supersedes is not null").select(entity, F.col("supersedes").alias("source_version_id")).distinct()
+    last = chain.join(links.withColumn("_old", F.lit(1)), [entity, "source_version_id"], "left")
+    last = last.groupBy(entity).agg(F.count(F.when(F.col("_old").isNull(), 1)).alias("n_tips"), F.max(F.when(F.col("_old").isNull(), F.col("source_version_id"))).alias("tip"))
+    return last
+
+
+def append_versions(existing: DataFrame, batch: DataFrame, entity: str, order: list[str]) -> DataFrame:
+    """``existing`` (entity, source_version_id, *order, supersedes) with the batch's new versions, and problem.
+
+    Versions that are there already stay as they are, so a repeated batch adds nothing. The new ones follow each other in
+    order, the first supersedes the entity's tip. Where the history has no unique tip (HISTORY_WITHOUT_UNIQUE_TIP) or a
+    version belongs to another entity (VERSION_OF_ANOTHER_ENTITY) the batch's row comes out with that problem, not linked."""
+    cols = [entity, "source_version_id", *order, "supersedes"]
+    new = batch.filter(F.col(entity).isNotNull()).groupBy(entity, "source_version_id").agg(F.min(F.struct(*order)).alias("_o"))
+    new = new.join(existing.select(entity, "source_version_id"), [entity, "source_version_id"], "left_anti")
+    owner = existing.groupBy("source_version_id").agg(F.min(entity).alias("_owner"))
+    new = new.join(owner, "source_version_id", "left").join(tips(existing, entity), entity, "left")
+    problem = F.when(F.col("_owner").isNotNull(), "VERSION_OF_ANOTHER_ENTITY").when(F.col("n_tips") != 1, "HISTORY_WITHOUT_UNIQUE_TIP")
+    new = new.withColumn("problem", problem)
+    good = new.filter("problem is null")
+    before = F.lag("source_version_id").over(W.partitionBy(entity).orderBy("_o"))
+    good = good.withColumn("supersedes", F.coalesce(before, F.col("tip")))
+    bad = new.filter("problem is not null").withColumn("supersedes", F.lit(None).cast("string"))
+    added = good.unionByName(bad).select(entity, "source_version_id", "_o.*", "supersedes", "problem")
+    return existing.select(*cols, F.lit(None).cast("string").alias("problem")).unionByName(added)

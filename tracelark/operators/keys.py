@@ -108,6 +108,73 @@ def gaps(df: DataFrame, position: str, part: list[str]) -> DataFrame:
     )
 
 
+def ordinals(df: DataFrame, position: str, span: int = SPAN) -> DataFrame:
+    """``df`` with ordinal: the rank of its row by integer position, from 1, over all rows; positions must be unique.
+
+    Rows are numbered within spans of positions, and spans by the counts of those before them, a table of one row a span."""
+    d = df.withColumn("_span", F.floor(F.col(position) / span))
+    counts = d.groupBy("_span").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(F.lit(0)).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    begins = counts.select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    d = d.withColumn("_k", F.row_number().over(W.partitionBy("_span").orderBy(position)))
+    return d.join(begins, "_span").select(*df.columns, (F.col("_begin") + F.col("_k")).alias("ordinal"))
+
+
+def snapshot_links(rows: DataFrame, discovery: DataFrame, key: str, entity: str, labels: str) -> DataFrame:
+    """(key, code): rows whose ``entity`` no snapshot has (NOT_IN_DISCOVERY), that link to no known snapshot or to an
+    unknown one (SNAPSHOT_LINK_MISSING), or whose known linked snapshots all lack the entity (DISCOVERY_LINK_MISMATCH).
+
+    ``labels`` is an array column of snapshot ids; ``discovery``: snapshot_id, ``entity``. Both sides are reduced before
+    they meet; the snapshots themselves are few and known by name."""
+    scratch = Scratch(rows.sparkSession, "snapshots")
+    have = scratch.keep(discovery.select("snapshot_id", entity).dropna().distinct())
+    known = have.select("snapshot_id").distinct().withColumn("_known", F.lit(True))
+    anywhere = scratch.keep(have.select(entity).distinct().withColumn("_any", F.lit(True)))
+    links = rows.select(key, entity, F.explode_outer(F.array_distinct(labels)).alias("snapshot_id"))
+    j = links.join(known, "snapshot_id", "left").join(have.withColumn("_has", F.lit(True)), ["snapshot_id", entity], "left")
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    g = j.groupBy(key, entity).agg(
+        F.bool_or(true("_known")).alias("_some"), F.bool_or(F.col("snapshot_id").isNotNull() & ~true("_known")).alias("_unknown"), F.bool_or(true("_has")).alias("_hit")
+    )
+    g = g.join(anywhere, entity, "left")
+    linked = F.col("_some") & ~F.col("_unknown")
+    codes = F.array(
+        F.when(F.col("_any").isNull(), "NOT_IN_DISCOVERY"), F.when(~linked, "SNAPSHOT_LINK_MISSING"), F.when(linked & ~F.col("_hit"), "DISCOVERY_LINK_MISMATCH")
+    )
+    return g.select(key, F.explode(F.array_compact(codes)).alias("code"))
+
+
+def locator_links(refs: DataFrame, chunks: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(key, code, n): locators (``refs``: key, loc struct) whose chunk_id no chunk has (LOCATOR_MISSING) or whose chunk
+    differs in any of ``fields`` (LOCATOR_MISMATCH). ``chunks``: loc struct with chunk_id unique; null equals null."""
+    c = Scratch(refs.sparkSession, "chunks").keep(chunks.select(F.col("loc.chunk_id").alias("chunk_id"), F.col("loc").alias("want")).filter("chunk_id is not null"))
+    j = refs.select(key, "loc", F.col("loc.chunk_id").alias("chunk_id")).join(c, "chunk_id", "left")
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f"loc.{f}").eqNullSafe(F.col(f"want.{f}"))
+    code = F.when(F.col("want").isNull(), "LOCATOR_MISSING").when(~same, "LOCATOR_MISMATCH")
+    return j.select(key, code.alias("code")).filter("code is not null").groupBy(key, "code").agg(F.count("*").alias("n"))
+
+
+def provenance_gaps(rows: DataFrame, key: str, fields: dict[str, str], targets: DataFrame) -> DataFrame:
+    """(key, field, n_missing): how many references of each field (array or text column) no target of its kind has.
+
+    ``fields``: column name to kind; ``targets``: kind, ref. All fields are one scan and one join with the union of all
+    targets; references are counted per row only where they are missing."""
+    have = Scratch(rows.sparkSession, "targets").keep(targets.select("kind", "ref").dropna().distinct())
+    as_array = lambda c: F.col(c) if dict(rows.dtypes)[c].startswith("array") else F.array(c)
+    each = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(as_array(c), F.array().cast("array<string>")) for c in fields]))
+    kinds = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
+    r = rows.select(key, F.explode(each).alias("field", "refs")).select(key, "field", F.explode("refs").alias("ref")).filter("ref is not null")
+    missing = r.withColumn("kind", kinds[F.col("field")]).join(have, ["kind", "ref"], "left_anti")
+    return missing.groupBy(key, "field").agg(F.count("*").alias("n_missing"))
+
+
+def list_order(c: Column) -> Column:
+    """What breaks a sorted list without repeats: REPEATED, UNSORTED or null."""
+    return F.when(F.size(F.array_distinct(c)) < F.size(c), "REPEATED").when(F.array_sort(c) != c, "UNSORTED")
+
+
 def capped_top(df: DataFrame, group: str, order: list[Column], per_group: int, total: int) -> DataFrame:
     """Greedy top rows: in ``order``, at most ``per_group`` of a group and ``total`` in all.
 

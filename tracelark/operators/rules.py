@@ -54,3 +54,25 @@ def status(v: DataFrame) -> DataFrame:
     return s.withColumn(
         "status", F.when(F.col("n_errors") > 0, "failed").when(F.col("n_warnings") > 0, "passed_with_warnings").otherwise("passed")
     )
+
+
+def first_disorder(steps: dict[str, Column]) -> Column:
+    """The first pair of neighbouring steps, "a>b", that is not strictly in order of time; steps without a time are skipped."""
+    names = list(steps)
+    out = F.lit(None).cast("string")
+    for j in range(len(names) - 1, 0, -1):
+        earlier = F.coalesce(*[steps[n] for n in reversed(names[:j])])
+        name = F.coalesce(*[F.when(steps[n].isNotNull(), n) for n in reversed(names[:j])])
+        out = F.when(earlier >= steps[names[j]], F.concat(name, F.lit(">" + names[j]))).otherwise(out)
+    return out
+
+
+def safe_error(message: Column, instead: str) -> Column:
+    """A message that is a code by its form (capitals, digits, underscore, semicolon, dash), else ``instead``: nothing of
+    a record can get out through an error."""
+    return F.when(message.rlike(r"\A[A-Z0-9_;-]+\z"), message).otherwise(instead)
+
+
+def report_order(findings: DataFrame, *keys: str) -> DataFrame:
+    """Distinct findings in the order of a report: nulls (whole files, whole records) first."""
+    return findings.distinct().orderBy(*[F.asc_nulls_first(k) for k in keys])

@@ -43,10 +43,15 @@ def scope_score(parts: list[Column]) -> Column:
     return out
 
 
-def search(cards: DataFrame, text: Column, terms: list[str], key: str, limit: int = 10) -> DataFrame:
-    """Cards by number of matching terms, then key; only matches, at most ``limit`` (a top-k report)."""
-    hits = cards.withColumn("match_score", term_score(text, terms)).filter("match_score > 0")
-    return hits.orderBy(F.desc("match_score"), key).limit(limit)
+def searchable(title: Column, tags: Column, content: Column, scope: Column) -> Column:
+    """What a search looks at: title, tags, content and scope of a card as one JSON text, its keys and nulls included."""
+    return F.to_json(F.struct(content.alias("content"), scope.alias("scope"), tags.alias("tags"), title.alias("title")), {"ignoreNullFields": "false"})
+
+
+def search(cards: DataFrame, text: Column, terms: list[str], *order: str, limit: int = 10) -> DataFrame:
+    """Cards by number of matching terms, then by ``order``; only matches, at most ``limit`` (a top-k report)."""
+    hits = cards.withColumn("_doc", text).withColumn("match_score", term_score(F.col("_doc"), terms)).drop("_doc").filter("match_score > 0")
+    return hits.orderBy(F.desc("match_score"), *order).limit(limit)
 
 
 def distinct_strings(c: Column) -> Column:

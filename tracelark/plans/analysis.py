@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelark.functions import text as T
-from tracelark.functions.hashing import canonical_json, canonical_json_exact, sha256
+from tracelark.functions.hashing import canonical_json, sha256
 from tracelark.functions.numbers import calculated
 from tracelark.functions.unicode import strip_white
 from tracelark.functions.urls import host, search_result, web_url
 from tracelark.operators import budget, keys, scoring, search
-from tracelark.operators.report import reader_leaks, report_sections
+from tracelark.operators.report import READER_LEAKS, reader_leaks, report_sections
 from tracelark.plans import sqltext as S
 from tracelark.sources.filetree import grouped
 from tracelark.sources.tables import table
@@ -19,7 +19,6 @@ from tracelark.sources.tables import table
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 AS_OF = "2026-06-30"
-TERMS = ["denominator", "office", "空置率", "租金", "window"]
 
 
 def query(sql: str | None = None):
@@ -46,21 +45,18 @@ def token_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("token").agg(F.count("*").alias("n_docs"))
 
 
-_CARD = "lower(coalesce(title, '') || ' ' || coalesce(array_to_string(tags, ' '), '') || ' ' || coalesce(paraphrased_content, '') || ' ' || coalesce(array_to_string(scope.applies_when, ' '), ''))"
-_SCORE = " + ".join(f"contains(doc, '{t}')::INT" for t in TERMS)
-
-
-def _card_text():
-    parts = ["title", F.array_join("tags", " "), "paraphrased_content", F.array_join("scope.applies_when", " ")]
-    return F.concat_ws(" ", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
+QUESTION = "Office DENOMINATOR 空置率 租金 window"
+_CARD = "lower(to_json({'content': paraphrased_content, 'scope': scope, 'tags': tags, 'title': title})::VARCHAR)"
+_SCORE = " + ".join(f"contains(doc, '{t}')::INT" for t in T.query_terms(QUESTION))
 
 
 @query(f"""SELECT line_no, record_id, match_score FROM (SELECT line_no, record_id, {_SCORE} AS match_score FROM (SELECT line_no, record_id, {_CARD} AS doc FROM l3_prior_candidates
-WHERE lifecycle.status IS DISTINCT FROM 'revoked' AND lifecycle.status IS DISTINCT FROM 'quarantined')) WHERE match_score > 0 ORDER BY match_score DESC, line_no LIMIT 10""")
+WHERE lifecycle.status IS DISTINCT FROM 'revoked' AND lifecycle.status IS DISTINCT FROM 'quarantined')) WHERE match_score > 0 ORDER BY match_score DESC, record_id, line_no LIMIT 10""")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten candidates that match most of the terms (a top-k report)."""
+    """The ten candidates whose title, tags, content and scope match most terms of a question (a top-k report)."""
     c = table(spark, sf_dir, "l3_prior_candidates").filter(~F.coalesce(F.col("lifecycle.status").isin("revoked", "quarantined"), F.lit(False)))
-    return search.search(c, _card_text(), TERMS, "line_no").select("line_no", "record_id", "match_score")
+    doc = search.searchable(F.col("title"), F.col("tags"), F.col("paraphrased_content"), F.col("scope"))
+    return search.search(c, doc, T.query_terms(QUESTION), "record_id", "line_no").select("line_no", "record_id", "match_score")
 
 
 _DAY = "try_cast(left({}, 10) AS DATE)"
@@ -292,7 +288,15 @@ def report_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_sections(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "position", "title")
 
 
-@query()
+def _re2(pattern: str) -> str:
+    """The same test without look-around, for an engine that has none."""
+    return pattern.replace("(?<![A-Za-z0-9_])", "(?:^|[^A-Za-z0-9_])").replace("(?![A-Za-z0-9_])", "(?:$|[^A-Za-z0-9_])").replace("'", "''")
+
+
+_READER = "string_split_regex(replace(text, chr(13), ''), '(?m)^##[ \\t]+技术附录[ \\t]*$')[1]"
+
+
+@query("SELECT code, count(*) AS n_docs FROM (" + " UNION ALL ".join(f"SELECT '{code}' AS code FROM documents WHERE regexp_matches({_READER}, '{_re2(p)}')" for code, p in READER_LEAKS.items()) + ") GROUP BY 1")
 def reader_layer_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text holds internal codes, ids, states or markup, by code."""
     d = table(spark, sf_dir, "documents").select(F.explode(reader_leaks(F.col("text"))).alias("code"))
@@ -311,10 +315,14 @@ def numeric_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(T.has_number(F.col("text"), "12.5")).select("doc_id")
 
 
-@query("""SELECT line_no FROM articles WHERE contains(body, '未提及')""")
+EXCERPT = "单位换算"
+
+
+@query(rf"""WITH p AS (SELECT line_no, string_split(body, '{EXCERPT}') AS parts FROM articles WHERE contains(body, '{EXCERPT}'))
+SELECT line_no FROM p WHERE len(list_filter(range(1, len(parts)), lambda i: NOT regexp_matches(right(array_to_string(parts[1:i], '{EXCERPT}'), 24), '({T.NEGATIONS})\s*[^，。；;：:\n]{{0,8}}$'))) > 0""")
 def anchored_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles that hold an excerpt at a place without a negation before it."""
-    return table(spark, sf_dir, "articles").filter(T.unnegated(F.col("body"), F.lit("未提及"))).select("line_no")
+    return table(spark, sf_dir, "articles").filter(T.unnegated(F.col("body"), EXCERPT)).select("line_no")
 
 
 @query("""SELECT regexp_extract(lower(original_url), '^https?://([^/?#:]+)', 1) AS host, count(*) AS n FROM articles WHERE regexp_matches(lower(original_url), '^https?://[^/?#:]+') GROUP BY 1""")
@@ -324,7 +332,12 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy(host(F.col("original_url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query()
+_HOST = r"^https?://([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
+
+
+@query(rf"""WITH u AS (SELECT trim(original_url) AS u FROM articles)
+SELECT CASE WHEN u IS NULL THEN 'none' WHEN NOT regexp_matches(u, '{_HOST}(:[0-9]{{1,5}})?([/?#][^\s\x00-\x20]*)?$') THEN 'malformed'
+WHEN regexp_matches(u, '^https?://[^/]+/(search|web|s)/?\?([^#]*&)?(q|query|keyword|keywords|wd|text|p)=') THEN 'search result' ELSE 'page' END AS kind, count(*) AS n FROM u GROUP BY 1""")
 def url_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article addresses by well-formedness and kind."""
     u = F.col("original_url")
@@ -345,19 +358,25 @@ def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(sha256(canonical_json(F.col("props"))).alias("canonical_sha256")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT count(*) AS n, count(*) AS n_equal FROM events WHERE props IS NOT NULL""")
-def canonical_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the native canonical JSON is that of the exact writer: always where no float occurs."""
-    e = table(spark, sf_dir, "events").filter("props is not null").select(canonical_json(F.col("props")).alias("a"), canonical_json_exact(F.col("props")).alias("b"))
-    return e.agg(F.count("*").alias("n"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("n_equal"))
+#: Expressions by part, each with its value in SQL and the operands that do not matter.
+_SUMS = [
+    (" size * 2 + 1 ", "p_size * 2 + 1", ""), ("size % 7", "p_size % 7", ""), ("abs(3 - size)", "abs(3 - p_size)", ""),
+    ("(size + 1) ** 2 - size", "(p_size + 1) * (p_size + 1) - p_size", ""), ("size * 0 + key", "p_partkey", "size"), ("key / (size - size)", "NULL", None),
+    ("round(key / 4)", "CASE WHEN p_partkey % 4 = 2 AND (p_partkey // 4) % 2 = 1 OR p_partkey % 4 = 3 THEN p_partkey // 4 + 1 ELSE p_partkey // 4 END", "size"),
+]
 
 
-@query("""SELECT p_partkey, (p_size * 2 + 1)::VARCHAR AS result, 0 AS n_idle FROM part""")
+@query(
+    f"SELECT p_partkey, (CASE p_partkey % {len(_SUMS)} " + " ".join(f"WHEN {i} THEN {sql}" for i, (_, sql, _) in enumerate(_SUMS)) + " END)::VARCHAR AS result, "
+    f"CASE p_partkey % {len(_SUMS)} " + " ".join(f"WHEN {i} THEN {'NULL' if idle is None else repr(idle if 'key' in e else 'key')}" for i, (e, _, idle) in enumerate(_SUMS)) + " END AS idle FROM part"
+)
 def calculated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A restricted exact calculation over each part, with the operands that do not influence it."""
+    """Restricted exact calculations over each part, with the operands that do not influence them."""
     p = table(spark, sf_dir, "part")
-    c = calculated(F.lit("size * 2 + 1"), F.create_map(F.lit("size"), F.col("p_size").cast("string")))
-    return p.select("p_partkey", c.alias("c")).select("p_partkey", "c.result", F.size("c.idle").alias("n_idle"))
+    e = F.element_at(F.array(*[F.lit(x) for x, _, _ in _SUMS]), F.pmod("p_partkey", F.lit(len(_SUMS))).cast("int") + 1)
+    operands = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("key"), F.concat(F.lit(" "), F.col("p_partkey").cast("string")))
+    c = calculated(e, operands)
+    return p.select("p_partkey", c.alias("c")).select("p_partkey", "c.result", F.array_join("c.idle", ",").alias("idle"))
 
 
 # --- joins on the star schema -------------------------------------------------------------------------------------------

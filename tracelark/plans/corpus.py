@@ -321,16 +321,19 @@ def merged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("source_version_id", F.size("snapshot_ids").cast("bigint").alias("n_snapshots"), F.array_join("snapshot_ids", ",").alias("snapshots"))
 
 
-@query()
-def recapture_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What changed between each version of an article and the one it supersedes."""
+def _recaptures(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir).select("line_no", "source_version_id", F.col("document").alias("text"))
     # As many rows as versions: the text of a version is that of its first row.
     texts = v.groupBy("source_version_id").agg(F.min_by("text", "line_no").alias("text"))
     c = _chain(spark, sf_dir).filter("supersedes is not null").select("line_no", "article_id", "source_version_id", "supersedes")
     c = c.join(texts.withColumnRenamed("text", "after"), "source_version_id")
-    c = c.join(texts.select(F.col("source_version_id").alias("supersedes"), F.col("text").alias("before")), "supersedes")
-    return version_diff(c, "line_no", "article_id")
+    return c.join(texts.select(F.col("source_version_id").alias("supersedes"), F.col("text").alias("before")), "supersedes")
+
+
+@query()
+def recapture_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between each version of an article and the one it supersedes."""
+    return version_diff(_recaptures(spark, sf_dir), "line_no", "article_id")
 
 
 @query("""SELECT 'articles' AS layer, count(*) AS n_rows, count(DISTINCT record_id) AS n_records FROM articles
@@ -346,13 +349,13 @@ def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""WITH d AS (SELECT account_id, 1 AS declared FROM source_accounts), a AS (SELECT source_account.account_id AS account_id, count(DISTINCT article_id) AS actual FROM articles GROUP BY 1)
-SELECT account_id, declared, coalesce(actual, 0)::BIGINT AS actual FROM d LEFT JOIN a USING (account_id) WHERE coalesce(actual, 0) <> declared""")
+@query("""WITH a AS (SELECT source_account.account_id AS account_id, count(DISTINCT source_article_id) AS declared, count(DISTINCT article_id) AS actual FROM articles WHERE source_account.account_id IS NOT NULL GROUP BY 1)
+SELECT account_id, declared, actual FROM a WHERE actual <> declared""")
 def account_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared against actual counts per account (every account is declared with one article)."""
-    d = table(spark, sf_dir, "source_accounts").select("account_id", F.lit(1).alias("n"))
-    a = table(spark, sf_dir, "articles").groupBy(F.col("source_account.account_id").alias("account_id")).agg(F.count_distinct("article_id").alias("n"))
-    return keys.agreement(d, a, "account_id").select("account_id", "declared", F.col("actual").cast("bigint").alias("actual"))
+    """Accounts whose articles are not as many as the native ids they declare."""
+    a = table(spark, sf_dir, "articles").withColumn("account_id", F.col("source_account.account_id")).filter("account_id is not null")
+    n = lambda c: a.groupBy("account_id").agg(F.count_distinct(c).alias("n"))
+    return keys.agreement(n("source_article_id"), n("article_id"), "account_id")
 
 
 @query("""WITH r AS (SELECT line_no, unnest(source_refs) AS s FROM l3_prior_candidates), p AS (SELECT DISTINCT line_no, s.article_id AS article_id, s.source_version_id AS sv FROM r),

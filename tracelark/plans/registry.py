@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from tracelark.plans import analysis, corpus, dealt
+from tracelark.plans import analysis, audit, corpus, dealt
 
-QUERIES = {**dealt.QUERIES, **corpus.QUERIES, **analysis.QUERIES}
-ORACLES: dict[str, str] = {**dealt.ORACLES, **corpus.ORACLES, **analysis.ORACLES}
+QUERIES = {**corpus.QUERIES, **analysis.QUERIES, **audit.QUERIES, **dealt.QUERIES}
+ORACLES = {**corpus.ORACLES, **analysis.ORACLES, **audit.ORACLES, **dealt.ORACLES}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelark.functions.batches import batched
+from tracelark.functions.urls import portable_id
 
 #: Folders that hold no data, fixed values.
 SKIP = frozenset((".git", ".hg", ".svn", ".venv", "venv", "__pycache__", ".pytest_cache"))
@@ -61,6 +62,30 @@ def grouped(top: Column, groups: dict[str, str], other: str) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in groups.items() for x in kv])[F.lower(top)], F.lit(other))
 
 
+def bind_inputs(spark: SparkSession, given: dict[str, str], declared: DataFrame) -> DataFrame:
+    """Declared inputs (input_id, sha256) bound to the files the caller gives by id: (input_id, path, sha256, problem).
+
+    Problems: INPUT_ID_INVALID (a given id that is no opaque id), INPUT_NOT_DECLARED, INPUT_NOT_SUPPLIED (declared without
+    a readable file), INPUT_HASH_MISMATCH, INPUT_DECLARED_TWICE. ``given`` is the caller's own list; files are hashed where they are read."""
+    names = spark.createDataFrame([(k, v) for k, v in given.items()], "input_id string, given string")
+    there = [v for v in given.values() if os.path.isfile(v)]
+    files = spark.createDataFrame([], "path string, actual string")
+    if there:
+        files = spark.read.format("binaryFile").load(there).select("path", F.sha2("content", 256).alias("actual"))
+        files = files.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    bound = names.join(files, F.col("given") == F.col("path"), "left").select("input_id", "given", "actual")
+    d = declared.groupBy("input_id").agg(F.count("*").alias("n"), F.min("sha256").alias("sha256"))
+    j = d.join(bound.withColumn("is_given", F.lit(True)), "input_id", "full_outer")
+    problem = (
+        F.when(F.col("is_given") & ~portable_id(F.col("input_id")), "INPUT_ID_INVALID")
+        .when(F.col("n").isNull(), "INPUT_NOT_DECLARED")
+        .when(F.col("n") > 1, "INPUT_DECLARED_TWICE")
+        .when(F.col("actual").isNull(), "INPUT_NOT_SUPPLIED")
+        .when(F.lower("sha256") != F.col("actual"), "INPUT_HASH_MISMATCH")
+    )
+    return j.select("input_id", F.col("given").alias("path"), F.col("actual").alias("sha256"), problem.alias("problem"))
+
+
 def _decoded(content):
     if content is None:
         return None, "TEXT_SCAN_LIMIT"
@@ -94,7 +119,7 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*", max_bytes: in
 CELLS = 50_000
 
 
-def read_cells(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+def read_cells(spark: SparkSession, path: str, separator: str = ",", pattern: str = "*") -> DataFrame:
     """(file, row_no, column_no, cell) of delimited files without a header, quoted cells with line ends included.
 
     Rows count within a file, blank ones too, and may have any number of cells; empty cells without quotes are left out.
@@ -126,7 +151,7 @@ def read_cells(spark: SparkSession, path: str, separator: str = ",") -> DataFram
                 if rows:
                     yield batch(rows)
 
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("content"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("content"))
     return files.mapInArrow(run, "file string, row_no int, column_no int, cell string")
 
 

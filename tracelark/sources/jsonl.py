@@ -7,6 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tracelark.session import Scratch
 
 LINE_SCHEMA = "file string, line_no int, raw string"
 
@@ -14,13 +17,17 @@ LINE_SCHEMA = "file string, line_no int, raw string"
 def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
     """(file, line_no, raw) of all non-blank lines below ``path``; a byte-order mark at the start is dropped.
 
-    A file is one row before it is split, since line numbers count within it."""
-    t = (
-        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-        .select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    )
-    lines = t.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("pos", "raw"))
-    return lines.select("file", (F.col("pos") + 1).alias("line_no"), "raw").filter(F.trim("raw") != "")
+    Files of any size are read in splits. A line's number within its split is its place in the reading order; where a
+    split's numbers begin follows from the counts of the splits before it in the file, a table of one row a split."""
+    t = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=pattern).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), F.col("value").alias("raw")
+    )
+    splits = t.groupBy("file", "at").agg(F.min("k").alias("first"), F.count("*").alias("n"))
+    before = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select("file", "at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    lines = t.join(splits, ["file", "at"]).select("file", (F.col("k") + F.col("shift")).cast("int").alias("line_no"), "raw")
+    lines = lines.withColumn("raw", F.when(F.col("line_no") == 1, F.regexp_replace("raw", "^\ufeff", "")).otherwise(F.col("raw")))
+    return lines.filter(F.trim("raw") != "")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -70,6 +77,18 @@ def read_object(spark: SparkSession, path: str, label: str) -> DataFrame:
     return d.select("value", "problem")
 
 
+def read_keyed(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Records by a field that must be there and unique: reading fails on the first line whose ``key`` is blank or taken."""
+    r = read_jsonl(spark, path, schema)[0]
+    k = F.trim(F.col(f"record.{key}"))
+    d = r.withColumn("_k", k).withColumn("_first", F.when(F.coalesce(k, F.lit("")) != "", F.struct("file", "line_no")))
+    first = Scratch(spark, "keyed").keep(d.filter("_first is not null").groupBy("_k").agg(F.min("_first").alias("_own")))
+    j = d.join(first, "_k", "left")
+    bad = F.when(F.col("_first").isNull(), "KEY_MISSING").when(F.col("_first") != F.col("_own"), "KEY_REPEATED")
+    good = F.when(bad.isNull(), F.col("record")).otherwise(F.raise_error(F.concat_ws(" ", "file", "line_no", bad)).cast(r.schema["record"].dataType))
+    return j.select("file", "line_no", good.alias("record"))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One canonical JSON object (sorted keys, nulls kept) a line; existing output is an error unless told otherwise."""
     row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})

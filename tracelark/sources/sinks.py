@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelark.sources.jsonl import write_jsonl
+
 
 def fingerprint(df: DataFrame) -> tuple[int, str]:
     """Order-independent count and hash of a frame's rows."""
@@ -27,17 +31,46 @@ def write_once(df: DataFrame, path: str) -> str:
     return "written"
 
 
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """A file in one step, on whatever file system the path names: written beside it, then renamed over it."""
+    jvm = spark._jvm
+    target, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target.getParent())
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(tmp, target):
+        fs.delete(tmp, False)
+        raise OSError(f"could not write {path}")
+
+
 def write_object(df: DataFrame, path: str) -> None:
     """A one-row frame as an indented JSON object with sorted keys, replaced in one step."""
-    import json
-
     rows = df.toJSON().take(2)
     if len(rows) != 1:
         raise ValueError("a JSON object needs exactly one row")
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
-        f.write(json.dumps(json.loads(rows[0]), ensure_ascii=False, indent=2, sort_keys=True) + "\n")
-    os.replace(f"{path}.tmp", path)
+    _replace(df.sparkSession, path, json.dumps(json.loads(rows[0]), ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+
+
+def write_private_jsonl(df: DataFrame, path: str, public_root: str, ignored: tuple[str, ...] = (), force: bool = False) -> None:
+    """Records as canonical JSON lines in a folder outside of the publishable tree; existing output is an error unless forced.
+
+    The folder is written beside its place and renamed, so that a failed write leaves what was there."""
+    private_path(path, public_root, ignored)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and not force:
+        raise FileExistsError("OUTPUT_EXISTS")
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    write_jsonl(df, beside)
+    fs.delete(target, True)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), target):
+        raise OSError("OUTPUT_WRITE_ERROR")
 
 
 def private_path(path: str, public_root: str, ignored: tuple[str, ...] = ()) -> str:
