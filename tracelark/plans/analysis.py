@@ -275,6 +275,26 @@ def leak_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", "line_no", F.explode(T.line_leaks(F.col("line"))).alias("code"))
 
 
+#: Lines made of a customer's key, by its remainder, and what each shows.
+_CONTACTS = [
+    ("mail c%s@firm.cn now", "EMAIL_ADDRESS"), ("mail c%s@example.org", None), ("see C:\\Users\\c%s\\x", "WINDOWS_USER_PATH"), ("at https://drive.google.com/c%s", "PRIVATE_OR_TOKENIZED_URL"),
+    ("https://a.example/%s?id=1", None), ("https://a.example/%s?Token=1", "PRIVATE_OR_TOKENIZED_URL"), ("\\\\srv\\c\\Users\\%s", "UNC_USER_PATH"), ("chat wxid_%s", "MESSAGE_EXPORT_MARKER"), ("c%s", None),
+]
+
+
+@query(
+    "WITH c AS (SELECT c_custkey, CASE c_custkey % 10 " + " ".join(f"WHEN {i} THEN '{code}'" for i, (_, code) in enumerate(_CONTACTS) if code) + " WHEN 9 THEN 'MOBILE_NUMBER' END AS code FROM customer) SELECT c_custkey, code FROM c WHERE code IS NOT NULL"
+)
+def contact_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lines about customers show: an address, a path, a number, a page, or nothing that matters."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    key = F.col("c_custkey").cast("string")
+    line = F.concat(F.lit("call 139"), F.lpad(key, 8, "0"), F.lit(" today"))
+    for i, (form, _) in enumerate(_CONTACTS):
+        line = F.when(F.pmod("c_custkey", F.lit(10)) == i, F.concat(F.lit(form.split("%s")[0]), key, F.lit(form.split("%s")[1]))).otherwise(line)
+    return c.select("c_custkey", F.explode(T.line_leaks(line)).alias("code"))
+
+
 @query(rf"""WITH {_LINES} SELECT doc_id, line_no FROM l WHERE regexp_matches(line, '^[ \t\r\n\x{{feff}}]*[=+@-]')""")
 def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a spreadsheet would run as a formula."""

@@ -79,7 +79,15 @@ def doubly_weighted_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.doubly_weighted(a.filter("b <> ''").withColumn("digest", sha256(F.col("b"))), "account_id", "digest", "score")
 
 
-@query()
+def _ident(c: str) -> str:
+    return S.strip(S.ascii_width(c))
+
+
+_PLACE = f"lower({_ident('source_account.platform')}) || chr(31) || {_ident('source_account.account_id')} || chr(31) || {_ident('source_article_id')}"
+
+
+@query(f"""SELECT line_no, stable_id, article_id, stable_id IS NOT DISTINCT FROM article_id AS agrees FROM (SELECT line_no, article_id, 'art_' || left(sha256({_PLACE}), 24) AS stable_id FROM articles)
+WHERE stable_id IS NOT NULL""")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article ids computed from platform, account and native id, and whether the declared one agrees."""
     a = table(spark, sf_dir, "articles")
@@ -94,7 +102,7 @@ def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.duplicate_members(a, ["title_form"], "line_no").select("line_no", "record_id", "title_form", "group_size")
 
 
-@query()
+@query(f"""SELECT article_id, count(DISTINCT p) AS n_values FROM (SELECT article_id, {_PLACE} AS p FROM articles WHERE article_id IS NOT NULL) GROUP BY 1 HAVING count(DISTINCT p) > 1""")
 def source_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article ids that stand for more than one place of publication."""
     a = table(spark, sf_dir, "articles")
@@ -170,22 +178,46 @@ def fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.first_failing_row(table(spark, sf_dir, "articles"), _record_rules(), "line_no")
 
 
-@query()
+_ISO = r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$|^\d{8}[Tt]\d{6}([.,]\d+)?(Z|[+-]\d{2}:?\d{2})?$"
+_ZONED = r"(Z|[+-]\d{2}(:?\d{2})?)$"
+
+
+def _iso_sql(c: str) -> str:
+    """The instant of an ISO text: digits alone spread out, a point before fractions, a colon in the offset, UTC without a zone."""
+    t = rf"regexp_replace({c}, '^(\d{{4}})(\d{{2}})(\d{{2}})[Tt](\d{{2}})(\d{{2}})(\d{{2}})', '\1-\2-\3 \4:\5:\6')"
+    t = rf"regexp_replace(replace(replace(replace({t}, ',', '.'), 'T', ' '), 't', ' '), '( .*[+-]\d{{2}})(\d{{2}})$', '\1:\2')"
+    return f"CASE WHEN regexp_matches({c}, '{_ISO}') THEN try_cast({t} AS TIMESTAMPTZ) END"
+
+
+def _date_sql() -> str:
+    parts = []
+    for c in ("published_at", "captured_at"):
+        up = c.upper()
+        parts += [
+            f"SELECT '{up}_INVALID' AS code, 'error' AS severity FROM t WHERE {c}_ts IS NULL",
+            rf"SELECT '{up}_TIMEZONE_MISSING', 'warning' FROM t WHERE {c}_ts IS NOT NULL AND regexp_matches({c}, '[Tt ]\d{{2}}') AND NOT regexp_matches({c}, '{_ZONED}')",
+            f"SELECT '{up}_TOO_EARLY', 'error' FROM t WHERE {c}_ts < '2000-01-01 00:00:00+00'::TIMESTAMPTZ",
+        ]
+    parts.append("SELECT 'CAPTURED_BEFORE_PUBLISHED', 'error' FROM t WHERE captured_at_ts < published_at_ts")
+    own = ", ".join(f"{_ident(c)} AS {c}" for c in ("published_at", "captured_at"))
+    at = ", ".join(f"{_iso_sql(c)} AS {c}_ts" for c in ("published_at", "captured_at"))
+    return f"WITH a AS (SELECT {own} FROM articles), t AS (SELECT *, {at} FROM a) SELECT code, severity, count(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
+
+
+@query(_date_sql())
 def date_issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of the date rules of articles: no ISO instant, no zone, before 2000, captured before published.
 
     A date alone is its midnight in UTC; a time without a zone is read as UTC and warned about."""
-    iso = r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$|^\d{8}[Tt]\d{6}([.,]\d+)?(Z|[+-]\d{2}:?\d{2})?$"
-    zoned = r"(Z|[+-]\d{2}(:?\d{2})?)$"
     a = table(spark, sf_dir, "articles").select("line_no", *[prepared(F.col(c)).alias(c) for c in ("published_at", "captured_at")])
     found = []
     for c in ("published_at", "captured_at"):
-        ok = F.coalesce(F.col(c).rlike(iso), F.lit(False))
+        ok = F.coalesce(F.col(c).rlike(_ISO), F.lit(False))
         a = with_instant(a.withColumn("iso", F.when(ok, F.col(c))), "iso", F.lit("UTC"), F.lit(None).cast("string"), f"{c}_us")
         us = F.col(f"{c}_us")
         found += [
             rules.Rule(f"{c.upper()}_INVALID", us.isNull()),
-            rules.Rule(f"{c.upper()}_TIMEZONE_MISSING", us.isNotNull() & F.col(c).rlike(r"[Tt ]\d{2}") & ~F.col(c).rlike(zoned), "warning"),
+            rules.Rule(f"{c.upper()}_TIMEZONE_MISSING", us.isNotNull() & F.col(c).rlike(r"[Tt ]\d{2}") & ~F.col(c).rlike(_ZONED), "warning"),
             rules.Rule(f"{c.upper()}_TOO_EARLY", us < 946_684_800_000_000),
         ]
     found.append(rules.Rule("CAPTURED_BEFORE_PUBLISHED", F.col("captured_at_us") < F.col("published_at_us")))
