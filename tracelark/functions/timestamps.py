@@ -51,6 +51,12 @@ def prepared(raw: Column) -> Column:
     return strip_white(nfkc(raw))
 
 
+def date_part(c: Column) -> Column:
+    """The day of a date, or of an ISO time with a zone as it is there and not in UTC; null for anything else."""
+    zoned = c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$") | zoned, F.left(c, F.lit(10)).try_cast("date"))
+
+
 def laid_out(text: Column) -> Column:
     """The fields of a text as an array of strings, empty where absent; null where no notation fits.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelark.functions import text as T
 from tracelark.functions.hashing import canonical_json, sha256
 from tracelark.functions.numbers import calculated
+from tracelark.functions.timestamps import date_part
 from tracelark.functions.unicode import strip_white
 from tracelark.functions.urls import host, search_result, web_url
 from tracelark.operators import budget, keys, scoring, search
@@ -59,14 +60,14 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(c, doc, T.query_terms(QUESTION), "record_id", "line_no").select("line_no", "record_id", "match_score")
 
 
-_DAY = "try_cast(left({}, 10) AS DATE)"
+_DAY = r"CASE WHEN regexp_matches({0}, '^\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}:\d{{2}}(:\d{{2}}([.,]\d+)?)?(Z|[+-]\d{{2}}:?\d{{2}}))?$') THEN try_cast(left({0}, 10) AS DATE) END"
 _FRESH = f"""CASE WHEN lifecycle.status IN ('revoked', 'quarantined', 'disputed', 'expired') THEN lifecycle.status
 WHEN {_DAY.format("temporal.valid_until")} < DATE '{AS_OF}' THEN 'expired' WHEN lifecycle.status = 'stale' THEN 'stale'
 WHEN {_DAY.format("lifecycle.review_by")} < DATE '{AS_OF}' THEN 'stale' ELSE 'current' END"""
 
 
 def _fresh():
-    day = lambda c: F.left(F.col(c), F.lit(10)).try_cast("date")
+    day = lambda c: date_part(F.col(c))
     return search.freshness(F.col("lifecycle.status"), day("temporal.valid_until"), day("lifecycle.review_by"), F.lit(AS_OF).cast("date"))
 
 
@@ -125,18 +126,20 @@ def capped_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEM = "to_json({'family': family, 'question_id': 'PQ-' || record_id, 'title': title})::VARCHAR"
 
 
-@query(f"""WITH c AS (SELECT corpus_id, line_no, record_id, title, {_FAMILY} AS family FROM l3_prior_candidates WHERE corpus_id IS NOT NULL AND title IS NOT NULL AND record_id IS NOT NULL),
+@query(f"""WITH c0 AS (SELECT corpus_id, line_no, record_id, title, {_FAMILY} AS family FROM l3_prior_candidates WHERE corpus_id IS NOT NULL AND title IS NOT NULL AND record_id IS NOT NULL),
+c AS (SELECT * FROM c0 WHERE length({_ITEM}) <= 150),
 a AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, family ORDER BY length(title) DESC, line_no) AS f FROM c),
 b AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY length(title) DESC, line_no) AS rank FROM a WHERE f <= 2),
 d AS (SELECT *, {_ITEM} AS item FROM b WHERE rank <= 12), u AS (SELECT *, sum(length(item) + 1) OVER (PARTITION BY corpus_id ORDER BY rank) + 1 AS used FROM d),
 m AS (SELECT corpus_id, '[' || string_agg(item, ',' ORDER BY rank) || ']' AS t, count(*)::INT AS n_items, count(DISTINCT family) AS n_families FROM u WHERE used <= 1024 GROUP BY 1)
 SELECT corpus_id, 'PM-' || upper(left(sha256(corpus_id || chr(31) || t), 20)) AS manifest_id, n_items, n_families, length(t)::INT AS n_chars FROM m""")
 def prior_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest of each corpus: capped by family and in all, cut from its tail to 1,024 characters."""
+    """A manifest of each corpus: items over 150 characters skipped, capped by family and in all, cut from its tail to 1,024 characters."""
     c = table(spark, sf_dir, "l3_prior_candidates").filter("corpus_id is not null and title is not null and record_id is not null")
     c = c.select("corpus_id", "line_no", "record_id", "title", search.family(F.col("tags")).alias("family"))
+    c = c.withColumn("item", F.to_json(F.struct("family", F.concat(F.lit("PQ-"), "record_id").alias("question_id"), "title")))
+    c = c.filter(budget.over_limit([], F.col("item"), 4, 512, 150).isNull())
     r = budget.ranked(c, "corpus_id", "family", [F.desc(F.length("title")), F.col("line_no")], 2, 12)
-    r = r.withColumn("item", F.to_json(F.struct("family", F.concat(F.lit("PQ-"), "record_id").alias("question_id"), "title")))
     return budget.manifests(budget.within(r, "corpus_id", "item", 1024), "corpus_id", "family", "item")
 
 
@@ -178,7 +181,7 @@ def flat_locators(spark: SparkSession, sf_dir: str) -> DataFrame:
 coalesce(least({_DAY.format("lifecycle.review_by")}, {_DAY.format("temporal.valid_until")}), DATE '{AS_OF}') AS review_by FROM l3_prior_candidates WHERE tags IS NOT NULL""")
 def review_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct tags and the earlier of review and validity dates, else the day of the run."""
-    day = lambda c: F.left(F.col(c), F.lit(10)).try_cast("date")
+    day = lambda c: date_part(F.col(c))
     d = table(spark, sf_dir, "l3_prior_candidates").filter("tags is not null")
     tags = search.distinct_strings(F.transform("tags", F.trim))
     return d.select("line_no", F.size(tags).alias("n_tags"), F.coalesce(search.earliest(day("lifecycle.review_by"), day("temporal.valid_until")), F.lit(AS_OF).cast("date")).alias("review_by"))

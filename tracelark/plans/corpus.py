@@ -17,6 +17,8 @@ from tracelark.sources import jsonl
 from tracelark.sources.tables import table
 from tracelark.session import Scratch
 
+#: Day of the checks; late texts are told from it.
+AS_OF = "2026-01-31"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -197,6 +199,7 @@ def _date_sql() -> str:
             f"SELECT '{up}_INVALID' AS code, 'error' AS severity FROM t WHERE {c}_ts IS NULL",
             rf"SELECT '{up}_TIMEZONE_MISSING', 'warning' FROM t WHERE {c}_ts IS NOT NULL AND regexp_matches({c}, '[Tt ]\d{{2}}') AND NOT regexp_matches({c}, '{_ZONED}')",
             f"SELECT '{up}_TOO_EARLY', 'error' FROM t WHERE {c}_ts < '2000-01-01 00:00:00+00'::TIMESTAMPTZ",
+            f"SELECT '{up}_IN_FUTURE', 'error' FROM t WHERE {c}_ts > '{AS_OF} 00:00:00+00'::TIMESTAMPTZ + INTERVAL 1 DAY",
         ]
     parts.append("SELECT 'CAPTURED_BEFORE_PUBLISHED', 'error' FROM t WHERE captured_at_ts < published_at_ts")
     own = ", ".join(f"{_ident(c)} AS {c}" for c in ("published_at", "captured_at"))
@@ -206,7 +209,7 @@ def _date_sql() -> str:
 
 @query(_date_sql())
 def date_issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of the date rules of articles: no ISO instant, no zone, before 2000, captured before published.
+    """Violations of the date rules of articles: no ISO instant, no zone, before 2000, more than a day after the day of the check, captured before published.
 
     A date alone is its midnight in UTC; a time without a zone is read as UTC and warned about."""
     a = table(spark, sf_dir, "articles").select("line_no", *[prepared(F.col(c)).alias(c) for c in ("published_at", "captured_at")])
@@ -219,37 +222,40 @@ def date_issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
             rules.Rule(f"{c.upper()}_INVALID", us.isNull()),
             rules.Rule(f"{c.upper()}_TIMEZONE_MISSING", us.isNotNull() & F.col(c).rlike(r"[Tt ]\d{2}") & ~F.col(c).rlike(_ZONED), "warning"),
             rules.Rule(f"{c.upper()}_TOO_EARLY", us < 946_684_800_000_000),
+            rules.Rule(f"{c.upper()}_IN_FUTURE", us > F.unix_micros(F.lit(f"{AS_OF} 00:00:00").cast("timestamp")) + 86_400_000_000),
         ]
     found.append(rules.Rule("CAPTURED_BEFORE_PUBLISHED", F.col("captured_at_us") < F.col("published_at_us")))
     return rules.histogram(rules.violations(a, found, "line_no"))
 
 
-_LINKS = f"""WITH raw AS (SELECT record_id, arg_min(article_id, line_no) AS p_article FROM articles WHERE record_id IS NOT NULL GROUP BY 1),
+_LINKS = f"""WITH raw AS (SELECT record_id, arg_min(article_id, line_no) AS p_article, min(ingested_at) AS p_ts FROM articles WHERE record_id IS NOT NULL GROUP BY 1),
 raw_hash AS (SELECT record_id, arg_max(sha256({S.body_form("body")}), line_no) AS p_hash FROM articles WHERE {S.body_form("body")} <> '' GROUP BY 1),
-j AS (SELECT c.line_no, c.article_id, c.derivation.input_body_sha256 AS ih, r.record_id IS NOT NULL AS there, r.p_article, h.p_hash
+j AS (SELECT c.line_no, c.article_id, c.derivation.input_body_sha256 AS ih, r.record_id IS NOT NULL AS there, r.p_article, h.p_hash, try_cast(c.derivation.created_at AS TIMESTAMPTZ) < r.p_ts AS early
  FROM cleaned c LEFT JOIN raw r ON c.source_record_id = r.record_id LEFT JOIN raw_hash h ON c.source_record_id = h.record_id WHERE c.source_record_id IS NOT NULL)
 SELECT line_no, 'DERIVED_SOURCE_NOT_FOUND' AS code FROM j WHERE NOT there
 UNION ALL SELECT line_no, 'DERIVED_ARTICLE_ID_MISMATCH' FROM j WHERE there AND article_id IS DISTINCT FROM p_article
-UNION ALL SELECT line_no, 'DERIVED_INPUT_HASH_MISMATCH' FROM j WHERE there AND p_hash IS NOT NULL AND ih IS DISTINCT FROM p_hash"""
+UNION ALL SELECT line_no, 'DERIVED_INPUT_HASH_MISMATCH' FROM j WHERE there AND p_hash IS NOT NULL AND ih IS DISTINCT FROM p_hash
+UNION ALL SELECT line_no, 'DERIVED_BEFORE_SOURCE' FROM j WHERE early"""
 
 
 @query(_LINKS)
 def derived_link_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived articles against their source: missing source, other article, other body hash.
+    """Derived articles against their source: missing source, other article, other body hash, derived before its source came.
 
     The source is the first record of that id, its hash that of the last one with a body."""
     a = table(spark, sf_dir, "articles").filter("record_id is not null")
-    first = a.groupBy("record_id").agg(F.min_by("article_id", "line_no").alias("p_article"))
+    first = a.groupBy("record_id").agg(F.min_by("article_id", "line_no").alias("p_article"), F.min("ingested_at").alias("p_ts"))
     hashed = _hashed(spark, sf_dir).filter("record_id is not null").groupBy("record_id").agg(F.max_by("body_hash", "line_no").alias("p_hash"))
     target = first.join(hashed, "record_id", "left").withColumn("there", F.lit(True)).withColumnRenamed("record_id", "source_record_id")
     target = Scratch(spark, "sources").keep(target)  # so that a source of many derived articles is split
     c = table(spark, sf_dir, "cleaned").filter("source_record_id is not null")
-    j = c.select("line_no", "article_id", "source_record_id", F.col("derivation.input_body_sha256").alias("ih")).join(target, "source_record_id", "left")
+    j = c.select("line_no", "article_id", "source_record_id", F.col("derivation.input_body_sha256").alias("ih"), F.col("derivation.created_at").try_cast("timestamp").alias("made")).join(target, "source_record_id", "left")
     there = F.col("there").isNotNull()
     found = [
         rules.Rule("DERIVED_SOURCE_NOT_FOUND", ~there),
         rules.Rule("DERIVED_ARTICLE_ID_MISMATCH", there & ~F.col("article_id").eqNullSafe(F.col("p_article"))),
         rules.Rule("DERIVED_INPUT_HASH_MISMATCH", there & F.col("p_hash").isNotNull() & ~F.col("ih").eqNullSafe(F.col("p_hash"))),
+        rules.Rule("DERIVED_BEFORE_SOURCE", F.col("made") < F.col("p_ts")),
     ]
     return rules.violations(j, found, "line_no").drop("severity")
 
