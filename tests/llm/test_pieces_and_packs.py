@@ -7,7 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tracelark.llm import mixing, packing, spam, split, tokens
+from tests.llm import one_page
+from tracelark.llm import mixing, packing, pages, spam, split, tokens
 
 
 def checked(text, limit, overlap):
@@ -146,7 +147,7 @@ def test_mix_empty(spark):
     assert mixed.count() == 0 and report.first().used_docs == 0
 
 
-def pages():
+def simple_pages():
     rnd = random.Random(9)
     nouns, verbs = "report survey tenant forecast draft reviewer sample window market figure".split(), "shows limits supports explains updates questions".split()
     prose = lambda k: " ".join(f"The {rnd.choice(nouns)} of the {rnd.choice(nouns)} {rnd.choice(verbs)} what the {rnd.choice(nouns)} in the {rnd.choice(nouns)} {rnd.choice(verbs)} for a {rnd.choice(nouns)}." for _ in range(k))
@@ -158,7 +159,7 @@ def pages():
 
 
 def test_spam_pages(spark):
-    good, bad = pages()
+    good, bad = simple_pages()
     rows = [(i, t, "en" if i % 5 else None, "x") for i, t in enumerate(good)] + [(1000 + i, t, "EN", "x") for i, t in enumerate(bad)]
     rows += [(5000, None, "en", "x"), (5001, "", "en", "x"), (5002, "word", None, "x"), (None, "cheap " * 50, "en", "x")]
     got = spam.spam_pages(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, slope string")).collect()
@@ -187,20 +188,63 @@ def test_rank_frequency_is_least_squares(spark):
 
 def test_languages_are_fitted():
     rnd = random.Random(3)
-    vocab = {k: [f"{k}{i}" for i in range(40)] for k in ("aa", "bb", "cc")}
+    vocab = {k: [f"{k}x{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(40)] for k in ("aa", "bb", "cc")}
     df, n = defaultdict(Counter), Counter()
     for _ in range(900):
         k = rnd.choice("aaa bb cc".split())[:2]
         label = k if rnd.random() < 0.9 else rnd.choice(list(vocab))  # some labels are wrong
         n[label] += 1
-        for w in {*rnd.sample(vocab[k], 12), *rnd.sample(["shared1", "shared2", "2024"], 2)}:
+        for w in {*rnd.sample(vocab[k], 12), *rnd.sample(["shared", "both", "all"], 2)}:
             df[w][label] += 1
     known = spam.Languages(dict(n), {w: dict(c) for w, c in df.items()})
-    assert set(known.names) == set(vocab) and "aa3" in known.common["aa"] and "aa3" not in known.common["bb"]
+    assert set(known.names) == set(vocab) and vocab["aa"][3] in known.common["aa"] and vocab["aa"][3] not in known.common["bb"]
+    of = lambda words, declared, known=known: known.of(pages.Words([" ".join(words)]), [declared])[0]
     for k in vocab:
-        assert known.of({*rnd.sample(vocab[k], 5), "shared1", "x"}, "cc") == k
-    assert known.of({"nothing"}, " BB ") == "bb" and known.of({"nothing"}, "tlh") == known.names[0] and known.of(set(), None) == known.names[0]
-    assert spam.Languages({}, {}).of({"x"}, "en") == "en" and spam.Languages({}, {}).of({"x"}, None) == ""
+        assert of([*rnd.sample(vocab[k], 5), "shared", "x"], "cc") == k
+    assert of(["nothing"], " BB ") == "bb" and of(["nothing"], "tlh") == known.names[0] and of([], None) == known.names[0]
+    none = spam.Languages({}, {})
+    assert of(["x"], "en", none) == "en" and of(["x"], None, none) == "" and not none.is_common(pages.Words(["x"]), ["en"]).any()
+
+
+PARTS = ["word ", "another ", "ein Satz. ", "Ü ", "ﬁ", "x½ ", "１２a ", "中文字", "仮名。", "单", "，", ";", "! ", "?x", "...", "\n", "\n\n", " ", "\t", "-", "a, b, c | d", "https://a.b/c?d=e. ", "#tag ", "# ", "@me's ",
+         "[t](u v) ", "[t](u)", "<a href=x>y</a>", "< 3 >", "<img alt='words of it'>", "\u200b", "\xad", "\x01", "𝔘nd ", "😀", "ſ", "İ", "the same the same the same ", "\u2028", "\xa0"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=150), min_size=1, max_size=6))
+def test_pages_in_arrays_are_those_one_by_one(parts):
+    import numpy as np
+
+    texts = ["".join(p) for p in parts]
+    common = frozenset(["the", "word", "中文", "a"])
+    cut = [pages.without_links(pages.plain(t)) for t in texts]
+    seg = pages.Segments([s for s, _ in cut], [x for _, x in cut])
+    w, n = seg.words, len(texts)
+    out = np.flatnonzero((seg.k >= 3) & ~seg.is_list)
+    share = seg.share(np.isin(w.hash, pages.word_hashes(sorted(common))).astype(float))[out]
+    fresh, variety = seg.share(1 / np.maximum(w.count, 1))[out], seg.variety(out)
+    off = np.bincount(seg.page, weights=seg.n, minlength=n) - np.bincount(seg.page[out], weights=seg.n[out], minlength=n)
+    turns, f, m = pages.curves(w, n)
+    for i, t in enumerate(texts):
+        one = one_page._segments(one_page._plain(t.replace("\x01", " ")))
+        stream = [x for s in one for x in s[2]]
+        counts = Counter(stream)
+        n_off, rows = one_page._measured(one, stream, common, counts)
+        mine = np.flatnonzero(seg.page[out] == i)
+        got = [(seg.n[out][j], seg.m[out][j], seg.k[out][j], share[j], variety[j], fresh[j]) for j in mine]
+        assert off[i] == n_off and got == [pytest.approx(r) for r in rows] and w.n_words[i] == len(stream)
+        assert Counter(dict(zip(f[turns[i] : turns[i + 1]].tolist(), m[turns[i] : turns[i + 1]].tolist()))) == Counter(counts.values())
+        assert {w.text[a:b] for a, b, p in zip(w.start, w.end, w.page) if p == i} == set(counts)
+    value = np.array([3.0, 1.0, 2.0, 5.0])
+    assert pages.middles(np.array([0, 0, 2, 0]), value, 3) == [3.0, None, 2.0]
+
+
+def test_slices_hold_every_page():
+    assert list(pages.slices([])) == [] and list(pages.slices(["", "a"])) == [(0, 2)]
+    big = "x" * (pages.SLICE + 1)
+    assert list(pages.slices([big, "a", "b", big, ""])) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+    seg = pages.Segments(["", "", big], [[], [], []])
+    assert seg.words.n_words.tolist() == [0, 0, 1] and seg.n.max() == len(big)
 
 
 @pytest.fixture(scope="module")
@@ -270,7 +314,7 @@ def test_spam_empty(spark):
 
 def test_spam_by_the_curve_of_the_whole_page(spark):
     rnd = random.Random(10)
-    good, bad = pages()
+    good, bad = simple_pages()
     # Prose whose topic words differ from page to page, so that long pages stay as fresh as prose is.
     fill = ["".join(rnd.choice("bdklmnprst") + rnd.choice("aeiou") for _ in range(4)) for _ in range(4000)]
     honest = [" ".join(f"The {rnd.choice(fill)} of the {rnd.choice(fill)} shows what the {rnd.choice(fill)} in the {rnd.choice(fill)} limits for a {rnd.choice(fill)}." for _ in range(rnd.randrange(30, 60))) for _ in range(120)]
@@ -287,6 +331,8 @@ def test_spam_by_the_curve_of_the_whole_page(spark):
 def test_tags_of_any_length_are_links():
     tag = '<img alt="' + "plain words of a caption " * 40 + '">'
     text = "The tenant moved. " + tag + " < " + "it is less than that, " * 20 + " >"
-    got = [w for x in spam._segments(spam._plain(text)) for w in x[2]]
+    s, sizes = pages.without_links(pages.plain(text))
+    seg = pages.Segments([s], [sizes])
+    got = {seg.words.text[a:b] for a, b in zip(seg.words.start, seg.words.end)}
     assert "caption" not in got and "less" in got
-    assert sum(x[0] - x[1] for x in spam._segments(spam._plain(text))) >= len(tag)
+    assert (seg.n - seg.m).sum() >= len(tag)

@@ -18,15 +18,14 @@ words that tell them apart are fitted from the documents' own labels.
 from __future__ import annotations
 
 import math
-import re
-import unicodedata
 from collections import Counter
-from itertools import accumulate
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracelark.llm import pages as pw
 from tracelark.session import Scratch
 
 #: A word is common if it is in this share of its language's documents.
@@ -38,9 +37,6 @@ LEAST_VARIETY = 0.68
 #: Least freshness (mean of 1 / count on the page, over words) in prose of a page with an extreme curve, as a part of
 #: the median of pages of the language and size.
 LEAST_FRESH = 0.5
-#: Separators per word that make a list; lower for pairs of characters.
-LIST_MARKS, LIST_MARKS_PAIRS = 0.3, 0.2
-WINDOW = 40
 #: Pages that a length of a language must have for medians of its own words and variety; below it the whole language's serve.
 LEAST_PAGES = 100
 #: Share of the labelled documents that makes a label a language, so there are at most 200; words that tell one from the others.
@@ -50,87 +46,6 @@ EXTREME = 3.5
 #: Deviation that curves of a language and length have at least, so that two pages of one length are not far apart.
 LEAST_SPREAD = 0.01
 
-_IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
-# A tag of any length; what else stands between < and > only if it is short, since that may be text.
-_LINK = re.compile(r"<a\s[^<>\n]*>[^<\n]*</a>|\[[^\]\n]*\]\([^)\s]*\)|<[^<>\n]{0,300}>|<[/!?]?[a-z][^<>\n]*>|(?:https?://|www\.)[^\s<>)\]\"]+|[@#]\w[\w.'-]*")
-_WORD = re.compile(r"[^\W\d_]+")
-_PAIRED = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]+")
-# Runs of such characters and other words, in one go.
-_RUN = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿]+|[^\W\d_぀-ヿ㐀-䶿一-鿿豈-﫿]+")
-_FIRST_PAIRED = "぀"
-_END = re.compile(r"[。！？；;]|[.!?…](?=\s)")
-_HOLE = "\x01"
-_MARK = re.compile(r"[,，、|/·•>;；]")
-# Every ASCII character that is no lower-case letter as a blank, but for line feeds.
-_LETTERS = {c: " " for c in range(128) if not chr(c).islower() and c != 10}
-
-
-def _plain(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    return _IGNORABLE.sub("", unicodedata.normalize("NFKC", text)).lower()
-
-
-def _words(s: str) -> list[str]:
-    if s.isascii():
-        return s.translate(_LETTERS).split()
-    return _tokens(s) if _PAIRED.search(s) else _WORD.findall(s)
-
-
-def _tokens(s: str) -> list[str]:
-    """Words, and of runs of characters without blanks between words their adjacent pairs; a single one stands for itself."""
-    out: list[str] = []
-    for run in _RUN.findall(s):
-        if run[0] < _FIRST_PAIRED or len(run) == 1 or not _PAIRED.match(run):
-            out.append(run)
-        else:
-            out += map(str.__add__, run, run[1:])
-    return out
-
-
-def _segments(s: str) -> list[tuple[int, int, list[str], bool]]:
-    """(characters, of them outside links, words, is a list) of each line or sentence."""
-    out = []
-    links = "://" in s or "#" in s or "@" in s or "www." in s or "<" in s or "](" in s
-    if links:
-        # Links count by their characters; in their place stays a mark, so that no sentence ends inside of one.
-        sizes: list[int] = []
-
-        def hole(m):
-            sizes.append(m.end() - m.start())
-            return _HOLE
-
-        s = _LINK.sub(hole, s)
-        links = bool(sizes)
-    s = _END.sub(r"\g<0>\n", s)
-    at, rows = 0, s.split("\n")
-    ascii_only = s.isascii()
-    paired_page = not ascii_only and _PAIRED.search(s) is not None
-    plain_words = s.translate(_LETTERS).split("\n") if ascii_only else rows
-    others = ascii_only and ("|" in s or "/" in s or ">" in s or ";" in s)
-    for seg, letters in zip(rows, plain_words):
-        rest = seg.strip()
-        n = m = len(rest)
-        if not n:
-            continue
-        if links and (k := rest.count(_HOLE)):
-            n += sum(sizes[at : at + k]) - k
-            at += k
-            rest = rest.replace(_HOLE, " ")
-            m = len(rest.strip())
-        if ascii_only:
-            words, marks = letters.split(), LIST_MARKS
-            n_marks = rest.count(",")
-            if others:
-                n_marks += rest.count("|") + rest.count("/") + rest.count(">") + rest.count(";")
-        else:
-            words = _tokens(rest) if paired_page else _WORD.findall(rest)
-            marks = LIST_MARKS_PAIRS if paired_page and _PAIRED.search(rest) else LIST_MARKS
-            n_marks = len(_MARK.findall(rest))
-        out.append((n, m, words, bool(words) and n_marks >= marks * len(words)))
-    return out
-
-
 class Languages:
     """The languages of a corpus: their common words, and a classifier by the words that tell them apart.
 
@@ -153,15 +68,37 @@ class Languages:
                     told[k].append((x * g, w, weights))
         for k, found in told.items():
             self.weight |= {w: g for _, w, g in sorted(found, reverse=True)[:TELLING]}
-        self.order = sorted(self.weight)
-
-    def of(self, words, declared: str | None) -> str | None:
-        hits = [self.weight[w] for w in self.order if w in words]
-        if hits:
-            sums = list(map(math.fsum, zip(*hits)))
-            return self.names[sums.index(max(sums))]
-        d = _label(declared)
-        return d if d in self.common or not self.names else self.names[0]
+        told_words = sorted(self.weight)
+        self.telling = pw.word_hashes(told_words)
+        order = np.argsort(self.telling)
+        self.telling = self.telling[order]
+        self.weights = np.array([self.weight[told_words[i]] for i in order]).reshape(len(order), len(self.names))
+        self.common_hashes = {k: np.sort(pw.word_hashes(sorted(c))) for k, c in self.common.items()}
+
+    def of(self, w: pw.Words, declared: list) -> list:
+        """The language of each page of ``w``."""
+        n = len(declared)
+        labels = [d if (d := _label(x)) in self.common or not self.names else self.names[0] for x in declared]
+        if not len(self.telling) or not len(w.hash):
+            return labels
+        firsts = w.before < 0
+        at = np.minimum(np.searchsorted(self.telling, w.hash[firsts]), len(self.telling) - 1)
+        hit = self.telling[at] == w.hash[firsts]
+        at, page = at[hit], w.page[firsts][hit]
+        score = np.stack([np.bincount(page, weights=self.weights[at, i], minlength=n) for i in range(len(self.names))])
+        best, some = score.argmax(axis=0), np.bincount(page, minlength=n) > 0
+        return [self.names[b] if s else d for b, s, d in zip(best.tolist(), some.tolist(), labels)]
+
+    def is_common(self, w: pw.Words, langs: list) -> np.ndarray:
+        """Which words are common in the language of their page."""
+        out = np.zeros(len(w.hash), bool)
+        of = np.array([self.names.index(x) if x in self.common else -1 for x in langs], np.int64)[w.page] if len(w.hash) else np.zeros(0, np.int64)
+        for i, k in enumerate(self.names):
+            mine = np.flatnonzero(of == i)
+            if mine.size and len(self.common_hashes[k]):
+                at = np.minimum(np.searchsorted(self.common_hashes[k], w.hash[mine]), len(self.common_hashes[k]) - 1)
+                out[mine] = self.common_hashes[k][at] == w.hash[mine]
+        return out
 
 
 def _label(declared: str | None) -> str:
@@ -170,49 +107,6 @@ def _label(declared: str | None) -> str:
     return "" if d in ("und", "mul", "zxx") else d
 
 
-def _variety(words: list[str]) -> float:
-    return len(set(words)) / len(words) ** 0.9
-
-
-_FULL = 1 / WINDOW**0.9
-
-
-def _measured(segs, stream: list[str], common: frozenset, counts: Counter) -> tuple[int, list[tuple]]:
-    """Characters of what can't be prose, and of each other segment: characters, of them outside links, words, share of
-    common words, variety of the window of WINDOW words around it, and freshness.
-
-    No prose are mere lists and segments of less than three words. A segment longer than a window has the mean variety of
-    its own windows side by side. Freshness is the mean of 1 / count over the words of a segment; over those of the page it
-    is distinct words by words."""
-    total, pos, out, off = len(stream), 0, [], 0
-    # Sums up to each word, so that a segment's is a difference.
-    known = [0, *accumulate(map(common.__contains__, stream))]
-    fresh = [0, *accumulate(map({w: 1 / c for w, c in counts.items()}.__getitem__, stream))]
-    only = _variety(stream) if 0 < total <= WINDOW else None
-    for n, m, words, is_list in segs:
-        k = len(words)
-        to = pos + k
-        if k < 3 or is_list:
-            off += n
-        else:
-            if only is not None:
-                variety = only
-            elif k <= WINDOW:
-                a = min(max(0, pos + k // 2 - WINDOW // 2), total - WINDOW)
-                variety = len(set(stream[a : a + WINDOW])) * _FULL
-            else:
-                parts = [words[i : i + WINDOW] for i in range(0, k, WINDOW)]
-                full = [p for p in parts if len(p) >= WINDOW // 2]
-                variety = sum(map(_variety, full)) / len(full)
-            out.append((n, m, k, (known[to] - known[pos]) / k, variety, (fresh[to] - fresh[pos]) / k))
-        pos = to
-    return off, out
-
-
-def _middle(values: list[float]) -> float | None:
-    return sorted(values)[len(values) // 2] if values else None
-
-
 def document_frequencies(docs: DataFrame) -> DataFrame:
     """(lang, word, df): in how many documents of a label each word occurs; word '' counts the documents. Without a label
     the label is ''."""
@@ -230,11 +124,18 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
             )
 
         for b in batches:
-            for text, declared in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            texts, labels = b.column(0).to_pylist(), [_label(x) for x in b.column(1).to_pylist()]
+            for a, z in pw.slices(texts):
                 # Links and disguised letters stay in: words of links count nowhere else, disguised ones are rare.
-                words = set(_words(text.lower()))
-                words.add("")
-                df.setdefault(_label(declared), Counter()).update(words)
+                w, firsts = pw.document_words([t.lower() for t in texts[a:z]])
+                part = labels[a:z]
+                for label in set(part):
+                    mine = firsts[np.array([x == label for x in part])[w.page[firsts]]] if len(firsts) else firsts
+                    _, at, n = np.unique(w.hash[mine], return_index=True, return_counts=True)
+                    c = df.setdefault(label, Counter())
+                    at = mine[at]
+                    c.update(dict(zip([w.text[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist())], n.tolist())))
+                    c[""] += part.count(label)
             if sum(map(len, df.values())) > 200_000:  # what one task holds at once; the aggregation that follows sums up
                 yield flush()
         if df:
@@ -276,39 +177,34 @@ def measured_pages(docs: DataFrame, known: Languages) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        i4, f4 = pa.int32(), pa.float32()
-        kinds = [("n", i4), ("m", i4), ("common", f4), ("variety", f4), ("fresh", f4)]
-
-        def nested(rows: list[list], fields: list) -> pa.Array:
-            ends = [0]
-            for r in rows:
-                ends.append(ends[-1] + len(r))
-            flat = list(zip(*(x for r in rows for x in r))) or [[] for _ in fields]
-            inner = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(flat, fields)], names=[n for n, _ in fields])
-            return pa.ListArray.from_arrays(pa.array(ends, i4), inner)
+        def nested(ends, **columns):
+            parts = [pa.array(c, pa.int32() if c.dtype.kind == "i" else pa.float32()) for c in columns.values()]
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, names=list(columns)))
 
         for b in batches:
-            ids, langs, sizes, offs, commons, varieties, seg_rows, curves = [], [], [], [], [], [], [], []
-            for doc_id, text, declared in zip(*(b.column(i).to_pylist() for i in range(3))):
-                s = _plain(text)
-                segs = _segments(s)
-                stream = [w for x in segs for w in x[2]]
-                counts = Counter(stream)
-                lang = known.of(counts.keys(), declared)
-                off, measured = _measured(segs, stream, known.common.get(lang, frozenset()), counts)
-                ids.append(doc_id)
-                langs.append(lang)
-                sizes.append(len(stream))
-                offs.append(off)
-                commons.append(_middle([x[3] for x in measured if x[2] >= 5]))
-                varieties.append(_middle([x[4] for x in measured if x[2] >= 5]))
-                seg_rows.append([(n, m, c, v, f) for n, m, _, c, v, f in measured])
-                curves.append(list(Counter(counts.values()).items()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, i4), pa.array(offs, i4), pa.array(commons, f4), pa.array(varieties, f4),
-                 nested(seg_rows, kinds), nested(curves, [("f", i4), ("m", i4)])],
-                names=["doc_id", "lang", "n_words", "n_off", "common", "variety", "segs", "curve"],
-            )
+            every, texts, labels = (b.column(i).to_pylist() for i in range(3))
+            for a, z in pw.slices(texts):
+                n = z - a
+                cut = [pw.without_links(pw.plain(t)) for t in texts[a:z]]
+                seg = pw.Segments([s for s, _ in cut], [x for _, x in cut])
+                w = seg.words
+                langs = known.of(w, labels[a:z])
+                out = np.flatnonzero((seg.k >= 3) & ~seg.is_list)
+                off = np.bincount(seg.page, weights=seg.n, minlength=n) - np.bincount(seg.page[out], weights=seg.n[out], minlength=n)
+                share = seg.share(known.is_common(w, langs).astype(float))[out].astype(np.float32)
+                fresh = seg.share(1 / np.maximum(w.count, 1))[out].astype(np.float32)
+                variety = seg.variety(out).astype(np.float32)
+                whole = seg.k[out] >= 5
+                mid = lambda v: pa.array(pw.middles(seg.page[out][whole], v[whole], n), pa.float32())  # noqa: B023, E731
+                ends = np.append(0, np.cumsum(np.bincount(seg.page[out], minlength=n)))
+                turns, f, m = pw.curves(w, n)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(every[a:z], pa.int64()), pa.array(langs, pa.string()), pa.array(w.n_words, pa.int32()), pa.array(off.astype(np.int32)), mid(share), mid(variety),
+                        nested(ends, n=seg.n[out], m=seg.m[out], common=share, variety=variety, fresh=fresh), nested(turns, f=f, m=m),
+                    ],
+                    names=["doc_id", "lang", "n_words", "n_off", "common", "variety", "segs", "curve"],
+                )
 
     return docs.filter("text is not null and doc_id is not null").select("doc_id", "text", "lang").mapInArrow(run, _MEASURES)
 
