@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelark.session import Scratch
+
 CAPACITY = 2048
 #: Documents of one randomised group, on average. The waste of a group is about one container.
 GROUP_DOCS = 20_000
@@ -59,6 +61,7 @@ def containers(sizes: DataFrame, n_docs: int, capacity: int = CAPACITY, group_do
     size = F.coalesce("n_tokens", F.lit(0)).cast("bigint")
     group = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups))
     d = sizes.select("doc_id", size.alias("n"), F.floor(size / capacity).cast("int").alias("whole"), group.alias("group_id"))
+    d = Scratch(sizes.sparkSession, "sizes").keep(d)  # read twice below, counted once
     # The number of the row tells rows of one doc_id apart.
     full = d.withColumn("row", F.monotonically_increasing_id()).filter("whole > 0")
     full = full.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("part_no"), "group_id", "row").select(
