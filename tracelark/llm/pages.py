@@ -40,6 +40,7 @@ def plain(text: str) -> str:
 
 def without_links(s: str) -> tuple[str, list[int]]:
     """A page with a mark in place of each link, so that no sentence ends inside of one, and the links' lengths."""
+    s = s.replace(_HOLE, " ")
     if not ("://" in s or "www." in s or "<" in s or "](" in s or (("#" in s or "@" in s) and _TAG.search(s))):
         return s, []
     sizes: list[int] = []
@@ -48,7 +49,7 @@ def without_links(s: str) -> tuple[str, list[int]]:
         sizes.append(m.end() - m.start())
         return _HOLE
 
-    return _LINK.sub(hole, s.replace(_HOLE, " ")), sizes
+    return _LINK.sub(hole, s), sizes
 
 
 #: Classes of characters, as bits.
