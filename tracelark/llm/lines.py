@@ -105,8 +105,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOC
     for t in (occ, often, numbers):
         scratch.drop(t)
     maps = scratch.keep(united(variant_bitmaps(numbered)), "maps")
-    kept = scratch.keep(maps.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2"), "kept")
-    # No group of this join holds more than the lines of CONTAINER documents, so it needs no further split.
+    kept = maps.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
+    # A line has one container for CONTAINER documents, and no group of the join after it holds more than the lines of so
+    # many; neither needs a further split.
     store = maps.join(kept, ["h1", "h2"], "left_semi")
     found = numbered.join(store, ["h1", "h2", "bucket"]).filter(has_bit(F.col("low"), F.col("lows"), F.col("bits")))
     return found.select("doc_id", "line_pos")
