@@ -14,6 +14,7 @@ from tracelark.operators import corpus_build, keys, lineage, rules
 from tracelark.operators.compare import version_diff
 from tracelark.plans import sqltext as S
 from tracelark.sources import jsonl
+from tracelark.streaming import incremental
 from tracelark.sources.tables import table
 from tracelark.session import Scratch
 
@@ -359,6 +360,22 @@ def merged_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("source_version_id", F.size("snapshot_ids").cast("bigint").alias("n_snapshots"), F.array_join("snapshot_ids", ",").alias("snapshots"))
 
 
+@query(f"""WITH {_MERGE}, m AS (SELECT source_version_id, article_id, label FROM b WHERE article_id IS NOT NULL)
+SELECT source_version_id, count(DISTINCT label) AS n_snapshots, min(article_id) IS NOT NULL AS owned FROM m GROUP BY 1""")
+def ingested_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots that arrive as files one after the other, merged by the stream; a run that finds no new file adds nothing."""
+    v = _versions(spark, sf_dir).filter("article_id is not null").withColumn("label", F.when(F.year("ingested_at") < 2025, "S1").otherwise("S2"))
+    root = Scratch(spark, "ingest").root
+    versions = incremental.VersionedTable(spark, f"{root}/table", "source_version_id string, article_id string, labels array<string>")
+    prepare = lambda s: s.select("source_version_id", "article_id", F.array("label").alias("labels"))
+    out = None
+    for label in ("S1", "S2", None):
+        if label:
+            v.filter(F.col("label") == label).select("source_version_id", "article_id", "label").write.mode("append").json(f"{root}/in")
+        out = incremental.ingest(spark, f"{root}/in", "source_version_id string, article_id string, label string", versions, f"{root}/progress", prepare, "source_version_id", "labels")
+    return out.select("source_version_id", F.size("labels").cast("bigint").alias("n_snapshots"), F.col("article_id").isNotNull().alias("owned"))
+
+
 def _recaptures(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _versions(spark, sf_dir).select("line_no", "source_version_id", F.col("document").alias("text"))
     # As many rows as versions: the text of a version is that of its first row.

@@ -134,7 +134,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_instants(spark, a.unionByName(c))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_loops, p3_found, p3_report, p7_found)}
+#: A text with a zone of its own, by which an engine without the dictionary can tell its instant too.
+_OWN_ZONE = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instants of p7_found whose text names its zone, by field: how many, the first, the last and their sum."""
+    a = table(spark, sf_dir, "articles")
+    own = lambda field, t, c: t.select(F.lit(field).alias("field_name"), "line_no").filter(F.col(c).rlike(_OWN_ZONE))
+    rows = own("articles.published_at", a, "published_at").unionByName(own("articles.captured_at", a, "captured_at"))
+    rows = rows.unionByName(own("l3_prior_candidates.created_at", table(spark, sf_dir, "l3_prior_candidates"), "created_at"))
+    j = rows.join(p7_found(spark, sf_dir), ["field_name", "line_no"])
+    us = F.col("utc_micros")
+    return j.groupBy("field_name").agg(F.count("*").alias("n"), F.min(us).alias("first"), F.max(us).alias("last"), F.sum(us.cast("decimal(38,0)")).cast("string").alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_descendants, p2_loops, p3_found, p3_report, p7_found, p7_check)}
 
 _TREE = f"""WITH RECURSIVE c AS (SELECT {S.same_id("record_id")} AS id, parent_ids FROM l3_prior_candidates), n AS (SELECT DISTINCT id FROM c WHERE id IS NOT NULL),
 e AS (SELECT id, {S.same_id("r")} AS p FROM (SELECT id, unnest(parent_ids) AS r FROM c)),
@@ -165,4 +180,8 @@ j AS (SELECT r.*, CASE WHEN d.del <= r.ts THEN 'deleted' WHEN t.id IS NULL THEN
   FROM r LEFT JOIN t ON r.tb = t.tb AND r.ref_value = t.id LEFT JOIN d ON r.tb = d.tb AND r.ref_value = d.id)
 SELECT src_table, field_name, line_no, ref_value, reason, strftime(ts AT TIME ZONE 'UTC', '%Y-%m') AS period FROM j WHERE reason IS NOT NULL"""
 
-ORACLES = {"p2_found": _TREE, "p3_found": _ORPHANS, **dealt_sql.ORACLES}
+_INSTANTS = f"""WITH t AS (SELECT 'articles.published_at' AS field_name, published_at AS v FROM articles UNION ALL SELECT 'articles.captured_at', captured_at FROM articles
+UNION ALL SELECT 'l3_prior_candidates.created_at', created_at FROM l3_prior_candidates), u AS (SELECT field_name, epoch_us(try_cast(v AS TIMESTAMPTZ)) AS us FROM t WHERE regexp_matches(v, '{_OWN_ZONE}'))
+SELECT field_name, count(us) AS n, min(us) AS "first", max(us) AS "last", sum(us)::VARCHAR AS total FROM u WHERE us IS NOT NULL GROUP BY 1"""
+
+ORACLES = {"p7_check": _INSTANTS, "p2_found": _TREE, "p3_found": _ORPHANS, **dealt_sql.ORACLES}
