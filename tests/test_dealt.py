@@ -6,7 +6,7 @@ import random
 from tests import brute
 from tests.plans import no_broadcasts, plain_sides
 from tracelark.operators.hierarchy import descendants, hierarchy, loop_descendants
-from tracelark.operators.instants import InstantDictionary, keyed_values, normalise_instants
+from tracelark.operators.instants import PATH_SETTING, InstantDictionary, keyed_values, normalise_instants, own_dictionary
 from tracelark.operators.orphans import orphan_cascade
 
 UTC = dt.timezone.utc
@@ -173,6 +173,15 @@ def test_instant_dictionary_grows_once(spark, tmp_path):
     assert d.update(keyed_values(one)).count() == 1 == d.read().count()
     assert d.update(keyed_values(two)).count() == 2 == d.read().count()
     assert d.update(keyed_values(two)).count() == 2 == d.read().count()
+    # A named folder lasts from call to call, else each call has its own.
+    assert own_dictionary(spark) != own_dictionary(spark)
+    spark.conf.set(PATH_SETTING, str(tmp_path / "lasting"))
+    try:
+        assert own_dictionary(spark) == own_dictionary(spark)
+        assert normalise_instants(spark, one).count() == 2 and normalise_instants(spark, two).count() == 2
+        assert InstantDictionary(spark, own_dictionary(spark)).read().count() == 2
+    finally:
+        spark.conf.unset(PATH_SETTING)
     # Two writers that add the same key at the same time: rows do not multiply.
     twin = str(tmp_path / "twin")
     InstantDictionary(spark, twin).update(keyed_values(two))

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelark.functions.timestamps import known_zone, prepared, with_instant
-from tracelark.session import Scratch, shared_dir
+from tracelark.session import Scratch
 
 KEY = ["raw", "zone", "date_order"]
 #: Generation of the notations; a dictionary of another generation is not read.
 NOTATIONS = 2
+#: Session setting that names a folder for a dictionary that lasts.
+PATH_SETTING = "spark.tracelark.instants.dir"
 
 
 class InstantDictionary:
@@ -69,14 +71,21 @@ def keyed_values(values: DataFrame) -> DataFrame:
     return v.withColumn("k1", F.xxhash64(F.lit(1), *parts)).withColumn("k2", F.xxhash64(F.lit(2), *parts))
 
 
+def own_dictionary(spark: SparkSession) -> str:
+    """A folder for a dictionary: the one that the setting PATH_SETTING names, with the generation of the notations, else a
+    new one among the scratch tables. Only with the setting do later calls find what earlier ones have parsed."""
+    named = spark.conf.get(PATH_SETTING, None)
+    return f"{named.rstrip('/')}/{NOTATIONS}" if named else f"{Scratch(spark, 'dictionary').root}/instants"
+
+
 def normalise_instants(spark: SparkSession, values: DataFrame, path: str | None = None) -> DataFrame:
     """``values`` (field_name, line_no, raw, zone, date_order) with utc_micros, only rows that name an instant.
 
     Null, blank and unreadable texts, impossible dates and local times of an unknown zone name none. Repeated
-    rows stay repeated. ``path`` is the dictionary's folder, by default one in the shared folder that all calls extend:
-    a text is parsed once, whichever batch brings it first.
+rows stay repeated. ``path`` is the dictionary's folder, which every call with it extends: a text is parsed by the batch
+    that brings it first. Without it the call has a dictionary of its own, which goes with its scratch tables.
     """
     keyed = keyed_values(values.filter("raw is not null"))
-    named = InstantDictionary(spark, path or f"{shared_dir(spark)}/tracelark-instants-{NOTATIONS}").update(keyed)
+    named = InstantDictionary(spark, path or own_dictionary(spark)).update(keyed)
     # Both sides are plain exchanges, so the partition of a text that many rows hold is split.
     return keyed.join(named.filter("utc_micros is not null"), ["k1", "k2"]).select("field_name", "line_no", "utc_micros")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelark.functions.unicode import same_id
 from tracelark.operators.hierarchy import descendants, hierarchy, loop_descendants
-from tracelark.operators.instants import normalise_instants
+from tracelark.operators.instants import normalise_instants, own_dictionary
 from tracelark.operators.orphans import orphan_cascade
 from tracelark.plans import dealt_sql
 from tracelark.plans import sqltext as S
@@ -131,7 +131,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line_no", same_id(F.col("corpus_id")).alias("owner"), F.lit("l3_prior_candidates.created_at").alias("field_name"), F.col("created_at").alias("raw")
     )
     c = c.filter("raw is not null").join(corpora, "owner", "left").select("field_name", "line_no", "raw", "zone", "date_order")
-    return normalise_instants(spark, a.unionByName(c))
+    # Two batches of one dictionary: the candidates' texts are parsed only where no article has brought them.
+    path = own_dictionary(spark)
+    return normalise_instants(spark, a, path).unionByName(normalise_instants(spark, c, path))
 
 
 #: A text with a zone of its own, by which an engine without the dictionary can tell its instant too.
